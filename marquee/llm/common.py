@@ -38,17 +38,18 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def before(df: DataFrame, by: list[str], per: list[str] = (), value: str | None = None, out: str = "before") -> DataFrame:
+def before(df: DataFrame, by: list[str], per: list[str] = (), value: str | None = None, out: str = "before", row: str | None = None) -> DataFrame:
     """Add ``out``: the number of rows (or the sum of ``value``) that come earlier in the order of ``by``, within ``per``
     (which ``by`` starts with).
 
     No window covers a whole group: rows are dealt by range over all of ``by``, so a group that holds a third of them
     spreads over many partitions. Each partition counts its own part; only the first group of a partition can
     have begun earlier, so at most one offset per partition is broadcast. Rows equal in ``by`` get different places.
+    ``row``: also add a number of this name that no other row has.
     """
     per = list(per)
     amount = F.lit(1).cast("long") if value is None else F.col(value)
-    dealt = stored(df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
+    dealt = stored(df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()))
     keys = ["_part", *per]
     parts = dealt.groupBy(*keys).agg(F.sum(amount).alias("_amount"))
     earlier = Window.partitionBy(*per).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -59,7 +60,7 @@ def before(df: DataFrame, by: list[str], per: list[str] = (), value: str | None
         same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
     local = dealt.withColumn("_local", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
     joined = local.join(F.broadcast(offsets), same, "left")
-    return joined.select(*df.columns, (F.col("_local") + F.coalesce("_offset", F.lit(0))).cast("long").alias(out))
+    return joined.select(*df.columns, *([F.col("_row").alias(row)] if row else []), (F.col("_local") + F.coalesce("_offset", F.lit(0))).cast("long").alias(out))
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
