@@ -1,7 +1,7 @@
 """The queries and SQL of this package."""
 
-from marquee.llm import mixing, quality, simhash
+from marquee.llm import mixing, packing, quality, sharding, simhash
 
-MODULES = (simhash, mixing, quality)
+MODULES = (simhash, mixing, sharding, packing, quality)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
