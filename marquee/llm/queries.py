@@ -1,7 +1,7 @@
 """The queries and SQL of this package."""
 
-from marquee.llm import mixing, packing, quality, sharding, simhash, urls
+from marquee.llm import embeddings, mixing, packing, quality, sharding, simhash, urls
 
-MODULES = (simhash, mixing, urls, sharding, packing, quality)
+MODULES = (simhash, mixing, embeddings, urls, sharding, packing, quality)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
