@@ -1,7 +1,7 @@
 """The queries and SQL of this package."""
 
-from marquee.llm import embeddings, langid, mixing, packing, quality, sharding, simhash, suffixtree, urls
+from marquee.llm import embeddings, langid, mixing, packing, pii, quality, sharding, simhash, suffixtree, urls
 
-MODULES = (simhash, mixing, embeddings, urls, sharding, packing, langid, suffixtree, quality)
+MODULES = (simhash, mixing, embeddings, urls, sharding, pii, packing, langid, suffixtree, quality)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
