@@ -157,6 +157,21 @@ def near_duplicates(docs: DataFrame, budget: int = 3, id_col: str = "doc_id", te
     return prints.join(named.join(least, "component").select("fp", "component_id"), "fp")
 
 
+def keep_one(docs: DataFrame, budget: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of every class the row with the least id stays, all columns as they were.
+
+    A row without an id takes one from its text's hash, above all real ids; of rows that share an id and stay, one is kept.
+    """
+    own = F.coalesce(F.col(id_col).cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64(text_col), F.lit(1 << 61)))
+    named = docs.withColumn("_own", own)
+    found = near_duplicates(named, budget, "_own", text_col)
+    kept = stored(found.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_own")).agg(F.count("*").alias("_n")))
+    out = named.join(kept.select("_own"), "_own")
+    if not kept.filter("_n > 1").isEmpty():
+        out = out.dropDuplicates(["_own"])
+    return out.select(docs.columns)
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
