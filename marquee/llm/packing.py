@@ -16,8 +16,9 @@ from marquee.llm.common import before, stored, table
 
 LENGTH = 2048
 END_ID = 1
-#: Words whose ids a worker keeps; then it starts anew. Only speed depends on it.
-KEPT_WORDS, KEPT_BYTES = 500_000, 64 << 20
+#: Words whose ids a worker keeps, twice over: a full table becomes the older one, whose words move on when they are met again. Only
+#: speed depends on it.
+KEPT_WORDS, KEPT_BYTES = 600_000, 64 << 20
 #: Rows of the slot table up to which it is broadcast; a larger one is joined by shuffle.
 BROADCAST_SLOTS = 200_000
 
@@ -32,19 +33,45 @@ class WordIds:
 
         self.encode = Tokenizer.from_str(spec).encode_batch_fast
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.bytes = 0
 
     def __call__(self, text: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids of a UTF-8 text."""
         words = text.split()
-        new = list(set(words).difference(self.known))
-        if new:
-            if len(self.known) + len(new) > KEPT_WORDS or self.bytes > KEPT_BYTES:
-                self.known, self.bytes, new = {}, 0, list(set(words))
-            for w, e in zip(new, self.encode([w.decode() for w in new], add_special_tokens=False)):
-                ids = self.known[w] = array("I", e.ids).tobytes()
-                self.bytes += len(w) + len(ids)
-        return b"".join(map(self.known.__getitem__, words))
+        ids = list(map(self.known.get, words))
+        if None in ids:
+            at = [i for i, x in enumerate(ids) if x is None]
+            self._learn({words[i] for i in at})
+            for i in at:
+                ids[i] = self.known[words[i]]
+        return b"".join(ids)
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Ids of new words. Letters are lower-cased by the tokenizer anyway, and punctuation after a letter or digit is a token of its
+        own, so a word's stem is encoded once for all its forms."""
+        if len(self.known) + 2 * len(words) > KEPT_WORDS or self.bytes > KEPT_BYTES:
+            self.older, self.known, self.bytes = self.known, {}, 0
+        for w in [w for w in words if w in self.older]:
+            self.known[w] = self.older[w]
+            words.discard(w)
+        parts, new = {}, set()
+        for w in words:
+            stem = w if b"<|" in w else w.lower()  # a special token is not lower-cased
+            bare = stem.rstrip(b".,!?:;")
+            if bare and bare != stem and b"<|" not in w and bare[-1:].isalnum():
+                parts[w] = bare, stem[len(bare) :]
+            else:
+                parts[w] = (stem,)
+            new.update(parts[w])
+        for w in [w for w in new if w in self.older]:
+            self.known[w] = self.older[w]
+        new = [w for w in new if w not in self.known]
+        for w, e in zip(new, self.encode([w.decode() for w in new], add_special_tokens=False)):
+            self.known[w] = array("I", e.ids).tobytes()
+        for w, p in parts.items():
+            ids = self.known[w] = b"".join(self.known[x] for x in p)
+            self.bytes += len(w) + len(ids)
 
 
 _TOKENIZERS: dict[int, WordIds] = {}
