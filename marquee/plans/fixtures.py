@@ -75,6 +75,9 @@ VIEWS["refreshes"] = """SELECT media_key, 'statistics' AS group_name, CASE WHEN
 
 VIEWS["prints"] = """SELECT CAST(vec_id AS BIGINT) AS vec_id, 'v' || CAST(vec_id AS STRING) AS media_key, CAST(label AS BIGINT) AS label, vec_id % 7 <> 0 AS has_audio, vec_id % 3 <> 0 AS has_video, CAST(60 + vec_id % 5 AS DOUBLE) AS duration_seconds, embedding FROM embeddings"""
 
+VIEWS["print_rows"] = """SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM prints"""
+VIEWS["print_pairs"] = """SELECT 'v' || CAST(a.vec_id AS STRING) AS left_media_key, 'v' || CAST(b.vec_id AS STRING) AS right_media_key, b.k AS rank FROM print_rows a JOIN (SELECT vec_id, label, n - k AS m, k FROM print_rows CROSS JOIN (VALUES (1), (2), (3)) t(k)) b ON a.label = b.label AND a.n = b.m"""
+
 VIEWS["downloads"] = """SELECT position AS download_id, 'youtube' AS platform, media_key, 'mp4' AS output_format, 'best' AS quality, path, CASE WHEN position % 5 = 0 THEN 'failed' ELSE 'completed' END AS status FROM files
  UNION ALL SELECT position + 10000000, 'youtube', media_key, 'mp4', 'best', path || '.new', 'completed' FROM files WHERE position % 4 = 0"""
 VIEWS["present_files"] = """SELECT path FROM files WHERE position % 6 <> 0 UNION ALL SELECT path || '.new' FROM files WHERE position % 8 = 0"""
@@ -111,8 +114,9 @@ def with_views(sql: str) -> str:
     if not names:
         return sql
     head = ", ".join(f"{n} AS ({VIEWS[n]})" for n in names)
-    if sql.lstrip()[:5].upper() == "WITH ":
-        return f"WITH {head}, {sql.lstrip()[5:]}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if sql.lstrip().upper().startswith(start):
+            return f"{start}{head}, {sql.lstrip()[len(start):]}"
     return f"WITH {head} {sql}"
 
 
