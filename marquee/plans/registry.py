@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marquee.plans.fixtures import view, with_views
 
-MODULES = ("selection", "catalog", "reports", "jobs", "duplicates")
+MODULES = ("selection", "catalog", "reports", "jobs", "duplicates", "streams")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
