@@ -50,16 +50,16 @@ query(
 
 
 # --- fingerprints ---------------------------------------------------------------------------------------------------
-def _prints(v):
-    """Words and one 8 by 8 frame from each vector."""
+def _prints(v, scale=1000000):
+    """Words and one 8 by 8 frame from each vector; a small scale makes words alike."""
     e = F.col("embedding")
-    words = F.transform(e, lambda y: F.floor((y.cast("double") + 1) * 1000000))
+    words = F.transform(e, lambda y: F.floor((y.cast("double") + 1) * scale))
     frame = F.transform(e, lambda y: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((y.cast("double") + 0.5) * 255))).cast("int"))
     return v.prints.select("media_key", "label", "duration_seconds", "has_audio", "has_video", F.when(F.col("has_audio"), words).alias("words"), F.when(F.col("has_video"), F.array(frame)).alias("frames"))
 
 
-def _compared(v):
-    return d.compare_pairs(d.fingerprint_pairs(v.print_pairs, _prints(v)), 8, 8)
+def _compared(v, scale=1000000):
+    return d.compare_pairs(d.fingerprint_pairs(v.print_pairs, _prints(v, scale)), 8, 8)
 
 
 _P = """fp AS (SELECT media_key, label, duration_seconds, has_audio, has_video, CASE WHEN has_audio THEN list_transform(embedding, lambda e: CAST(floor((CAST(e AS DOUBLE) + 1) * 1000000) AS BIGINT)) END AS words,
@@ -179,8 +179,8 @@ def _parents(v):
 _PARENT = "SELECT m.media_key, arg_min(left_media_key, rank) FILTER (video >= 0.74) AS parent FROM prints m LEFT JOIN sim ON right_media_key = m.media_key GROUP BY m.media_key"
 query(
     "d3_smart_duplicates",
-    f"WITH {_P} SELECT right_media_key, arg_min(left_media_key, rank) AS left_media_key FROM (SELECT *, {_CLASS} AS c FROM sim) t WHERE CASE c WHEN 'same_media' THEN {_CONF} >= 0.9 WHEN 'audio_variant' THEN audio >= 0.9 AND dur >= 0.97 ELSE FALSE END AND left_media_key NOT LIKE '%3' GROUP BY right_media_key",
-)(lambda v: d.smart_duplicates(v.print_pairs, _compared(v), v.prints.filter("media_key NOT LIKE '%3'"), "mp3", "audio"))
+    f"WITH {_P.replace('1000000', '4')} SELECT right_media_key, arg_min(left_media_key, rank) AS left_media_key FROM (SELECT *, {_CLASS} AS c FROM sim) t WHERE CASE c WHEN 'same_media' THEN {_CONF} >= 0.9 WHEN 'audio_variant' THEN audio >= 0.9 AND dur >= 0.97 ELSE FALSE END AND left_media_key NOT LIKE '%3' GROUP BY right_media_key",
+)(lambda v: d.smart_duplicates(v.print_pairs, _compared(v, 4), v.prints.filter("media_key NOT LIKE '%3'"), "mp3", "audio"))
 query(
     "d4_resolve_keepers",
     f"""WITH RECURSIVE {_P}, par AS ({_PARENT}), up(media_key, keeper) AS (SELECT media_key, media_key FROM par WHERE parent IS NULL UNION ALL SELECT par.media_key, up.keeper FROM par JOIN up ON par.parent = up.media_key) SELECT media_key, keeper FROM up""",
