@@ -116,7 +116,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     per_row = pieces.groupBy("row", "doc_id", "size").agg(F.sum("n_words").alias("taken"))
     times = per_row.groupBy("doc_id").agg(F.min_by(F.struct("taken", "size"), "row").alias("t"))
     copies = times.select(F.col("doc_id").alias("_id"), F.when(F.col("t.size") > 0, F.floor(F.col("t.taken") / F.col("t.size") + 0.5)).otherwise(0).cast("int").alias("_times")).filter("_times > 0")
-    again = docs.join(copies, F.col(id_col).eqNullSafe(F.col("_id"))).drop("_id")
+    again = docs.join(copies.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_id"))).drop("_id")
     return again.withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_times")
 
 

@@ -166,7 +166,8 @@ def keep_one(docs: DataFrame, budget: int = 3, id_col: str = "doc_id", text_col:
     named = docs.withColumn("_own", own)
     found = near_duplicates(named, budget, "_own", text_col)
     kept = stored(found.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_own")).agg(F.count("*").alias("_n")))
-    out = named.join(kept.select("_own"), "_own")
+    # The few numbers are hashed, the texts are not sorted: they are moved once at any size and never spilled.
+    out = named.join(kept.select("_own").hint("shuffle_hash"), "_own")
     if not kept.filter("_n > 1").isEmpty():
         out = out.dropDuplicates(["_own"])
     return out.select(docs.columns)
