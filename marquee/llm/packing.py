@@ -18,7 +18,7 @@ LENGTH = 2048
 END_ID = 1
 #: Words whose ids a worker keeps, twice over: a full table becomes the older one, whose words move on when they are met again. Only
 #: speed depends on it.
-KEPT_WORDS, KEPT_BYTES = 600_000, 64 << 20
+KEPT_WORDS, KEPT_BYTES = 300_000, 32 << 20
 #: Rows of the slot table up to which it is broadcast; a larger one is joined by shuffle.
 BROADCAST_SLOTS = 200_000
 
