@@ -15,7 +15,7 @@ RULES: tuple[tuple[str, str], ...] = (
     ("repeated_windows", "100 * n_repeat_words > 50 * n_words"),
     ("symbols", "10 * n_symbols > n_words"),
     ("word_length", "word_chars < 2 * n_words OR word_chars > 15 * n_words"),
-    ("duplicate_lines", "100 * n_dup_lines > 30 * n_lines"),
+    ("duplicate_lines", "n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines"),
 )
 #: Policy versions: the names of the rules that reject.
 POLICIES: dict[str, tuple[str, ...]] = {
@@ -142,7 +142,7 @@ m AS (SELECT w.doc_id, w.text, CAST(len(ws) AS BIGINT) AS n_words,
 q AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END)
              + (CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END)
              + (CASE WHEN word_chars < 2 * n_words OR word_chars > 15 * n_words THEN 8 ELSE 0 END)
-             + (CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 16 ELSE 0 END) AS failed FROM m)"""
+             + (CASE WHEN n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines THEN 16 ELSE 0 END) AS failed FROM m)"""
 
 QUERIES = {"op10_quality": op10_quality}
 ORACLE_SQL = {
