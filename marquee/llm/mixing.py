@@ -89,7 +89,8 @@ def mix_sources(docs: DataFrame, shards: int = 16, blocks_per_shard: int = 64, w
     A document of which nothing is taken gives one row with n_words 0 and no block. Null texts have size 0; a null
     source is a source; repeated rows are documents of their own; an empty table gives no rows.
     """
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")).withColumn("_luck", _luck("doc", F.col("doc_id")))
+    counted = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")))  # texts are read once
+    sized = counted.withColumn("_luck", _luck("doc", F.col("doc_id")))
     streams = stored(before(sized, ["source", "_luck", "doc_id", "size"], ["source"], "size", out="_start", row="row"))
     targets = stored(source_targets(streams, weights, share, epochs).withColumn("_words", F.round("target").cast("long")))
     block_words = max(1, -(-(targets.agg(F.sum("_words")).first()[0] or 0) // (shards * blocks_per_shard)))
