@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from marquee.functions.text import fold
 from marquee.operators.filters import FilterSpec, where_all
+from marquee.operators.ordering import before
 
 SORTS = {
     "most-viewed": ("view_count", True), "least-viewed": ("view_count", False), "most-liked": ("like_count", True), "least-liked": ("like_count", False),
@@ -25,8 +26,12 @@ def sort_keys(mode: str) -> list[Column]:
     return [c.desc_nulls_last() if down else c.asc_nulls_last(), F.col("position").asc()]
 
 
-def ranked(df: DataFrame, mode: str = "source", per: str = "source_id") -> DataFrame:
-    """Add ``rank``, from 1 per source in the order of the mode."""
+def ranked(df: DataFrame, mode: str = "source", per: str = "source_id", spread: bool = False) -> DataFrame:
+    """Add ``rank``, from 1 per source in the order of the mode. A window sorts each source in one task; ``spread`` gives the same
+    ranks with a source of any size dealt over many tasks, for a table more."""
+    if spread:
+        keys = sort_keys(mode)
+        return before(df, [F.col(per), *keys], [per], out="rank").withColumn("rank", F.col("rank") + 1)
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(per).orderBy(*sort_keys(mode))).cast("long"))
 
 
@@ -37,20 +42,25 @@ def select_first(df: DataFrame, n: int, mode: str = "source", per: str = "source
 
 
 def select_last(df: DataFrame, n: int, mode: str = "source", per: str = "source_id") -> DataFrame:
-    """The last n of every source, all if there are fewer, with their ranks in forward order."""
+    """The last n of every source, all if there are fewer, with their ranks in forward order: the first n of the reverse order (n
+    per task and source before the shuffle), numbered down from the source's size."""
     _positive(n)
-    size = F.count("*").over(Window.partitionBy(per))
-    return ranked(df, mode, per).withColumn("_size", size).filter(F.col("rank") > F.col("_size") - n).drop("_size")
+    column, down = SORTS[mode]
+    c = fold(F.col(column)) if column == "title" else F.col(column) if column else None
+    back = [] if c is None else [c.asc_nulls_first() if down else c.desc_nulls_first()]
+    last = df.withColumn("_back", F.row_number().over(Window.partitionBy(per).orderBy(*back, F.col("position").desc()))).filter(F.col("_back") <= n)
+    sizes = df.groupBy(per).agg(F.count("*").alias("_size"))
+    return last.join(sizes, per).withColumn("rank", F.col("_size") - F.col("_back") + 1).select(*df.columns, "rank")
 
 
-def select_range(df: DataFrame, start: int | None, end: int | None, mode: str = "source", per: str = "source_id") -> DataFrame:
+def select_range(df: DataFrame, start: int | None, end: int | None, mode: str = "source", per: str = "source_id", spread: bool = False) -> DataFrame:
     """1-based inclusive range; either end may be open; beyond the end is empty."""
     for x in (start, end):
         if x is not None:
             _positive(x)
     if start is not None and end is not None and start > end:
         raise ValueError("a range's start is after its end")
-    out = ranked(df, mode, per)
+    out = ranked(df, mode, per, spread)
     if start is not None:
         out = out.filter(F.col("rank") >= start)
     return out.filter(F.col("rank") <= end) if end is not None else out
@@ -78,7 +88,7 @@ def top_n_by_metric(df: DataFrame, shortcut: str, n: int, sort: str | None = Non
     return select_first(df, n, shortcut)
 
 
-def collection_query(df: DataFrame, spec: FilterSpec = FilterSpec(), clauses: list = (), sort: str = "source", first: int | None = None, last: int | None = None, span: tuple[int | None, int | None] | None = None) -> DataFrame:
+def collection_query(df: DataFrame, spec: FilterSpec = FilterSpec(), clauses: list = (), sort: str = "source", first: int | None = None, last: int | None = None, span: tuple[int | None, int | None] | None = None, spread: bool = False) -> DataFrame:
     """Filter, clauses, sort, then one selection, per source. Filters come before the rank, so they reach the scan."""
     rows = where_all(df.filter(spec.condition()), list(clauses))
     if sum(x is not None for x in (first, last, span)) > 1:
@@ -87,7 +97,7 @@ def collection_query(df: DataFrame, spec: FilterSpec = FilterSpec(), clauses: li
         return select_first(rows, first, sort)
     if last is not None:
         return select_last(rows, last, sort)
-    return select_range(rows, *span, sort) if span is not None else ranked(rows, sort)
+    return select_range(rows, *span, sort, spread=spread) if span is not None else ranked(rows, sort, spread=spread)
 
 
 def source_order_dates(df: DataFrame, mode: str, n: int, spec: FilterSpec = FilterSpec()) -> DataFrame:

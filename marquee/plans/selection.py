@@ -59,6 +59,7 @@ for _id, _mode, _order in (
 ):
     query(_id, _rank_sql(_order))(lambda v, m=_mode: keys(k.ranked(v.media, m)))
 
+query("k9_select_range_spread", _rank_sql("view_count DESC NULLS LAST, position", then="rank >= 41"))(lambda v: keys(k.select_range(v.media, 41, None, "most-viewed", spread=True)))
 query("k6_select_all", f"SELECT {_I} FROM media")(lambda v: items(k.collection_query(v.media)))
 query("k7_select_first", _rank_sql("position", then="rank <= 7"))(lambda v: keys(k.select_first(v.media, 7)))
 query("k8_select_last", _rank_sql("upload_date DESC NULLS LAST, position", then="rank > size - 5"))(lambda v: keys(k.select_last(v.media, 5, "latest")))

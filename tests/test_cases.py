@@ -226,3 +226,15 @@ def test_streams_go_on_from_checkpoints(spark, tmp_path):
         streams.stream_first_seen(stream, f"{base}/out2", f"{base}/cp2", within="1 day")
     for out in ("out", "out2"):
         assert sorted(r.value for r in spark.read.parquet(f"{base}/{out}").collect()) == ["a", "b", "c"]
+
+
+def test_spread_ranks_equal_windows(spark):
+    rng = random.Random(6)
+    rows = [("hot" if rng.random() < 0.7 else rng.choice(["a", "b", None]), f"m{i}", i, rng.choice([None, *range(9)]), rng.choice(["x", "Y", None])) for i in range(600)]
+    df = spark.createDataFrame(rows, "source_id string, media_key string, position long, view_count long, title string")
+    for mode in ("most-viewed", "title-za", "source"):
+        both = [sorted((r.media_key, r["rank"]) for r in ranking.ranked(df, mode, spread=s).collect()) for s in (False, True)]
+        assert both[0] == both[1]
+        last = {r.media_key: r["rank"] for r in ranking.select_last(df.filter("source_id = 'hot'"), 7, mode).collect()}
+        whole = {r.media_key: r["rank"] for r in ranking.ranked(df.filter("source_id = 'hot'"), mode).collect()}
+        assert last == {k: v for k, v in whole.items() if v > len(whole) - 7}
