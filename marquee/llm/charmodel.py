@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
 import numpy as np
 
@@ -36,8 +36,7 @@ def gram_hash(gram: str) -> int:
     """Hash of a symbol string whose marks are written as in ``spell``; position counts from its end."""
     total = 0
     for j, ch in enumerate(reversed(gram)):
-        code = {"\x01": START, "\x02": STOP}.get(ch, ord(ch) + FIRST) if len(gram) else 0
-        total += code * int(_FACTORS[j])
+        total += {"\x01": START, "\x02": STOP}.get(ch, ord(ch) + FIRST) * int(_FACTORS[j])
     return total & 0xFFFFFFFFFFFFFFFF
 
 
@@ -113,8 +112,8 @@ class Backoff:
 class WordScores:
     """Scores of words by a ``Backoff``, remembered by a worker up to ``most`` words; then it starts anew. Only speed depends on it."""
 
-    def __init__(self, model: Backoff, most: int = 600_000, most_bytes: int = 64 << 20, text: Callable = str):
-        self.model, self.most, self.most_bytes, self.text = model, most, most_bytes, text
+    def __init__(self, model: Backoff, most: int = 600_000, most_bytes: int = 64 << 20):
+        self.model, self.most, self.most_bytes = model, most, most_bytes
         self._clear()
 
     def _clear(self) -> None:
@@ -132,7 +131,7 @@ class WordScores:
             n = len(self.at)
             while n + len(new) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[n : n + len(new)] = self.model.score([self.text(w) for w in new])
+            self.table[n : n + len(new)] = self.model.score(new)
             self.at.update(zip(new, range(n, n + len(new))))
             self.bytes += sum(map(len, new))
         return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))

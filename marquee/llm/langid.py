@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from marquee.llm.charmodel import Backoff, WordScores, spell
 from marquee.llm.common import stored, table
@@ -21,6 +22,8 @@ ORDER = 5
 FIT_ROWS, CALIBRATION_ROWS = 2000, 400
 #: Share of right answers that accepted documents have in calibration.
 PRECISION = 0.99
+#: Languages up to which their counts are broadcast; more are joined by shuffle.
+BROADCAST_LANGUAGES = 10_000
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -32,9 +35,11 @@ def words_of(text: str) -> list[str]:
 def learning_rows(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str, fit_rows: int, calibration_rows: int) -> DataFrame:
     """(lang, fold, text) of the bounded sample; fold 0 fits, 1 calibrates."""
     rows = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = rows.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("_n"))
+    counts = stored(rows.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("_n")))
+    if counts.count() <= BROADCAST_LANGUAGES:
+        counts = F.broadcast(counts)
     luck = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("langid")), F.lit(1 << 32)).cast("double") / float(1 << 32)
-    tagged = rows.select(F.col(lang_col).alias("lang"), luck.alias("luck"), F.col(text_col).alias("text")).join(F.broadcast(counts), F.col("lang") == F.col("_lang"))
+    tagged = rows.select(F.col(lang_col).alias("lang"), luck.alias("luck"), F.col(text_col).alias("text")).join(counts, F.col("lang") == F.col("_lang"))
     fold = F.when(F.col("luck") * F.col("_n") < fit_rows, 0).when(F.col("luck") * F.col("_n") < fit_rows + calibration_rows, 1)
     small = F.col("_n") < 2 * (fit_rows + calibration_rows)  # few rows: one in five calibrates
     fold = F.when(small, F.when(F.col("luck") < 0.8, 0).otherwise(1)).otherwise(fold)
@@ -108,7 +113,6 @@ def entropies(rows: DataFrame, model, key: str) -> DataFrame:
     """(columns of ``rows`` but text, h): cross-entropy per symbol under every language; null where the text is null or has no letter."""
     keep = [c for c in rows.columns if c != "text"]
     kinds = [f for f in rows.schema.fields if f.name != "text"]
-    from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _SCORERS:
