@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from marquee.operators.ordering import before  # noqa: F401
+from marquee.sources.tables import stored
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,49 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests) a temporary one takes its place."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        known = f"file://{tempfile.mkdtemp(prefix='marquee-')}"
-        spark.conf.set("spark.checkpoint.dir", known)
-    return known.rstrip("/")
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back: lineage ends there, and a lost executor costs
-    no recomputation of what stands before."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/marquee-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def before(df: DataFrame, by: list[str], per: list[str] = (), value: str | None = None, out: str = "before", row: str | None = None) -> DataFrame:
-    """Add ``out``: the number of rows (or the sum of ``value``) that come earlier in the order of ``by``, within ``per``
-    (which ``by`` starts with).
-
-    No window covers a whole group: rows are dealt by range over all of ``by``, so a group that holds a third of them
-    spreads over many partitions. Each partition counts its own part; only the first group of a partition can
-    have begun earlier, so at most one offset per partition is broadcast. Rows equal in ``by`` get different places.
-    ``row``: also add a number of this name that no other row has.
-    """
-    per = list(per)
-    amount = F.lit(1).cast("long") if value is None else F.col(value)
-    dealt = stored(df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()))
-    keys = ["_part", *per]
-    parts = dealt.groupBy(*keys).agg(F.sum(amount).alias("_amount"))
-    earlier = Window.partitionBy(*per).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.withColumn("_offset", F.sum("_amount").over(earlier)).filter("_offset > 0").select(*[F.col(k).alias(f"_{k}") for k in keys], "_offset")
-    inside = Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    local = dealt.withColumn("_local", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
-    joined = local.join(F.broadcast(offsets), same, "left")
-    return joined.select(*df.columns, *([F.col("_row").alias(row)] if row else []), (F.col("_local") + F.coalesce("_offset", F.lit(0))).cast("long").alias(out))
-
-
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (columns a, b), component being the least node that links reach.
 
