@@ -17,13 +17,26 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+_WRITTEN: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder and read back, which ends its lineage."""
+    """``df`` written once to the shared folder and read back, which ends its lineage. ``drop_stored`` removes such tables."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(spark: SparkSession) -> int:
+    """Remove the tables that ``stored`` wrote in this process, once no result that needs them is open; returns how many."""
+    conf, n = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
+
+
 def write_index_tables(tables: dict[str, DataFrame], base: str, version: str) -> dict[str, str]:
     """Each table as a new Parquet snapshot ``base/name/version``; scan audits (source_scans) are appended instead. Readers take the
     returned paths, so an overwrite is a change of version and never touches files in use."""

@@ -238,3 +238,11 @@ def test_spread_ranks_equal_windows(spark):
         last = {r.media_key: r["rank"] for r in ranking.select_last(df.filter("source_id = 'hot'"), 7, mode).collect()}
         whole = {r.media_key: r["rank"] for r in ranking.ranked(df.filter("source_id = 'hot'"), mode).collect()}
         assert last == {k: v for k, v in whole.items() if v > len(whole) - 7}
+
+
+def test_stored_tables_can_be_dropped(spark):
+    from marquee.sources import tables
+
+    tables.drop_stored(spark)
+    df = tables.stored(spark.range(5))
+    assert df.count() == 5 and tables.drop_stored(spark) == 1 and tables.drop_stored(spark) == 0
