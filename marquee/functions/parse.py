@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Suffixes of counts and the zeros that they stand for.
+#: Suffixes of counts and the zeros that they stand for.
 ZEROS = {"": 0, "k": 3, "l": 5, "lakh": 5, "lac": 5, "m": 6, "cr": 7, "crore": 7, "b": 9}
 
 

@@ -58,6 +58,7 @@ def metadata_score(left_tokens: Column, right_tokens: Column, left: Column, righ
     return titles * 0.75 + times * 0.25
 
 
+#: Fixed values of the classification.
 @dataclass(frozen=True)
 class Thresholds:
     audio_same: float = 0.90
@@ -93,6 +94,7 @@ def classify_pair(left_video: Column, right_video: Column, left_audio: Column, r
     )
 
 
+#: Fixed values.
 AUDIO_FORMATS = ("mp3", "m4a", "opus", "flac", "wav")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Words that say nothing about a title.
 STOP_WORDS = ("official", "video", "audio", "lyrics", "lyric", "music", "hd", "4k", "1080p", "remastered", "remaster")
 
 

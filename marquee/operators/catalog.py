@@ -14,6 +14,7 @@ from marquee.functions.text import clean_text, fold, percent_encoded
 
 _ENTRY = "id string, title string, url string, webpage_url string, duration string, upload_date string, view_count string, like_count string, comment_count string, channel string, uploader string, channel_id string, uploader_id string, availability string, live_status string, playlist_count string, n_entries string"
 _DOCUMENT = "title string, channel string, uploader string, channel_id string, uploader_id string, playlist_count string, n_entries string, entries array<string>"
+#: Hosts and channel tabs of the platform.
 HOSTS = ("youtube.com", "www.youtube.com", "m.youtube.com", "music.youtube.com", "youtube-nocookie.com", "www.youtube-nocookie.com")
 TABS = ("videos", "shorts", "streams", "playlists")
 

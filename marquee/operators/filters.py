@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from marquee.functions.text import fold, known_text
 
 METRICS = {"views": "view_count", "likes": "like_count"}
-#: Names under which a clause may call a field.
+#: Names under which a clause may call a field.
 ALIASES = {
     "view": "view_count", "views": "view_count", "view_count": "view_count", "like": "like_count", "likes": "like_count", "like_count": "like_count",
     "duration": "duration_seconds", "length": "duration_seconds", "date": "upload_date", "uploaded": "upload_date", "upload_date": "upload_date", "title": "title",

@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Item and job statuses.
 STATUSES = ("pending", "downloading", "postprocessing", "verifying", "completed", "skipped_duplicate", "skipped_unavailable", "failed_retryable", "failed_final", "cancelled")
 TRANSIENT = ("downloading", "postprocessing", "verifying")
 TERMINAL = ("completed", "skipped_duplicate", "skipped_unavailable", "failed_final", "cancelled")
 JOB_STATUSES = ("planned", "running", "paused", "completed", "completed_with_failures", "cancelled")
 JOB_TERMINAL = ("completed", "completed_with_failures", "cancelled")
-#: Failure categories that make an item unavailable, and those that pause its whole job.
+#: Failure categories that make an item unavailable, and those that pause its whole job.
 UNAVAILABLE = ("private", "deleted", "geo_blocked", "auth_required", "age_restricted", "drm", "unavailable")
 PAUSING = ("bot_check", "cookie_access", "po_token_required")
 #: Steps that a status may take next.

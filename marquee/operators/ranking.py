@@ -10,6 +10,7 @@ from marquee.functions.text import fold
 from marquee.operators.filters import FilterSpec, where_all
 from marquee.operators.ordering import before
 
+#: Sort modes with their column and whether it falls.
 SORTS = {
     "most-viewed": ("view_count", True), "least-viewed": ("view_count", False), "most-liked": ("like_count", True), "least-liked": ("like_count", False),
     "latest": ("upload_date", True), "oldest": ("upload_date", False), "longest": ("duration_seconds", True), "shortest": ("duration_seconds", False),

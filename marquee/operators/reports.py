@@ -31,6 +31,7 @@ FAILURE_MARKS: tuple[tuple[str, bool, tuple[str, ...]], ...] = (
     ("extractor", False, ("no supported javascript runtime could be found", "challenge solver", "challenge solving failed", "signature solving failed", "unable to extract yt initial data", "incomplete data received in embedded initial data", "no title found in player responses")),
     ("unavailable", False, ("video unavailable", "video is unavailable", "this video is unavailable", "no longer available", "unavailable video", "this content is unavailable")),
 )
+#: Fixed values.
 SERVER_CODES = r"\b(500|502|503|504)\b"
 RESTRICTED = ("auth_required", "age_restricted", "geo_blocked", "drm")
 _MARKS = {name: parts for name, _, parts in FAILURE_MARKS}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marquee.operators.jobs import selection_hash
 
+#: Suffixes of files that accompany an output.
 SIDECARS = ("part", "ytdl", "tmp", "json", "jpg", "jpeg", "png", "webp", "vtt", "srt", "ass", "lrc", "description")
 _PRINT = "duration_seconds double, has_audio boolean, has_video boolean, audio_words array<bigint>, video_samples array<string>"
 _FRAME_BYTES = 256
