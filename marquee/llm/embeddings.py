@@ -95,7 +95,7 @@ def _run_keys(run: dict[str, np.ndarray], tables: int) -> dict[str, np.ndarray]:
     return run | {"keys": np.stack([np.frombuffer(k, "<u4") for k in run["code"]]).reshape(-1, tables)}
 
 
-def near_vectors(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", fit_rows: int = FIT_ROWS, recall: float = RECALL, chunk: int = 4096) -> DataFrame:
+def near_vectors(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", fit_rows: int = FIT_ROWS, recall: float = RECALL, chunk: int = 512) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept.
 
     Vectors link when their cosine in double precision reaches ``threshold``; vectors that are null, zero or not finite, and rows
