@@ -18,7 +18,7 @@ LENGTH = 2048
 END_ID = 1
 #: Words whose ids a worker keeps, twice over: a full table becomes the older one, whose words move on when they are met again. Only
 #: speed depends on it.
-KEPT_WORDS, KEPT_BYTES = 300_000, 32 << 20
+KEPT_WORDS, KEPT_BYTES = 450_000, 48 << 20
 #: Rows of the slot table up to which it is broadcast; a larger one is joined by shuffle.
 BROADCAST_SLOTS = 200_000
 
@@ -31,7 +31,10 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_str(spec).encode_batch_fast
+        tokenizer = Tokenizer.from_str(spec)
+        self.encode, self.pieces = tokenizer.encode_batch_fast, tokenizer.model.tokenize
+        #: Whether a lower-case ASCII word goes to the model as it is, so that the steps before the model can be left out.
+        self.plain = all(tokenizer.encode(w.upper(), add_special_tokens=False).ids == [t.id for t in self.pieces(w)] for w in ("word", "antidisestablishment", "qx"))
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.bytes = 0
@@ -67,6 +70,11 @@ class WordIds:
         for w in [w for w in new if w in self.older]:
             self.known[w] = self.older[w]
         new = [w for w in new if w not in self.known]
+        if self.plain:
+            for w in new:
+                if w.isalpha():
+                    self.known[w] = array("I", [t.id for t in self.pieces(w.decode())]).tobytes()
+            new = [w for w in new if w not in self.known]
         for w, e in zip(new, self.encode([w.decode() for w in new], add_special_tokens=False)):
             self.known[w] = array("I", e.ids).tobytes()
         for w, p in parts.items():
