@@ -91,8 +91,8 @@ def _meet(run: dict[str, np.ndarray], tables: int, most: int, most_pairs: int =
         yield left[fine], right[fine]
 
 
-def _run_keys(run: dict[str, np.ndarray], tables: int) -> dict[str, np.ndarray]:
-    return run | {"keys": np.stack([np.frombuffer(k, "<u4") for k in run["code"]]).reshape(-1, tables)}
+def _run_keys(run: dict[str, np.ndarray], tables: int, kind: str) -> dict[str, np.ndarray]:
+    return run | {"keys": np.frombuffer(b"".join(run["code"]), kind).reshape(-1, tables)}
 
 
 def near_vectors(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", fit_rows: int = FIT_ROWS, recall: float = RECALL, chunk: int = 512) -> DataFrame:
@@ -138,6 +138,7 @@ def _links(groups: DataFrame, d: int, threshold: float, fit_rows: int, recall: f
     p = math.acos(threshold) / math.pi
     most = math.ceil(tables * bits * p + 4 * math.sqrt(tables * bits * p * (1 - p)))
     flips = [0, *(1 << i for i in range(bits))]
+    kind = "<u2" if bits <= 16 else "<u4"
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = (1 << np.arange(bits)).astype(np.uint32)
@@ -146,31 +147,32 @@ def _links(groups: DataFrame, d: int, threshold: float, fit_rows: int, recall: f
                 continue
             x = unit(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d))
             keys = ((x @ turn.value >= 0).reshape(len(x), tables, bits) * weight).sum(axis=2, dtype=np.uint32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(list(keys.astype(np.int64)), pa.list_(pa.int64()))], names=["vec_id", "code", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k.tobytes() for k in keys.astype(kind)], pa.binary()), pa.array(list(keys.astype(np.int64)), pa.list_(pa.int64()))], names=["vec_id", "code", "keys"])
 
     coded = stored(groups.select(F.col("rep").alias("vec_id"), "v").mapInArrow(code, "vec_id long, code binary, keys array<long>"))
-    each = coded.select("vec_id", "code", F.posexplode("keys").alias("table", "key"))
-    probes = each.select("vec_id", "code", "table", "key", F.explode(F.array(*[F.lit(f).cast("long") for f in flips])).alias("flip"))
-    seats = probes.select("vec_id", "code", "table", (F.col("flip") == 0).alias("home"), (F.shiftleft(F.col("table").cast("long"), 40) + F.col("key").bitwiseXOR(F.col("flip"))).alias("bucket"))
-    # Probes of buckets where nobody lives find nothing.
-    lived = each.groupBy((F.shiftleft(F.col("table").cast("long"), 40) + F.col("key")).alias("bucket")).agg(F.count("*").alias("homes"))
-    dealt = seats.join(lived, "bucket")
-    total = dealt.groupBy("bucket").agg(F.count("*").alias("members"), F.max("homes").alias("homes")).filter("members > 1")
-    dealt = dealt.drop("homes").join(total, "bucket")
-    wide = F.ceil(F.col("homes") / chunk).cast("int")
-    tall = F.ceil(F.col("members") / chunk).cast("int")
+    number = F.shiftleft(F.col("table").cast("long"), 40) + F.col("key")
+    each = coded.select("vec_id", "code", F.posexplode("keys").alias("table", "key")).select("vec_id", "code", "table", number.alias("bucket"))
+    turned = lambda *more: F.explode(F.array(*[F.struct(F.col("bucket").bitwiseXOR(F.lit(f).cast("long")).alias("bucket"), F.lit(f == 0).alias("home"), *more) for f in flips])).alias("t")
+    seats = each.select("vec_id", "code", "table", turned()).select("vec_id", "code", "table", "t.bucket", "t.home")
+    # How many rows a bucket gets follows from the homes of the buckets around it, so only few need counting.
+    lived = stored(each.groupBy("bucket").agg(F.count("*").alias("homes")))
+    around = stored(lived.filter(F.col("homes") > chunk // len(flips)).select(turned()).select("t.bucket").distinct())
+    members = lived.select(turned("homes")).select("t.bucket", "t.homes").join(around, "bucket", "left_semi").groupBy("bucket").agg(F.sum("homes").alias("members"))
+    total = stored(members.join(lived, "bucket", "left").withColumn("homes", F.coalesce("homes", F.lit(0))).filter((F.col("members") > chunk) & (F.col("homes") > 0)))
+    dealt = seats.join(total, "bucket", "left")
+    wide, tall = F.ceil(F.col("homes") / chunk).cast("int"), F.ceil(F.col("members") / chunk).cast("int")
     # A home goes to its own chunk of homes against all chunks of rows; every row to its chunk of rows against all chunks of homes.
     mine_h, mine_r = F.pmod(F.xxhash64("vec_id", F.lit(1)), wide).cast("int"), F.pmod(F.xxhash64("vec_id", F.lit(2)), tall).cast("int")
     as_home = F.when(F.col("home"), F.transform(F.sequence(F.lit(0), tall - 1), lambda j: F.struct(mine_h.alias("h"), j.alias("r"), F.lit(1).alias("seat")))).otherwise(F.array().cast("array<struct<h:int,r:int,seat:int>>"))
     as_row = F.transform(F.sequence(F.lit(0), wide - 1), lambda i: F.struct(i.alias("h"), mine_r.alias("r"), F.lit(0).alias("seat")))
-    split = (F.col("homes") > chunk) | (F.col("members") > chunk)
+    split = F.col("members").isNotNull()
     plain = F.array(F.struct(F.lit(0).alias("h"), F.lit(0).alias("r"), F.when(F.col("home"), 2).otherwise(0).alias("seat")))
     blocks = dealt.select("vec_id", "code", "table", "bucket", F.explode(F.when(split, F.concat(as_home, as_row)).otherwise(plain)).alias("c"))
     blocks = blocks.select("vec_id", "code", F.col("table").cast("int").alias("table"), F.when(F.col("c.h") + F.col("c.r") == 0, F.col("bucket")).otherwise(F.xxhash64("bucket", "c.h", "c.r")).alias("bucket"), F.col("c.seat").alias("seat"))
 
     def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in whole_runs(batches, "bucket"):
-            run = _run_keys(run, tables)
+            run = _run_keys(run, tables, kind)
             has = np.zeros(len(run["bucket"]), bool)
             for a, b in _meet(run, tables, most):
                 has[a] = has[b] = True
@@ -183,7 +185,7 @@ def _links(groups: DataFrame, d: int, threshold: float, fit_rows: int, recall: f
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in whole_runs(batches, "bucket", 2 * chunk):
-            run = _run_keys(run, tables)
+            run = _run_keys(run, tables, kind)
             x = unit(np.stack(run["v"]).astype(np.float64))
             n, top = np.zeros(len(x), np.int64), np.arange(len(x))
             for a, b in _meet(run, tables, most, 50_000):
