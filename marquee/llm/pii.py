@@ -14,6 +14,7 @@ KINDS = ("email", "ip", "card", "phone", "secret")
 #: Fixed patterns, leftmost matches. They match what the plain forms match ([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+ and so on) but
 #: never try again within a run that has failed, so long runs take linear time and no deep recursion.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+EMAIL_WHOLE = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
@@ -29,9 +30,9 @@ GENERATORS = (
 #: Candidates (at most) that trees are fitted and thresholds set on: those with the least hash of their place.
 FIT_ROWS = 20_000
 TREES, TREE_DEPTH = 20, 3
-#: Share of right labels among the selected in the half of the sample that the trees haven't seen.
+#: Share of right labels among the selected that no fixed span overlaps, in the half of the sample that the trees haven't seen.
 PRECISION = 0.97
-FEATURES = ("generator", "length", "digits", "letters", "upper", "runs", "marks", "hex", "before", "after", "first", "assigned", "named")
+FEATURES = ("generator", "length", "digits", "letters", "upper", "runs", "marks", "hex", "before", "after", "first", "assigned", "named", "spelled", "luhn", "range")
 _SPAN = "array<struct<text:string,start:int,end:int>>"
 _BLOCK = 256
 
@@ -108,7 +109,7 @@ def _class(ch: Column) -> Column:
 
 def candidates(text: Column, base: Column) -> Column:
     """array<struct<kind, start, end, known, label, features...>>: what the generators propose. ``known``: it overlaps a fixed span (``base``:
-    array<struct<kind, start, end>>). ``label``: it is a fixed span, or a long hexadecimal value that a name is given."""
+    array<struct<kind, start, end>>). ``label``: it is a fixed span, or there is evidence of its kind that no fixed pattern gives (``evidence``)."""
     parts = []
     for kind, pattern, sign in GENERATORS:
         there = F.lit(True) if sign is None else text.rlike(sign)
@@ -116,6 +117,39 @@ def candidates(text: Column, base: Column) -> Column:
     return F.concat(*parts)
 
 
+def _plain_email(m: Column, cue: Column) -> Column:
+    """An address with its spelled-out signs as signs; spaces around a plain @ go where a cue stands before."""
+    signs = F.regexp_replace(F.regexp_replace(m, r" ?(?:\[at\]|\(at\)) ?", "@"), r" ?(?:\[dot\]|\(dot\)) ?", ".")
+    return F.when(cue, F.regexp_replace(signs, " ?@ ?", "@")).otherwise(signs)
+
+
+def evidence(kind: str, m: Column, named: Column, checked: Column, assigned_hex: Column) -> Column:
+    """Whether the candidate ``m`` is likely of its kind, by the words before it, its shape, and ``checked``: its digits' Luhn sum or range.
+
+    Addresses are whole once spelled-out signs are signs; numbers of networks need a cue; cards need a cue or groups
+    of four; phones need a cue, 00, or an area code in the usual places; secrets are long hexadecimal values that a name is given.
+    """
+    if kind == "email":
+        return _once(_plain_email(m, named == 1), lambda n: n.rlike(f"^{EMAIL_WHOLE}$") & n.rlike(r"\.[A-Za-z]{2,}$"))
+    if kind == "ip":
+        return checked & (named == 4)
+    if kind == "card":
+        return checked & ((named == 3) | m.rlike(r"^[3-6][0-9]{3}[ .-][0-9]{4}[ .-][0-9]{4}[ .-][0-9]{1,7}$"))
+    if kind == "phone":
+        return checked & ((named == 2) | m.rlike(r"^(?:\+|00)|^\([0-9]{3}\)|^[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}$"))
+    return assigned_hex
+
+
+def _checked(kind: str, m: Column) -> Column:
+    if kind == "ip":
+        return F.translate(m, ",", ".").rlike(PARTS)
+    if kind == "card":
+        return _once(_digits(m), lambda d: F.length(d).between(13, 19) & luhn(d))
+    if kind == "phone":
+        return F.length(_digits(m)).between(9, 15)
+    return F.lit(False)
+
+
 def _describe(text: Column, base: Column, kind: str) -> Callable[[Column], Column]:
     def features(s: Column, x: Column) -> Column:
         m, b = s["text"], F.lower(x["b"])
@@ -125,8 +159,9 @@ def _describe(text: Column, base: Column, kind: str) -> Callable[[Column], Colum
         overlaps = F.exists(base, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]))
         same = F.exists(base, lambda o: (o["kind"] == kind) & (o["start"] == s["start"]) & (o["end"] == s["end"]))
         hexa = m.rlike("^[0-9a-fA-F]{32,}$")
-        values = (F.lit(KINDS.index(kind)), F.length(m), count("[0-9]"), count("[A-Za-z]"), count("[A-Z]"), count("[0-9]+"), count("[^A-Za-z0-9]"), hexa.cast("int"), _class(F.substring(x["b"], -1, 1)), _class(x["a"]), _class(F.substring(m, 1, 1)), assigned.cast("int"), named)
-        return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), overlaps.alias("known"), (same | (F.lit(kind == "secret") & hexa & assigned)).alias("label"), *[v.cast("double").alias(n) for n, v in zip(FEATURES, values)])
+        spelled, checked = m.rlike(r"\[(?:at|dot)\]|\((?:at|dot)\)"), _checked(kind, m)
+        values = (F.lit(KINDS.index(kind)), F.length(m), count("[0-9]"), count("[A-Za-z]"), count("[A-Z]"), count("[0-9]+"), count("[^A-Za-z0-9]"), hexa.cast("int"), _class(F.substring(x["b"], -1, 1)), _class(x["a"]), _class(F.substring(m, 1, 1)), assigned.cast("int"), named, spelled.cast("int"), (F.lit(kind == "card") & checked).cast("int"), (F.lit(kind in ("ip", "phone")) & checked).cast("int"))
+        return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), overlaps.alias("known"), (same | evidence(kind, m, named, checked, hexa & assigned)).alias("label"), *[v.cast("double").alias(n) for n, v in zip(FEATURES, values)])
 
     def describe(s: Column) -> Column:
         before = F.substring(text, F.greatest(s["start"] - 23, F.lit(1)), F.least(s["start"], F.lit(24)))
@@ -164,14 +199,15 @@ def _tree(lines: list[str]) -> Callable[[Column], Column]:
 
 def fit(rows: DataFrame, fit_rows: int = FIT_ROWS, trees: int = TREES, depth: int = TREE_DEPTH, precision: float = PRECISION) -> Booster:
     """Fit on half of a bounded sample of candidates, and set the threshold on the other: the least one above which ``precision`` of
-    the candidates have their label. With fewer than 20 candidates of either label nothing is selected.
+    the candidates that no fixed span overlaps have their label; only those can be added. If the sample has none of them with a
+    label, all candidates set it. With fewer than 20 candidates of either label nothing is selected.
 
-    ``rows``: label, luck (a hash) and FEATURES.
+    ``rows``: label, known, luck (a hash) and FEATURES.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    sample = stored(rows.select("luck", F.col("label").cast("double").alias("label"), *FEATURES).orderBy("luck", *FEATURES).limit(fit_rows))
+    sample = stored(rows.select("luck", "known", F.col("label").cast("double").alias("label"), *FEATURES).orderBy("luck", *FEATURES).limit(fit_rows))
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if min(sizes.get(0.0, 0), sizes.get(1.0, 0)) < 20:
         return Booster(None, 1.0)
@@ -182,7 +218,9 @@ def fit(rows: DataFrame, fit_rows: int = FIT_ROWS, trees: int = TREES, depth: in
         lines = [x for x in tree.toDebugString.splitlines()[1:] if x.strip()]
         parts.append((_tree(lines), float(weight)))
     margin = lambda c: sum((t(c) * w for t, w in parts), F.lit(0.0))
-    seen = sample.filter(F.col("luck") % 2 != 0).select("label", F.struct(*FEATURES).alias("c"))
+    other = sample.filter(F.col("luck") % 2 != 0)
+    new = other.filter(~F.col("known"))
+    seen = (other if new.filter("label = 1").isEmpty() else new).select("label", F.struct(*FEATURES).alias("c"))
     scored = seen.select("label", F.round(Booster(margin, 0).probability(F.col("c")), 6).alias("p")).groupBy("p").agg(F.count("*").alias("n"), F.sum("label").alias("right"))
     n = right = 0.0
     threshold = 2.0
@@ -204,7 +242,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def learn(found: DataFrame, **how) -> Booster:
     """A ``Booster`` from the candidates of ``find``."""
     each = found.select("doc_id", F.explode("found").alias("c"))
-    return fit(each.select(F.xxhash64("doc_id", "c.kind", "c.start").alias("luck"), "c.label", *[f"c.{n}" for n in FEATURES]), **how)
+    return fit(each.select(F.xxhash64("doc_id", "c.kind", "c.start").alias("luck"), "c.label", "c.known", *[f"c.{n}" for n in FEATURES]), **how)
 
 
 def all_spans(base: Column, found: Column, booster: Booster) -> Column:

@@ -59,3 +59,20 @@ def test_trees_add_secrets_and_mask(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert P.detect(df).count() == 0 and P.redact(df).count() == 0
+
+
+def test_trees_add_spelled_emails_and_plain_numbers(spark):
+    rng = random.Random(6)
+    n = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    rows = []
+    for i in range(600):
+        base = f"write to a{i}@mail.example.com, 10.0.0.{i % 256} or +1 555 {n(3)} {n(4)}"
+        rows.append((i, [f"write to jane{i} [at] mail [dot] example [dot] com now", f"my number is (555) 123-{n(4)} today", f"card 4111.1111.1111.1111 of {i}", f"meet (at) noon. Then page {n(2)}-{n(3)} {n(3)} row {n(8)}", base, "code " + "abcdefghij" * 3][i % 6]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: ([s[0] for s in r.base], [s[0] for s in r.spans]) for r in P.detect(df).collect()}
+    for i, kind in enumerate(("email", "phone", "card")):
+        found = [got[j] for j in range(i, 600, 6)]
+        assert all(b == [] for b, _ in found) and all(s == [kind] for _, s in found), (kind, found[:5])
+    assert all(got[j][1] == [] for j in [*range(3, 600, 6), *range(5, 600, 6)])
+    out = {r.doc_id: r.text for r in P.redact(df).collect()}
+    assert out[0] == "write to [EMAIL] now" and out[1] == "my number is [PHONE] today" and out[2] == "card [CARD] of 2"
