@@ -42,8 +42,13 @@ def parse_listings(listings: DataFrame) -> DataFrame:
 
 
 def listing_entries(listings: DataFrame) -> DataFrame:
-    """(source_id, kind, d, position, e): each listed entry; ``e`` is null unless it is an object with an id."""
-    each = parse_listings(listings).select("source_id", "kind", "d", F.posexplode("d.entries").alias("position", "raw"))
+    """(source_id, kind, d, position, e): each listed entry; ``e`` is null unless it is an object with an id.
+
+    ``d`` has only the document's names of its channel, so that no row carries the list it stands in.
+    """
+    parents = F.struct(*[F.col(f"d.{c}").alias(c) for c in ("channel", "uploader", "channel_id", "uploader_id")])
+    lists = parse_listings(listings).select("source_id", "kind", parents.alias("d"), F.col("d.entries").alias("entries"))
+    each = lists.select("source_id", "kind", "d", F.posexplode("entries").alias("position", "raw"))
     e = F.when(F.startswith("raw", F.lit("{")), F.from_json("raw", _ENTRY))
     parsed = each.select("source_id", "kind", "d", F.col("position").cast("long").alias("position"), e.alias("e"))
     return parsed.withColumn("e", F.when(clean_text(F.col("e.id")).isNotNull(), F.col("e")))
