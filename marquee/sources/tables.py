@@ -8,10 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark's setting that removes a query's shuffle files when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests), a temporary one."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset, a temporary one in local mode only, as executors don't share those."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         known = f"file://{tempfile.mkdtemp(prefix='marquee-')}"
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")
@@ -21,11 +27,30 @@ _WRITTEN: list[str] = []
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder and read back, which ends its lineage. ``drop_stored`` removes such tables."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    """``df`` written once to the shared folder and read back, which ends its lineage; the shuffle files that it took go at once.
+    ``discard`` or ``drop_stored`` removes such tables."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     _WRITTEN.append(path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    was = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``stored`` that no open result reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            known = next((p for p in _WRITTEN if p.rsplit("/", 1)[1] == folder.rsplit("/", 1)[1]), None)
+            if known:
+                _WRITTEN.remove(known)
+                path = spark._jvm.org.apache.hadoop.fs.Path(known)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def drop_stored(spark: SparkSession) -> int:
