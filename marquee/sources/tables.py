@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
 _WRITTEN: list[str] = []
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """``df`` written once to the shared folder and read back, which ends its lineage; the shuffle files that it took go at once.
     ``discard`` or ``drop_stored`` removes such tables."""
     spark = df.sparkSession
@@ -35,7 +35,7 @@ def stored(df: DataFrame) -> DataFrame:
     was = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", codec).parquet(path)
     finally:
         spark.conf.set(CLEANUP, was)
     return spark.read.schema(df.schema).parquet(path)
