@@ -27,12 +27,13 @@ GENERATORS = (
     ("phone", r"(?<![0-9])(?:\+|00)?\(?[0-9]{2,4}\)?[ .-]?\(?[0-9]{3}\)?[ .-][0-9]{3,4}(?:[ .-][0-9]{2,4})?(?![0-9])", "[0-9]"),
     ("secret", r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,}+", None),
 )
-#: Candidates (at most) that trees are fitted and thresholds set on: those with the least hash of their place.
-FIT_ROWS = 20_000
+#: Documents (about so many) whose text trees learn from, planted spans and decoys (about so many) of each kind in it, and candidates (at
+#: most) of either sort that trees are fitted and thresholds set on: those with the least hash.
+FIT_DOCS, PLANTS, FIT_ROWS = 4_000, 1_000, 10_000
 TREES, TREE_DEPTH = 20, 3
-#: Share of right labels among the selected that no fixed span overlaps, in the half of the sample that the trees haven't seen.
+#: Share of right labels among the selected, in the half of the sample that the trees haven't seen.
 PRECISION = 0.97
-FEATURES = ("generator", "length", "digits", "letters", "upper", "runs", "marks", "hex", "before", "after", "first", "assigned", "named", "spelled", "luhn", "range")
+FEATURES = ("generator", "length", "digits", "letters", "upper", "runs", "marks", "hex", "before", "after", "first", "assigned", "named", "spelled", "luhn", "range", "whole")
 _SPAN = "array<struct<text:string,start:int,end:int>>"
 _BLOCK = 256
 
@@ -76,12 +77,15 @@ def _digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
 
-def luhn(digits: Column) -> Column:
+def luhn_sum(digits: Column) -> Column:
     n = F.length(digits)
     digit = lambda i: F.substring(digits, n - i + 1, F.lit(1)).cast("int")
     twice = lambda x: x * 2 - F.when(x > 4, 9).otherwise(0)
-    total = F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda acc, i: acc + F.when(i % 2 == 0, twice(digit(i))).otherwise(digit(i)))
-    return total % 10 == 0
+    return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda acc, i: acc + F.when(i % 2 == 0, twice(digit(i))).otherwise(digit(i)))
+
+
+def luhn(digits: Column) -> Column:
+    return luhn_sum(digits) % 10 == 0
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -108,8 +112,8 @@ def _class(ch: Column) -> Column:
 
 
 def candidates(text: Column, base: Column) -> Column:
-    """array<struct<kind, start, end, known, label, features...>>: what the generators propose. ``known``: it overlaps a fixed span (``base``:
-    array<struct<kind, start, end>>). ``label``: it is a fixed span, or there is evidence of its kind that no fixed pattern gives (``evidence``)."""
+    """array<struct<kind, start, end, known, doubtful, features...>>: what the generators propose. ``known``: it overlaps a fixed span (``base``:
+    array<struct<kind, start, end>>). ``doubtful``: it may well be of its kind, so it is no example of what is not."""
     parts = []
     for kind, pattern, sign in GENERATORS:
         there = F.lit(True) if sign is None else text.rlike(sign)
@@ -123,21 +127,16 @@ def _plain_email(m: Column, cue: Column) -> Column:
     return F.when(cue, F.regexp_replace(signs, " ?@ ?", "@")).otherwise(signs)
 
 
-def evidence(kind: str, m: Column, named: Column, checked: Column, assigned_hex: Column) -> Column:
-    """Whether the candidate ``m`` is likely of its kind, by the words before it, its shape, and ``checked``: its digits' Luhn sum or range.
-
-    Addresses are whole once spelled-out signs are signs; numbers of networks need a cue; cards need a cue or groups
-    of four; phones need a cue, 00, or an area code in the usual places; secrets are long hexadecimal values that a name is given.
-    """
+def doubtful(kind: str, m: Column, named: Column, checked: Column, whole: Column, hexa: Column) -> Column:
+    """Whether a candidate that stands in a text by itself may be personal data: its digits pass the check of their kind, it is an address once
+    its signs are plain, or it is hexadecimal."""
     if kind == "email":
-        return _once(_plain_email(m, named == 1), lambda n: n.rlike(f"^{EMAIL_WHOLE}$") & n.rlike(r"\.[A-Za-z]{2,}$"))
-    if kind == "ip":
-        return checked & (named == 4)
-    if kind == "card":
-        return checked & ((named == 3) | m.rlike(r"^[3-6][0-9]{3}[ .-][0-9]{4}[ .-][0-9]{4}[ .-][0-9]{1,7}$"))
+        return whole
+    if kind in ("ip", "card"):
+        return checked
     if kind == "phone":
         return checked & ((named == 2) | m.rlike(r"^(?:\+|00)|^\([0-9]{3}\)|^[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}$"))
-    return assigned_hex
+    return hexa
 
 
 def _checked(kind: str, m: Column) -> Column:
@@ -157,11 +156,11 @@ def _describe(text: Column, base: Column, kind: str) -> Callable[[Column], Colum
         named = F.when(b.rlike("mail"), 1).when(b.rlike("tel|phone|call|fon"), 2).when(b.rlike("card|visa|iban"), 3).when(b.rlike(r"\bip\b|host|addr"), 4).when(b.rlike("token|key|secret|passw"), 5).otherwise(0)
         assigned = b.rlike("[=:] ?[\"']?$")
         overlaps = F.exists(base, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]))
-        same = F.exists(base, lambda o: (o["kind"] == kind) & (o["start"] == s["start"]) & (o["end"] == s["end"]))
         hexa = m.rlike("^[0-9a-fA-F]{32,}$")
         spelled, checked = m.rlike(r"\[(?:at|dot)\]|\((?:at|dot)\)"), _checked(kind, m)
-        values = (F.lit(KINDS.index(kind)), F.length(m), count("[0-9]"), count("[A-Za-z]"), count("[A-Z]"), count("[0-9]+"), count("[^A-Za-z0-9]"), hexa.cast("int"), _class(F.substring(x["b"], -1, 1)), _class(x["a"]), _class(F.substring(m, 1, 1)), assigned.cast("int"), named, spelled.cast("int"), (F.lit(kind == "card") & checked).cast("int"), (F.lit(kind in ("ip", "phone")) & checked).cast("int"))
-        return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), overlaps.alias("known"), (same | evidence(kind, m, named, checked, hexa & assigned)).alias("label"), *[v.cast("double").alias(n) for n, v in zip(FEATURES, values)])
+        whole = _once(_plain_email(m, named == 1), lambda n: n.rlike(f"^{EMAIL_WHOLE}$") & n.rlike(r"\.[A-Za-z]{2,}$")) if kind == "email" else F.lit(False)
+        values = (F.lit(KINDS.index(kind)), F.length(m), count("[0-9]"), count("[A-Za-z]"), count("[A-Z]"), count("[0-9]+"), count("[^A-Za-z0-9]"), hexa.cast("int"), _class(F.substring(x["b"], -1, 1)), _class(x["a"]), _class(F.substring(m, 1, 1)), assigned.cast("int"), named, spelled.cast("int"), (F.lit(kind == "card") & checked).cast("int"), (F.lit(kind in ("ip", "phone")) & checked).cast("int"), whole.cast("int"))
+        return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), overlaps.alias("known"), doubtful(kind, m, named, checked, whole, hexa).alias("doubtful"), *[v.cast("double").alias(n) for n, v in zip(FEATURES, values)])
 
     def describe(s: Column) -> Column:
         before = F.substring(text, F.greatest(s["start"] - 23, F.lit(1)), F.least(s["start"], F.lit(24)))
@@ -197,52 +196,123 @@ def _tree(lines: list[str]) -> Callable[[Column], Column]:
     return lambda c: F.when(c[name] <= cut, low(c)).otherwise(high(c))
 
 
-def fit(rows: DataFrame, fit_rows: int = FIT_ROWS, trees: int = TREES, depth: int = TREE_DEPTH, precision: float = PRECISION) -> Booster:
-    """Fit on half of a bounded sample of candidates, and set the threshold on the other: the least one above which ``precision`` of
-    the candidates that no fixed span overlaps have their label; only those can be added. If the sample has none of them with a
-    label, all candidates set it. With fewer than 20 candidates of either label nothing is selected.
+def _pick(h: Column, at: int, choices: tuple[str, ...]) -> Column:
+    return F.element_at(F.array(*[F.lit(c) for c in choices]), (F.pmod(F.xxhash64(h, F.lit(at)), F.lit(len(choices))) + 1).cast("int"))
 
-    ``rows``: label, known, luck (a hash) and FEATURES.
-    """
+
+def _some(h: Column, at: int, digits: int) -> Column:
+    return F.lpad(F.pmod(F.xxhash64(h, F.lit(at)), F.lit(10**digits)).cast("string"), digits, "0")
+
+
+_WORDS = ("meet", "noon", "then", "prices", "row", "page", "stand", "five", "once", "gate")
+_CUES = {
+    "email": ("email: ", "mail ", "write to ", "contact ", ""), "ip": ("ip ", "host ", "address ", "ip: ", "server at "), "card": ("card ", "visa ", "credit card: ", "paid with ", ""),
+    "phone": ("call ", "tel. ", "phone: ", "my number is ", ""), "secret": ("token=", "api_key: ", "password = ", "secret:", 'the key = "'),
+}
+_OTHER_CUES = ("row ", "order ", "see ", "page ", "about ", "path=", "")
+
+
+def _planted(h: Column) -> dict[tuple[str, bool], Column]:
+    """Made-up spans of each kind in forms that the fixed patterns miss, and decoys that look like them."""
+    word = lambda at: _pick(h, at, _WORDS)
+    part = lambda at: F.pmod(F.xxhash64(h, F.lit(at)), F.lit(256)).cast("string")
+    at = _pick(h, 1, (" [at] ", " (at) ", "[at]", "(at)"))
+    address = F.concat(word(2), _some(h, 3, 2), at, word(4), _pick(h, 5, (" [dot] ", "(dot)", " (dot) ", ".")), _pick(h, 6, ("com", "org", "net", "de")))
+    number = F.concat(_pick(h, 7, ("4", "5", "3", "6")), _some(h, 8, 14))
+
+    def card(wrong: Column) -> Column:
+        check = F.pmod(F.lit(10) - luhn_sum(F.concat(number, F.lit("0"))) % 10 + wrong, F.lit(10)).cast("string")
+        return _once(F.concat(number, check), lambda d: F.concat_ws(".", *[F.substring(d, 4 * i + 1, 4) for i in range(4)]))
+
+    a, b, c = F.concat(F.lit("2"), _some(h, 10, 2)), _some(h, 11, 3), _some(h, 12, 4)
+    phone = F.element_at(F.array(F.concat(F.lit("("), a, F.lit(") "), b, F.lit("-"), c), F.concat(a, F.lit("-"), b, F.lit("-"), c), F.concat(F.lit("00"), _some(h, 13, 2), F.lit(" "), b, F.lit(" "), c), F.concat(a, F.lit("."), b, F.lit("."), c)), (F.pmod(h, F.lit(4)) + 1).cast("int"))
+    letters = lambda n: F.substring(F.translate(F.sha2(h.cast("string"), 256), "0123456789", "ghijklmnop"), 1, n)
+    return {
+        ("email", True): address, ("email", False): F.concat(word(14), _pick(h, 15, (" (at) ", " @ ", " [at] ")), word(16), F.lit(". "), F.initcap(word(17))),
+        ("ip", True): F.concat_ws(",", part(18), part(19), part(20), part(21)), ("ip", False): F.concat_ws(",", _some(h, 22, 1), _some(h, 23, 3), _some(h, 24, 3), _some(h, 25, 3)),
+        ("card", True): card(F.lit(0)), ("card", False): card(F.pmod(F.xxhash64(h, F.lit(26)), F.lit(9)) + 1),
+        ("phone", True): phone, ("phone", False): F.concat(_some(h, 27, 2), F.lit("-"), b, F.lit(" "), _some(h, 28, 3)),
+        ("secret", True): F.substring(F.sha2(h.cast("string"), 256), 1, F.element_at(F.array(F.lit(32), F.lit(40), F.lit(64)), (F.pmod(h, F.lit(3)) + 1).cast("int"))), ("secret", False): F.when(h % 2 == 0, letters(26)).otherwise(F.concat_ws("/", letters(9), word(29), letters(7), word(30))),
+    }
+
+
+def plants(docs: DataFrame, repeats: int) -> DataFrame:
+    """(luck, label, features...) of candidates where made-up spans and decoys (``_planted``) stand between pieces of the texts of ``docs``
+    (doc_id, _text). Labels come from the planting alone."""
+    h = F.xxhash64("doc_id", "_text", "kind", "truth", "again")
+    sorts = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(t).alias("truth")) for k in KINDS for t in (True, False)])).alias("s")
+    rows = docs.select("doc_id", "_text", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("again"), sorts).select("doc_id", "_text", "again", "s.*").withColumn("h", h)
+    made, hc = F, F.col("h")
+    for (kind, truth), value in _planted(hc).items():
+        made = made.when((F.col("kind") == kind) & (F.col("truth") == F.lit(truth)), value)
+    cue = F
+    for kind, cues in _CUES.items():
+        cue = cue.when((F.col("kind") == kind) & F.col("truth"), _pick(hc, 31, cues))
+    slice_ = lambda at, n: F.substring(F.col("_text"), (F.pmod(F.xxhash64(hc, F.lit(at)), F.greatest(F.length("_text"), F.lit(1))) + 1).cast("int"), F.lit(n))
+    parts = rows.select("h", "kind", "truth", F.concat(slice_(32, 40), F.lit(" "), cue.otherwise(_pick(hc, 33, _OTHER_CUES))).alias("before"), made.alias("made"), F.concat(_pick(hc, 34, (" ", ".", ", ", "\n", '" ')), slice_(35, 20)).alias("after"))
+    text = parts.select("h", "kind", "truth", F.length("before").alias("start"), (F.length("before") + F.length("made")).alias("end"), F.concat("before", "made", "after").alias("_text"))
+    spans = base_spans(F.col("_text"))
+    flat = F.concat(*[F.transform(spans[k], _of_kind(k)) for k in KINDS if k in spans])
+    each = text.select("h", "kind", "truth", "start", "end", F.explode(_once(flat, lambda b: candidates(F.col("_text"), b))).alias("c"))
+    hit = each.filter((F.col("c.kind") == F.col("kind")) & (F.col("c.start") < F.col("end")) & (F.col("start") < F.col("c.end")) & ~F.col("c.known"))
+    # A piece of a planted span is no right find.
+    right = F.col("truth") & (F.col("c.start") <= F.col("start")) & (F.col("c.end") >= F.col("end"))
+    return hit.select(F.col("h").alias("luck"), right.cast("double").alias("label"), *[f"c.{n}" for n in FEATURES])
+
+
+def fit(rows: DataFrame, trees: int = TREES, depth: int = TREE_DEPTH, precision: float = PRECISION) -> Booster:
+    """Fit on half of the rows (luck, a hash; label; FEATURES), and set the threshold on the other: the least one above which ``precision`` of
+    the candidates have their label. Rows of one label only select nothing."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    sample = stored(rows.select("luck", "known", F.col("label").cast("double").alias("label"), *FEATURES).orderBy("luck", *FEATURES).limit(fit_rows))
-    sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if min(sizes.get(0.0, 0), sizes.get(1.0, 0)) < 20:
+    sample = stored(rows.select("luck", "label", *FEATURES))
+    half = sample.filter(F.col("luck") % 2 == 0)
+    if half.select("label").distinct().count() < 2:
         return Booster(None, 1.0)
-    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample.coalesce(1).sortWithinPartitions("luck", *FEATURES))
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=5).fit(ready.filter(F.col("luck") % 2 == 0))
+    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(half.coalesce(1).sortWithinPartitions("luck", *FEATURES))
+    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=5).fit(ready)
     parts = []
     for tree, weight in zip(model.trees, model.treeWeights):
         lines = [x for x in tree.toDebugString.splitlines()[1:] if x.strip()]
         parts.append((_tree(lines), float(weight)))
     margin = lambda c: sum((t(c) * w for t, w in parts), F.lit(0.0))
-    other = sample.filter(F.col("luck") % 2 != 0)
-    new = other.filter(~F.col("known"))
-    seen = (other if new.filter("label = 1").isEmpty() else new).select("label", F.struct(*FEATURES).alias("c"))
+    seen = sample.filter(F.col("luck") % 2 != 0).select("label", F.struct(*FEATURES).alias("c"))
     scored = seen.select("label", F.round(Booster(margin, 0).probability(F.col("c")), 6).alias("p")).groupBy("p").agg(F.count("*").alias("n"), F.sum("label").alias("right"))
     n = right = 0.0
     threshold = 2.0
-    for r in sorted(scored.collect(), key=lambda r: -r["p"]):  # at most fit_rows / 2 rows
+    for r in sorted(scored.collect(), key=lambda r: -r["p"]):  # at most 2 * FIT_ROWS rows
         n, right = n + r["n"], right + r["right"]
         if right / n >= precision:
             threshold = r["p"] - 1e-6
     return Booster(margin, threshold)
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, base (array<struct<kind, start, end>>, by kind as in KINDS, then start), found (array of candidates). No shuffle."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+
+
+def _found(rows: DataFrame) -> DataFrame:
+    """``doc_id``, base (array<struct<kind, start, end>>, by kind as in KINDS, then start) and found (array of candidates) of (doc_id, _text)."""
     spans = base_spans(F.col("_text"))
     flat = F.concat(*[F.transform(spans[k], _of_kind(k)) for k in KINDS if k in spans])
     return rows.select("doc_id", _once(flat, lambda b: F.struct(b.alias("base"), candidates(F.col("_text"), b).alias("found"))).alias("p")).select("doc_id", "p.*")
 
 
-def learn(found: DataFrame, **how) -> Booster:
-    """A ``Booster`` from the candidates of ``find``."""
-    each = found.select("doc_id", F.explode("found").alias("c"))
-    return fit(each.select(F.xxhash64("doc_id", "c.kind", "c.start").alias("luck"), "c.label", "c.known", *[f"c.{n}" for n in FEATURES]), **how)
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_docs: int = FIT_DOCS, planted: int = PLANTS, fit_rows: int = FIT_ROWS, **how) -> Booster:
+    """A ``Booster`` from about ``fit_docs`` documents: planted spans and decoys in their text, and candidates that stand in them by themselves,
+    are not doubtful and overlap no fixed span, as further examples of what is not personal data."""
+    luck = F.pmod(F.xxhash64("doc_id", "_text"), F.lit(1 << 32))
+    sample = stored(_texts(docs, id_col, text_col).filter(luck.cast("double") * float(max(1, docs.count())) < float(fit_docs << 32)))
+    n = sample.count()
+    if not n:
+        return Booster(None, 1.0)
+    some = sample.orderBy(luck).limit(planted)
+    made = plants(some, max(1, round(planted / min(n, planted))))
+    each = _found(sample).select("doc_id", F.explode("found").alias("c")).filter(~F.col("c.known") & ~F.col("c.doubtful"))
+    own = each.select(F.xxhash64("doc_id", "c.kind", "c.start").alias("luck"), F.lit(0.0).alias("label"), *[f"c.{n}" for n in FEATURES])
+    least = lambda rows: rows.orderBy("luck", *FEATURES).limit(fit_rows)
+    return fit(least(made).unionByName(least(own)), **how)
 
 
 def all_spans(base: Column, found: Column, booster: Booster) -> Column:
@@ -257,11 +327,10 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", boos
     """One row per row of ``docs``: doc_id, base, spans (both array<struct<kind, start, end>>, code points, end exclusive).
 
     Whole texts; a null text is an empty one. Fixed spans always stay; the trees add candidates that no fixed span
-    overlaps. Repeated rows stay; an empty table gives no rows; other columns play no part.
+    overlaps. Repeated rows stay; an empty table gives no rows; other columns play no part. No shuffle once the trees are learned.
     """
-    found = stored(find(docs, id_col, text_col))
-    model = booster or learn(found)
-    return found.select("doc_id", "base", all_spans(F.col("base"), F.col("found"), model).alias("spans"))
+    model = booster or learn(docs, id_col, text_col)
+    return _found(_texts(docs, id_col, text_col)).select("doc_id", "base", all_spans(F.col("base"), F.col("found"), model).alias("spans"))
 
 
 def masked(text: Column, spans: Column) -> Column:
@@ -277,9 +346,10 @@ def masked(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(done)
 
 
-def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with its texts masked, all other columns as they were; null texts stay null. The trees are learned from the same rows."""
-    model = learn(stored(find(docs, id_col, text_col)))
+def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", booster: Booster | None = None) -> DataFrame:
+    """``docs`` with its texts masked, all other columns as they were, in one pass; null texts stay null, texts of any length are masked whole,
+    repeated rows stay, and an empty table stays empty. The trees are learned from a bounded sample of the same rows."""
+    model = booster or learn(docs, id_col, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
     spans = base_spans(text)
     flat = F.concat(*[F.transform(spans[k], _of_kind(k)) for k in KINDS if k in spans])
