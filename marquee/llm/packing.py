@@ -19,8 +19,6 @@ END_ID = 1
 #: Words whose ids a worker keeps, twice over: a full table becomes the older one, whose words move on when they are met again. Only
 #: speed depends on it.
 KEPT_WORDS, KEPT_BYTES = 450_000, 48 << 20
-#: Rows of the slot table up to which it is broadcast; a larger one is joined by shuffle.
-BROADCAST_SLOTS = 200_000
 
 
 class WordIds:
@@ -132,39 +130,45 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LE
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, kinds)
 
 
-def packing_patterns(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[int, tuple[int, ...]]]:
-    """(times, lengths) of packs that hold every length as often as the histogram says.
+def packing_patterns(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
+    """(times, ((length, pieces of it), ...)) of packs that hold every length as often as the histogram says.
 
     Lengths are placed longest first, each into the shortest packs that have room for it: the pack counts of a pattern
-    move, whole or in part, to the pattern with one more length; what finds no room opens packs. Work and result
-    depend on the number of different lengths, not of documents.
+    move, whole or in part, to the pattern with one more length; what finds no room opens packs, each with as many
+    pieces as go in. Work and result depend on the number of different lengths, not of documents: a length adds
+    three patterns at most, and a pattern has fewer different lengths than the square root of twice its size.
     """
-    by_room: dict[int, list[tuple[int, tuple[int, ...]]]] = defaultdict(list)
+    by_room: dict[int, list[tuple[int, tuple[tuple[int, int], ...]]]] = defaultdict(list)
     for size in sorted(histogram, reverse=True):
         left = histogram[size]
         while left:
             room = max((r for r, packs in by_room.items() if packs), default=-1)
             if room < size:
-                by_room[length - size].append((left, (size,)))
+                each = length // size
+                for times, pieces in ((left // each, each), (1, left % each)):
+                    if times and pieces:
+                        by_room[length - pieces * size].append((times, ((size, pieces),)))
                 break
             times, pattern = by_room[room].pop()
             use = min(left, times)
             if times > use:
                 by_room[room].append((times - use, pattern))
-            by_room[room - size].append((use, (*pattern, size)))
+            last, pieces = pattern[-1]
+            more = (*pattern[:-1], (size, pieces + 1)) if last == size else (*pattern, (size, 1))
+            by_room[room - size].append((use, more))
             left -= use
     return [p for packs in by_room.values() for p in packs]
 
 
-def pattern_slots(patterns: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int, int, int, int]]:
-    """(length, rank_from, rank_to, first_sequence, offset): which ranks of a length fill which place of which sequences."""
+def pattern_slots(patterns: list[tuple[int, tuple[tuple[int, int], ...]]]) -> list[tuple[int, int, int, int, int, int]]:
+    """(length, rank_from, rank_to, pieces, first_sequence, offset): which ranks of a length fill, so many a sequence, which sequences."""
     used, rows, first = defaultdict(int), [], 0
     for times, pattern in patterns:
         offset = 0
-        for size in pattern:
-            rows.append((size, used[size], used[size] + times, first, offset))
-            used[size] += times
-            offset += size
+        for size, pieces in pattern:
+            rows.append((size, used[size], used[size] + times * pieces, pieces, first, offset))
+            used[size] += times * pieces
+            offset += size * pieces
         first += times
     return rows
 
@@ -175,12 +179,13 @@ def pack_pieces(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
     pieces = stored(pieces)
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = pattern_slots(packing_patterns(histogram, length))
-    seats = pieces.sparkSession.createDataFrame(slots, "_length long, _from long, _to long, _first long, offset long")
+    # So many rows at most: three patterns per length, each with fewer than the square root of 2 * length different lengths.
+    seats = F.broadcast(pieces.sparkSession.createDataFrame(slots, "_length long, _from long, _to long, _pieces long, _first long, _offset long"))
     ranked = before(pieces, ["length", "doc_id", "start", "ids_crc32"], ["length"], out="_rank")
-    if len(slots) <= BROADCAST_SLOTS:
-        seats = F.broadcast(seats)
     seated = ranked.join(seats, (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
-    return seated.withColumn("sequence_id", F.col("_first") + F.col("_rank") - F.col("_from")).select(*pieces.columns, "sequence_id", "offset")
+    place = F.col("_rank") - F.col("_from")
+    sequence, offset = F.col("_first") + F.floor(place / F.col("_pieces")), F.col("_offset") + place % F.col("_pieces") * F.col("_length")
+    return seated.select(*pieces.columns, sequence.alias("sequence_id"), offset.alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

@@ -48,9 +48,30 @@ def test_empty(spark):
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 500), max_size=20))
 def test_patterns_hold_everything(hist):
-    n = defaultdict(int)
-    for times, p in P.packing_patterns(hist, 64):
-        assert sum(p) <= 64
-        for x in p:
-            n[x] += times
+    n, packs = defaultdict(int), 0
+    patterns = P.packing_patterns(hist, 64)
+    for times, p in patterns:
+        assert sum(x * k for x, k in p) <= 64
+        packs += times
+        for x, k in p:
+            n[x] += times * k
     assert dict(n) == hist
+    assert len(patterns) <= 3 * len(hist) + 1 and all(len(p) < 12 for _, p in patterns)
+    assert packs <= 1.5 * sum(x * k for x, k in hist.items()) / 64 + max([k for x, k in hist.items() if x > 32], default=0) + 2
+
+
+def test_few_sequences():
+    """As few as can be where only few lengths occur."""
+    for hist, least in (({600: 1000}, 334), ({100: 1000}, 50), ({700: 300, 500: 100}, 150), ({2048: 3, 1: 5000}, 6), ({1025: 10, 1023: 10}, 10)):
+        assert sum(times for times, _ in P.packing_patterns(hist)) == least, hist
+
+
+def test_equal_lengths_share_sequences(spark):
+    rows = [(i, 600, i) for i in range(1000)] + [(2000 + i, 3, i) for i in range(700)]
+    got = P.pack_pieces(spark.createDataFrame([(d, 0, n, c) for d, n, c in rows], "doc_id long, start long, length long, ids_crc32 long")).collect()
+    seqs = defaultdict(list)
+    for r in got:
+        seqs[r.sequence_id].append((r.offset, r.length))
+    assert len(got) == 1700 and sorted(seqs) == list(range(334))
+    for s in seqs.values():
+        assert [o for o, _ in sorted(s)] == [sum(n for _, n in sorted(s)[:i]) for i in range(len(s))] and sum(n for _, n in s) <= 2048
