@@ -116,9 +116,10 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pieces = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
     per_row = pieces.groupBy("row", "doc_id", "size").agg(F.sum("n_words").alias("taken"))
     times = per_row.groupBy("doc_id").agg(F.min_by(F.struct("taken", "size"), "row").alias("t"))
-    copies = times.select(F.col("doc_id").alias("_id"), F.when(F.col("t.size") > 0, F.floor(F.col("t.taken") / F.col("t.size") + 0.5)).otherwise(0).cast("int").alias("_times")).filter("_times > 0")
-    again = docs.join(copies.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_id"))).drop("_id")
-    return again.withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_times")
+    copies = times.select("doc_id", F.when(F.col("t.size") > 0, F.floor(F.col("t.taken") / F.col("t.size") + 0.5)).otherwise(0).cast("int").alias("times")).filter("times > 0")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.col(id_col).alias("own"))
+    again = rows.join(copies.hint("shuffle_hash"), F.col("own").eqNullSafe(F.col("doc_id")))
+    return again.select("d", F.explode(F.sequence(F.lit(1), F.col("times")))).select("d.*")
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

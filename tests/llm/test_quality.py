@@ -2,6 +2,7 @@ from collections import Counter
 
 import re
 from marquee.llm import quality as Q
+from pyspark.sql import functions as F
 
 WS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -32,8 +33,13 @@ def test_policies_and_ablations(spark):
     df = spark.createDataFrame([(1, good), (2, "short"), (3, good + " # # # # # # # # # # # # # # # #"), (4, None), (5, "\n".join(["same line here"] * 30))], "doc_id long, text string")
     kept = lambda p: {r.doc_id for r in Q.with_verdict(Q.ledger(df), p).filter("kept").collect()}
     assert kept("base") == {1, 3} and kept("v2") == {1}
-    extra = df.selectExpr("*", "5 as n_words")
+    extra = df.selectExpr("*", "5 as n_words", "6 as _measured", "7 as d", "8 as `a.b`")
     assert [r.doc_id for r in Q.keep_good(extra).collect()] == [1] and Q.keep_good(extra).columns == extra.columns
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        assert [r.doc_id for r in Q.keep_good(extra.withColumn("N_WORDS", F.lit(0))).collect()] == [1]
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
     a = {r.rule: r for r in Q.ablations(Q.ledger(df), "v2").collect()}
     assert a["symbols"].n_failed == 1 and a["symbols"].n_alone == 1 and a["too_few_words"].n_alone == 2 and a["symbols"].n_kept == 1
     assert Q.ledger(df.limit(0)).count() == 0
