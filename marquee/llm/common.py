@@ -71,6 +71,33 @@ def whole_runs(batches: Iterator[pa.RecordBatch], key: str, least: int = 4096) -
         yield {n: np.concatenate([h[n] for h in held]) for n in held[0]}
 
 
+def inner_pairs(key: np.ndarray, most: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i < j) with equal keys, of a sorted array, some ``most`` at a time."""
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    sizes = np.diff(np.append(edge, len(key)))
+    after = np.repeat(edge + sizes, sizes) - np.arange(len(key)) - 1  # later rows of the same key
+    total, done = np.cumsum(after), 0
+    while done < len(key):
+        end = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + most, "right")))
+        n = after[done:end]
+        i = np.repeat(np.arange(done, end), n)
+        yield i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        done = end
+
+
+def partnered(key: np.ndarray, short: np.ndarray, most: int, large: int = 64) -> np.ndarray:
+    """Rows of a sorted ``key`` that share it with a row whose short code differs in ``most`` bits at most; all rows of larger groups."""
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    sizes = np.diff(np.append(edge, len(key)))
+    sizes = np.repeat(sizes, sizes)
+    stays = sizes > large
+    small = np.flatnonzero((sizes > 1) & ~stays)
+    for i, j in inner_pairs(key[small]) if len(small) else ():
+        near = np.bitwise_count(short[small[i]] ^ short[small[j]]) <= most
+        stays[small[i[near]]] = stays[small[j[near]]] = True
+    return stays
+
+
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Least index linked with each of 0..n-1 through the links (a[i], b[i])."""
     label = np.arange(n)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -11,7 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm.common import components, forest, stored, table, whole_runs
+from marquee.llm.common import components, forest, inner_pairs, partnered, stored, table, whole_runs
+from marquee.sources.tables import discard
 
 BITS = 64
 SEED = 42
@@ -157,20 +159,173 @@ def near_duplicates(docs: DataFrame, budget: int = 3, id_col: str = "doc_id", te
     return prints.join(named.join(least, "component").select("fp", "component_id"), "fp")
 
 
-def keep_one(docs: DataFrame, budget: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of every class the row with the least id stays, all columns as they were.
+#: Wide fingerprints, of shingle sets: bits, and the shingles from which on their distances can be taken as normal.
+WIDE, MANY = 512, 32
+#: Deviations of a distance beyond which a pair is no longer in doubt, and the wanted share of pairs at the threshold that meet in a trie.
+DOUBT, RECALL = 3.5, 0.9
+_ODD = np.random.default_rng(11).integers(0, 1 << 63, WIDE // 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    A row without an id takes one from its text's hash, above all real ids; of rows that share an id and stay, one is kept.
+
+def shingle_set(data: bytes | None, words: int) -> np.ndarray:
+    """Sorted distinct XXH64 values of the shingles; a shorter text is one shingle."""
+    w = data.lower().split() if data else []
+    if len(w) <= words:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(w), SEED)] if w else [], np.uint64)
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, zip(*(w[i:] for i in range(words)))), repeat(SEED)), np.uint64, len(w) - words + 1))
+
+
+def wide_simhash(hashes: np.ndarray) -> np.ndarray:
+    """SimHash of ``WIDE`` bits, as 64-bit words, each word from the values mixed with another odd factor."""
+    ones = np.zeros(WIDE, np.int64)
+    for i in range(0, len(hashes), 1 << 14):
+        x = hashes[i : i + (1 << 14), None] * _ODD
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+        ones += np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
+
+
+def similar_plan(codes: int, similarity: float, recall: float = RECALL) -> tuple[int, int, int, int]:
+    """(tries, bits of their top levels, greatest distance beyond doubt below the threshold's, greatest distance at which a pair may
+    reach it). Sets of Jaccard similarity s have a cosine of 2s / (1 + s) at least, and each bit differs with probability angle / pi."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    top = min(40, max(8, math.ceil(math.log2(codes + 1)) + 3))
+    tries = max(1, math.ceil(math.log(1 - recall) / math.log(1 - (1 - p) ** top)))
+    spread = lambda q: DOUBT * math.sqrt(WIDE * q * (1 - q))
+    sure = next((d for d in range(int(WIDE * p), -1, -1) if d + spread(d / WIDE) <= WIDE * p), -1)
+    return tries, top, sure, math.ceil(WIDE * p + spread(p))
+
+
+def nearest_forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Indices of links that connect what all links do, the nearest ones: distance by distance, each round hooks every tree to a lower one."""
+    label, kept = np.arange(n), []
+    for level in np.unique(d):
+        at = np.flatnonzero(d == level)
+        while len(at := at[label[a[at]] != label[b[at]]]):
+            la, lb = label[a[at]], label[b[at]]
+            high, first = np.unique(np.maximum(la, lb), return_index=True)
+            kept.append(at[first])
+            label[high] = np.minimum(la, lb)[first]
+            while (label[label] != label).any():
+                label = label[label]
+    return np.concatenate(kept) if kept else np.zeros(0, np.int64)
+
+
+def similar_links(codes: DataFrame, similarity: float, recall: float = RECALL, leaf: int = 1024) -> DataFrame:
+    """(a, b, d): pairs of codes (columns node, code) within the distance at which sets may have the similarity; of what meets in one subtree,
+    the nearest pairs that connect the same.
+
+    One binary trie for each of many choices of bits, whose top levels have an error budget of zero; the subtrees below
+    are groups, and ``recall`` of the pairs at the threshold meet in one. Seats carry a short part of the code that drops chance
+    meetings; only what is left gets its whole code. Groups of over ``leaf`` codes are compared in pairs of chunks.
+    """
+    tries, top, _, most = similar_plan(codes.count(), similarity, recall)
+    choice = np.stack([np.random.default_rng([29, t]).choice(WIDE - 64, top, replace=False) + 64 for t in range(tries)])
+    p = most / WIDE
+    short = math.ceil(64 * p + DOUBT * math.sqrt(64 * p * (1 - p)))
+    weight = np.uint64(1) << np.arange(top, dtype=np.uint64)
+
+    def seats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 1000):
+                part = b.slice(i, 1000)
+                code = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                bits = np.unpackbits(code, axis=1, bitorder="little").astype(np.uint64)
+                keys = np.stack([bits[:, c] @ weight + (np.uint64(t) << np.uint64(48)) for t, c in enumerate(choice)], axis=1)
+                again = lambda x: pa.array(np.repeat(x, tries))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), again(part.column(0).to_numpy()), again(code[:, :8].copy().view(np.int64)[:, 0])], names=["key", "node", "short"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in whole_runs(batches, "key", 1 << 16):
+            key, stays = run["key"], partnered(run["key"], run["short"].view(np.uint64), short)
+            yield pa.RecordBatch.from_arrays([pa.array(key[stays]), pa.array(run["node"][stays])], names=["key", "node"])
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in whole_runs(batches, "key"):
+            code, found = np.frombuffer(b"".join(run["code"]), np.uint64).reshape(len(run["key"]), -1), []
+            for i, j in inner_pairs(run["key"]):
+                d = np.bitwise_count(code[i] ^ code[j]).sum(axis=1, dtype=np.int32)
+                near = d <= most
+                found.append((i[near], j[near], d[near]))
+            a, b, d = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+            kept = nearest_forest(len(code), a, b, d)
+            x, y = run["node"][a[kept]], run["node"][b[kept]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(d[kept].astype(np.int32))], names=["a", "b", "d"])
+
+    seated = codes.select("node", "code").mapInArrow(seats, "key long, node long, short long").repartition("key").sortWithinPartitions("key")
+    near = stored(seated.mapInArrow(meet, "key long, node long"))
+    hot = near.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > leaf)
+    tagged = near.join(hot, "key", "left")
+    chunks = F.ceil(F.col("n") * 2 / leaf).cast("int")
+    own = F.pmod(F.xxhash64("node"), chunks).cast("int")
+    pairs = tagged.filter("n is not null").select("key", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
+    groups = tagged.filter("n is null").select("key", "node").unionByName(pairs.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node"))
+    whole = groups.join(codes.select("node", "code"), "node").repartition("key").sortWithinPartitions("key")
+    return whole.mapInArrow(links, "a long, b long, d int").groupBy("a", "b").agg(F.min("d").alias("d"))
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) for every row: documents link when their sets of ``words``-word shingles have this Jaccard similarity or more.
+
+    Equal sets become one code first. Wide SimHash fingerprints propose pairs by trie self-joins; a pair whose distance leaves no doubt is a
+    link, the others are decided by their sets, unless links connect them already. Texts without words are one class. Rows
+    without an id or with a repeated one count by their texts; an empty table gives no rows.
+    """
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+    def work(with_set: bool):
+        def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(0, b.num_rows, 250):
+                    part = b.slice(i, 250)
+                    sets = [shingle_set(x.as_py(), words) for x in part.column(1).cast(pa.large_binary())]
+                    node = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+                    more = [pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))] if with_set else [pa.array([len(x) for x in sets], pa.int64()), pa.array([wide_simhash(x).tobytes() for x in sets], pa.binary())]
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node), *more], names=["doc_id", "node", *(["set"] if with_set else ["n", "code"])])
+
+        return f
+
+    prints = stored(given.mapInArrow(work(False), "doc_id long, node long, n long, code binary"))
+    codes = stored(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.min("code").alias("code")))
+    _, _, sure, _ = similar_plan(codes.count(), similarity)
+    found = stored(similar_links(codes.filter("n > 0"), similarity))
+    many = codes.filter(F.col("n") >= MANY).select("node")
+    beyond = found.filter(F.col("d") <= sure).join(many.withColumnRenamed("node", "a"), "a", "left_semi").join(many.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b")
+    beyond = stored(beyond)
+    groups = components(beyond)
+    side = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"{c}_group"))
+    open_ = found.join(side("a"), "a", "left").join(side("b"), "b", "left").filter(F.coalesce("a_group", "a") != F.coalesce("b_group", "b")).select("a", "b")
+    open_ = stored(open_)
+    asked = open_.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(codes.select("node", F.col("least").alias("doc_id")), "node")
+    texts = given.join(asked.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")
+    sets = stored(texts.mapInArrow(work(True), "doc_id long, node long, set array<long>").join(asked.select("node"), "node", "left_semi").groupBy("node").agg(F.first("set").alias("set")))
+    both = open_.join(sets.withColumnRenamed("node", "a").withColumnRenamed("set", "x"), "a").join(sets.withColumnRenamed("node", "b").withColumnRenamed("set", "y"), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    right = both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    classes = components(beyond.unionByName(right))
+    named = codes.select("node", "least").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    top = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    out = stored(prints.select("doc_id", "node").join(named.join(top, "component").select("node", "component_id"), "node").select("doc_id", "component_id"))
+    discard(prints, codes, found, beyond, open_, sets)
+    return out
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near duplicates (``similar_documents``): of every class the row with the least id stays, all columns as they were.
+
+    A row without an id takes one from its text's hash, above all real ids; of rows that share an id and stay, one is kept. An empty
+    table stays empty.
     """
     own = F.coalesce(F.col(id_col).cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64(text_col), F.lit(1 << 61)))
-    named = docs.withColumn("_own", own)
-    found = near_duplicates(named, budget, "_own", text_col)
-    kept = stored(found.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_own")).agg(F.count("*").alias("_n")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), own.alias("own"))
+    found = similar_documents(rows.select("own", F.col("d").getField(text_col).alias("text")), words, similarity, "own", "text")
+    kept = stored(found.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("own")).agg(F.count("*").alias("n")))
     # The few numbers are hashed, the texts are not sorted: they are moved once at any size and never spilled.
-    out = named.join(kept.select("_own").hint("shuffle_hash"), "_own")
-    if not kept.filter("_n > 1").isEmpty():
-        out = out.dropDuplicates(["_own"])
-    return out.select(docs.columns)
+    out = rows.join(kept.select("own").hint("shuffle_hash"), "own")
+    if not kept.filter("n > 1").isEmpty():
+        out = out.dropDuplicates(["own"])
+    return out.select("d.*")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,3 +59,65 @@ def test_trie_pairs_and_hot_groups(spark):
         for x, c in zip(codes.view(np.int64).tolist(), comp):
             expect.setdefault(c, set()).add(x)
         assert sorted(map(sorted, sets.values())) == sorted(sorted(s) for s in expect.values() if len(s) > 1), leaf
+
+
+def brute_similar(rows, words=5, least=0.8):
+    """Linked pairs of rows by the definition."""
+    sets = []
+    for _, t in rows:
+        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in (t or "")).encode().split()
+        sets.append({b" ".join(w[i : i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else {b" ".join(w)} if w else set())
+    same = lambda x, y: x == y if not x or not y else len(x & y) >= least * len(x | y)
+    return {(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if same(sets[i], sets[j])}
+
+
+def test_similar_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()]
+    long = [(d, t) for d, t in rows if t and len(t.split()) > 80][:20]
+    for k, (_, t) in enumerate(long):
+        for m in (1, 2, 4, 8, 16):
+            w = t.split()
+            for i in rng.integers(0, len(w), max(1, len(w) * m // 400)):
+                w[i] = f"x{i}"
+            rows.append((8000 + 10 * k + m, " ".join(w)))
+    rows += [(9001, None), (9002, ""), (9004, "One two"), (9005, "one TWO"), (None, long[0][1]), (rows[3][0], rows[3][1]), (9006, "long word " * 30000)]
+    df = spark.createDataFrame([(i, d, t) for i, (d, t) in enumerate(rows)], "row long, doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in S.similar_documents(df, id_col="row").collect()}
+    want = brute_similar(rows)
+    comp = list(range(len(rows)))
+    for _ in rows:
+        for i, j in sorted(want):
+            comp[i] = comp[j] = min(comp[i], comp[j])
+    assert all(comp[i] == comp[c] for i, c in got.items()), "linked what is not similar"
+    met = sum(got[i] == got[j] for i, j in want)
+    assert met >= 0.95 * len(want), (met, len(want))
+    kept = S.keep_one(df.selectExpr("*", "1 as d", "2 as own", "3 as n", "4 as node"), id_col="row")
+    assert kept.columns == ["row", "doc_id", "text", "d", "own", "n", "node"]
+    assert sorted(r.row for r in kept.collect()) == sorted(set(got.values()))
+
+
+def test_similar_large_group_in_chunks(spark):
+    """A group of near copies that all trees split: one class whatever the size of a leaf."""
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(400)]
+    rows = [(-1, " ".join(f"v{i}" for i in range(300)))]
+    for k in range(150):
+        w = list(base)
+        for i in rng.integers(0, 400, 3):
+            w[i] = f"y{k}"
+        rows.append((k, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.component_id for r in S.similar_documents(df.filter("doc_id >= 0")).collect()} == {0}
+    codes = S.stored(df.select("doc_id", "text")).count()
+    assert codes == 151
+
+
+def test_nearest_forest():
+    a, b, d = np.array([0, 0, 1, 3]), np.array([1, 2, 2, 4]), np.array([5, 1, 2, 7])
+    assert sorted(S.nearest_forest(5, a, b, d).tolist()) == [1, 2, 3]
+
+
+def test_similar_empty(spark):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    assert S.similar_documents(df).count() == 0 and S.keep_one(df).count() == 0
