@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm.common import components, stored, table, whole_runs
+from marquee.llm.common import components, inner_pairs, partnered, stored, table, whole_runs
 
 #: Vectors (at most) that a rotation is fitted on: those with the least hash of their id.
 FIT_ROWS = 20_000
@@ -54,45 +54,10 @@ def fit_rotation(x: np.ndarray, bits: int, seed: int, steps: int = 30) -> np.nda
 
 def table_plan(rows: int, threshold: float, recall: float = RECALL) -> tuple[int, int]:
     """(tables, bits per table): tables take about log2(rows) bits, so a bucket holds few vectors at any size; as many tables as
-    a pair at the threshold needs to agree, but for one bit, in one of them with chance ``recall``."""
-    bits = max(8, min(30, math.ceil(math.log2(max(rows, 2)))))
+    a pair at the threshold needs to agree in one of them with chance ``recall``."""
+    bits = max(8, min(40, math.ceil(math.log2(max(rows, 2)))))
     p = math.acos(max(-1.0, min(1.0, threshold))) / math.pi
-    meet = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(meet, 0.999)))), bits
-
-
-def _first_meeting(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The first table in which keys (pairs x tables) agree but for one bit; -1: none."""
-    near = np.bitwise_count(a ^ b) <= 1
-    return np.where(near.any(axis=1), near.argmax(axis=1), -1)
-
-
-def _meet(run: dict[str, np.ndarray], tables: int, most: int, most_pairs: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (home, row; seat 0 is a row, 1 a home, 2 both) of a run of whole buckets: each pair of vectors once in all tables and buckets, where its codes differ
-    in ``most`` bits at most. A pair counts in the first table where its keys are near; there at the home bucket of the lower id."""
-    bucket, seat, vec, keys = run["bucket"], run["seat"], run["vec_id"], run["keys"]
-    edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-    sizes = np.diff(np.append(edge, len(bucket)))
-    at = np.repeat(edge, sizes)
-    homes = np.flatnonzero((seat > 0) & (np.repeat(sizes, sizes) > 1))
-    counts = np.repeat(sizes, sizes)[homes]
-    done = 0
-    while done < len(homes):
-        take = max(1, int(np.searchsorted(np.cumsum(counts[done:]), most_pairs, "right")))
-        h, n = homes[done : done + take], counts[done : done + take]
-        done += take
-        left = np.repeat(h, n)
-        right = np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at[h], n)
-        lower = (vec[left] < vec[right]) & (seat[right] != 1)
-        left, right = left[lower], right[lower]
-        fine = np.bitwise_count(keys[left] ^ keys[right]).sum(axis=1, dtype=np.int32) <= most
-        left, right = left[fine], right[fine]
-        fine = _first_meeting(keys[left], keys[right]) == run["table"][left]
-        yield left[fine], right[fine]
-
-
-def _run_keys(run: dict[str, np.ndarray], tables: int, kind: str) -> dict[str, np.ndarray]:
-    return run | {"keys": np.frombuffer(b"".join(run["code"]), kind).reshape(-1, tables)}
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - min((1 - p) ** bits, 0.999)))), bits
 
 
 def near_vectors(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", fit_rows: int = FIT_ROWS, recall: float = RECALL, chunk: int = 512) -> DataFrame:
@@ -101,10 +66,10 @@ def near_vectors(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id",
     Vectors link when their cosine in double precision reaches ``threshold``; vectors that are null, zero or not finite, and rows
     without an id, link with nothing. Equal vectors are found by value, before any search, and stand as one with their
     number. A rotation fitted on at most ``fit_rows`` vectors gives every vector a binary code; multi-index tables
-    fetch pairs whose keys differ in one bit at most somewhere, and only vectors with such a partner are sent on for the exact
-    cosine. Buckets of over ``chunk`` rows are compared in pairs of chunks, spread over tasks; within a bucket
-    no pair is written out, only sums and links. Vectors of different lengths never link. Repeated rows count as
-    vectors of their own. Recall at the threshold is at least about ``recall``.
+    fetch pairs that agree on one of its parts. Seats are a key, an id and a short code that drops chance meetings; only vectors
+    with a partner are sent on for the exact cosine. Buckets of over ``chunk`` rows are compared in pairs of chunks, spread over
+    tasks; within a bucket no pair is written out, only sums and links. Vectors of different lengths never link. Repeated rows
+    count as vectors of their own. Recall at the threshold is at least about ``recall``. An empty table gives no rows.
     """
     rows = stored(clean_vectors(df, id_col, vector_col))
     valid = rows.filter("v is not null and vec_id is not null")
@@ -136,59 +101,55 @@ def _links(groups: DataFrame, d: int, threshold: float, fit_rows: int, recall: f
     tables, bits = table_plan(groups.count(), threshold, recall)
     turn = spark.sparkContext.broadcast(fit_rotation(fit, tables * bits, seed=7))
     p = math.acos(threshold) / math.pi
-    most = math.ceil(tables * bits * p + 4 * math.sqrt(tables * bits * p * (1 - p)))
-    flips = [0, *(1 << i for i in range(bits))]
-    kind = "<u2" if bits <= 16 else "<u4"
+    above = lambda n: math.ceil(n * p + 4 * math.sqrt(n * p * (1 - p)))
+    most, short_bits = above(tables * bits), min(64, tables * bits)
+    kind = "<u2" if bits <= 16 else "<u4" if bits <= 32 else "<u8"
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = (1 << np.arange(bits)).astype(np.uint32)
+        weight, places = np.uint64(1) << np.arange(bits, dtype=np.uint64), np.uint64(1) << np.arange(short_bits, dtype=np.uint64)
         for b in batches:
-            if not b.num_rows:
-                continue
-            x = unit(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d))
-            keys = ((x @ turn.value >= 0).reshape(len(x), tables, bits) * weight).sum(axis=2, dtype=np.uint32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k.tobytes() for k in keys.astype(kind)], pa.binary()), pa.array(list(keys.astype(np.int64)), pa.list_(pa.int64()))], names=["vec_id", "code", "keys"])
-
-    coded = stored(groups.select(F.col("rep").alias("vec_id"), "v").mapInArrow(code, "vec_id long, code binary, keys array<long>"))
-    number = F.shiftleft(F.col("table").cast("long"), 40) + F.col("key")
-    each = coded.select("vec_id", "code", F.posexplode("keys").alias("table", "key")).select("vec_id", "code", "table", number.alias("bucket"))
-    turned = lambda *more: F.explode(F.array(*[F.struct(F.col("bucket").bitwiseXOR(F.lit(f).cast("long")).alias("bucket"), F.lit(f == 0).alias("home"), *more) for f in flips])).alias("t")
-    seats = each.select("vec_id", "code", "table", turned()).select("vec_id", "code", "table", "t.bucket", "t.home")
-    # How many rows a bucket gets follows from the homes of the buckets around it, so only few need counting.
-    lived = stored(each.groupBy("bucket").agg(F.count("*").alias("homes")))
-    around = stored(lived.filter(F.col("homes") > chunk // len(flips)).select(turned()).select("t.bucket").distinct())
-    members = lived.select(turned("homes")).select("t.bucket", "t.homes").join(around, "bucket", "left_semi").groupBy("bucket").agg(F.sum("homes").alias("members"))
-    total = stored(members.join(lived, "bucket", "left").withColumn("homes", F.coalesce("homes", F.lit(0))).filter((F.col("members") > chunk) & (F.col("homes") > 0)))
-    dealt = seats.join(total, "bucket", "left")
-    wide, tall = F.ceil(F.col("homes") / chunk).cast("int"), F.ceil(F.col("members") / chunk).cast("int")
-    # A home goes to its own chunk of homes against all chunks of rows; every row to its chunk of rows against all chunks of homes.
-    mine_h, mine_r = F.pmod(F.xxhash64("vec_id", F.lit(1)), wide).cast("int"), F.pmod(F.xxhash64("vec_id", F.lit(2)), tall).cast("int")
-    as_home = F.when(F.col("home"), F.transform(F.sequence(F.lit(0), tall - 1), lambda j: F.struct(mine_h.alias("h"), j.alias("r"), F.lit(1).alias("seat")))).otherwise(F.array().cast("array<struct<h:int,r:int,seat:int>>"))
-    as_row = F.transform(F.sequence(F.lit(0), wide - 1), lambda i: F.struct(i.alias("h"), mine_r.alias("r"), F.lit(0).alias("seat")))
-    split = F.col("members").isNotNull()
-    plain = F.array(F.struct(F.lit(0).alias("h"), F.lit(0).alias("r"), F.when(F.col("home"), 2).otherwise(0).alias("seat")))
-    blocks = dealt.select("vec_id", "code", "table", "bucket", F.explode(F.when(split, F.concat(as_home, as_row)).otherwise(plain)).alias("c"))
-    blocks = blocks.select("vec_id", "code", F.col("table").cast("int").alias("table"), F.when(F.col("c.h") + F.col("c.r") == 0, F.col("bucket")).otherwise(F.xxhash64("bucket", "c.h", "c.r")).alias("bucket"), F.col("c.seat").alias("seat"))
-
-    def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in whole_runs(batches, "bucket"):
-            run = _run_keys(run, tables, kind)
-            has = np.zeros(len(run["bucket"]), bool)
-            for a, b in _meet(run, tables, most):
-                has[a] = has[b] = True
-            i = np.flatnonzero(has)
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(run[n][i]) for n in ("vec_id", "code", "table", "bucket", "seat")], names=["vec_id", "code", "table", "bucket", "seat"])
-
-    shape = "vec_id long, code binary, table int, bucket long, seat int"
-    near = stored(blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(survivors, shape))
+            for i in range(0, b.num_rows, 1000):
+                part = b.slice(i, 1000)
+                x = unit(part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d))
+                ones = (x @ turn.value >= 0).astype(np.uint64)
+                keys = ones.reshape(len(x), tables, bits) @ weight
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([k.tobytes() for k in keys.astype(kind)], pa.binary()), pa.array((ones[:, :short_bits] @ places).view(np.int64))], names=["vec_id", "code", "short"])
+
+    coded = stored(groups.select(F.col("rep").alias("vec_id"), "v").mapInArrow(code, "vec_id long, code binary, short long"))
+
+    def seats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = np.arange(tables, dtype=np.int64) << 40
+        for b in batches:
+            for i in range(0, b.num_rows, 1000):
+                part = b.slice(i, 1000)
+                keys = np.frombuffer(b"".join(part.column(1).to_pylist()), kind).reshape(-1, tables).astype(np.int64) + number
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), tables)), pa.array(np.repeat(part.column(2).to_numpy(), tables))], names=["bucket", "vec_id", "short"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in whole_runs(batches, "bucket", 1 << 16):
+            stays = partnered(run["bucket"], run["short"].view(np.uint64), above(short_bits))
+            yield pa.RecordBatch.from_arrays([pa.array(run["bucket"][stays]), pa.array(run["vec_id"][stays])], names=["bucket", "vec_id"])
+
+    seated = coded.mapInArrow(seats, "bucket long, vec_id long, short long").repartition("bucket").sortWithinPartitions("bucket")
+    near = stored(seated.mapInArrow(meet, "bucket long, vec_id long"))
+    tagged = near.join(near.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > chunk), "bucket", "left")
+    number = F.shiftright("bucket", 40).cast("int").alias("table")
+    plain = tagged.filter("n is null").select("bucket", "vec_id", number, F.lit(0).alias("own"), F.lit(True).alias("same"))
+    chunks = F.ceil(F.col("n") * 2 / chunk).cast("int")
+    split = tagged.filter("n is not null").select("bucket", "vec_id", number, F.pmod(F.xxhash64("vec_id"), chunks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
+    split = split.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "vec_id", "table", "own", (F.col("own") == F.col("other")).alias("same"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in whole_runs(batches, "bucket", 2 * chunk):
-            run = _run_keys(run, tables, kind)
+            keys, own, same, place = np.frombuffer(b"".join(run["code"]), kind).reshape(-1, tables), run["own"], run["same"].astype(bool), run["table"]
             x = unit(np.stack(run["v"]).astype(np.float64))
             n, top = np.zeros(len(x), np.int64), np.arange(len(x))
-            for a, b in _meet(run, tables, most, 50_000):
+            for a, b in inner_pairs(run["bucket"], 50_000):
+                # Chunks of one bucket meet once; a pair counts in the first table where its keys agree.
+                fine = (same[a] | (own[a] != own[b])) & (np.bitwise_count(keys[a] ^ keys[b]).sum(axis=1, dtype=np.int32) <= most)
+                a, b = a[fine], b[fine]
+                fine = (keys[a] == keys[b]).argmax(axis=1) == place[a]
+                a, b = a[fine], b[fine]
                 linked = np.einsum("ij,ij->i", x[a], x[b]) >= threshold
                 a, b = a[linked], b[linked]
                 np.add.at(n, a, run["copies"][b])
@@ -205,8 +166,8 @@ def _links(groups: DataFrame, d: int, threshold: float, fit_rows: int, recall: f
             other = run["vec_id"][top[i]]
             yield pa.RecordBatch.from_arrays([pa.array(run["vec_id"][i]), pa.array(n[i]), pa.array(other, mask=other == run["vec_id"][i])], names=["vec_id", "n", "other"])
 
-    with_v = near.join(groups.select(F.col("rep").alias("vec_id"), "v", "copies"), "vec_id")
-    return with_v.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(verify, "vec_id long, n long, other long")
+    whole = plain.unionByName(split).join(coded.select("vec_id", "code"), "vec_id").join(groups.select(F.col("rep").alias("vec_id"), "v", "copies"), "vec_id")
+    return whole.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(verify, "vec_id long, n long, other long")
 
 
 def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
