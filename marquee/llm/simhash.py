@@ -162,7 +162,7 @@ def near_duplicates(docs: DataFrame, budget: int = 3, id_col: str = "doc_id", te
 #: Wide fingerprints, of shingle sets: bits, and the shingles from which on their distances can be taken as normal.
 WIDE, MANY = 512, 32
 #: Deviations of a distance beyond which a pair is no longer in doubt, and the wanted share of pairs at the threshold that meet in a trie.
-DOUBT, RECALL = 3.5, 0.9
+DOUBT, RECALL = 3.5, 0.98
 _ODD = np.random.default_rng(11).integers(0, 1 << 63, WIDE // 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -190,7 +190,7 @@ def similar_plan(codes: int, similarity: float, recall: float = RECALL) -> tuple
     """(tries, bits of their top levels, greatest distance beyond doubt below the threshold's, greatest distance at which a pair may
     reach it). Sets of Jaccard similarity s have a cosine of 2s / (1 + s) at least, and each bit differs with probability angle / pi."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    top = min(40, max(8, math.ceil(math.log2(codes + 1)) + 3))
+    top = min(40, max(8, math.ceil(math.log2(codes + 1)) - 2))
     tries = max(1, math.ceil(math.log(1 - recall) / math.log(1 - (1 - p) ** top)))
     spread = lambda q: DOUBT * math.sqrt(WIDE * q * (1 - q))
     sure = next((d for d in range(int(WIDE * p), -1, -1) if d + spread(d / WIDE) <= WIDE * p), -1)
