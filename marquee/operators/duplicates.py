@@ -128,6 +128,11 @@ def stale_records(downloads: DataFrame, present: DataFrame) -> DataFrame:
     return downloads.join(gone, "download_id", "left").withColumn("status", F.when(F.col("_gone"), "stale").otherwise(F.col("status"))).drop("_gone")
 
 
+def present_records(files: DataFrame, downloads: DataFrame) -> DataFrame:
+    """File rows (with download_id) whose record ``stale_records`` has not made stale."""
+    return files.join(downloads.filter("status = 'stale'").select("download_id"), "download_id", "left_anti")
+
+
 def exact_file_matches(new: DataFrame, registry: DataFrame, present: DataFrame) -> DataFrame:
     """(position, path, keeper): new files whose hash a registered file has that is there; its newest (file_id) keeps."""
     best = registry.join(present, "path", "left_semi").groupBy("sha256").agg(F.max_by("path", "file_id").alias("keeper"))

@@ -8,9 +8,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from marquee.functions.text import fold, known_text
+from marquee.operators.ordering import before
 
 METRICS = {"views": "view_count", "likes": "like_count"}
 #: Names under which a clause may call a field.
@@ -175,5 +175,5 @@ def missing_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def search_catalog(df: DataFrame, term: str, per: list[str], order: list[str]) -> DataFrame:
     """Numbers 1..n per group in order, then the rows whose title contains the term, under their numbers."""
-    numbered = df.withColumn("number", F.row_number().over(Window.partitionBy(*per).orderBy(*order)).cast("long"))
+    numbered = before(df, [*per, *order], per, out="number").withColumn("number", F.col("number") + 1)
     return numbered.filter(title_contains(term))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marquee.operators.ordering import before
+
 #: Item and job statuses.
 STATUSES = ("pending", "downloading", "postprocessing", "verifying", "completed", "skipped_duplicate", "skipped_unavailable", "failed_retryable", "failed_final", "cancelled")
 TRANSIENT = ("downloading", "postprocessing", "verifying")
@@ -27,16 +29,27 @@ NEXT = {
 _BLOCK = 1000
 
 
+def _canonical(columns: list[str]) -> Column:
+    """The columns as a JSON object with sorted keys and no spaces; nulls are named."""
+    return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
+
+
 def selection_hash(items: DataFrame, per: str, columns: list[str]) -> DataFrame:
-    """(per, content_hash, n_items): SHA-256 over the rows in position order. Blocks of positions are hashed first, so no group
-    is gathered whole; equal rows in another order give another hash. Nulls differ from empty texts."""
-    row = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in columns]), 256)
-    placed = items.select(per, F.floor(F.col("position") / _BLOCK).alias("_block"), "position", row.alias("_h"))
+    """(per, content_hash, n_items): SHA-256 over the rows' canonical JSON in position order. Blocks of positions are hashed first, so no
+    group is gathered whole; equal rows in another order give another hash."""
+    placed = items.select(per, F.floor(F.col("position") / _BLOCK).alias("_block"), "position", F.sha2(_canonical(columns), 256).alias("_h"))
     joined = lambda order, value: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]), ","), 256)
     blocks = placed.groupBy(per, "_block").agg(joined("position", "_h").alias("_b"), F.count("*").alias("_n"))
     return blocks.groupBy(per).agg(joined("_block", "_b").alias("content_hash"), F.sum("_n").alias("n_items"))
 
 
+def plan_hash(items: DataFrame, per: str, columns: list[str], settings: DataFrame) -> DataFrame:
+    """(per, content_hash): SHA-256 of the canonical JSON of a plan's settings (all other columns of ``settings``, one row per plan: source,
+    format, quality, mode, directory, label, sort) and of its items' hash. Ids and times stay out if they are no columns."""
+    both = settings.join(selection_hash(items, per, columns).withColumnRenamed("content_hash", "items"), per)
+    return both.select(per, F.sha2(_canonical(["items", *[c for c in settings.columns if c != per]]), 256).alias("content_hash"))
+
+
 def verify_snapshots(items: DataFrame, hashes: DataFrame, per: str, columns: list[str]) -> DataFrame:
     """(per, valid): whether the recomputed hash equals the stored one; a missing side is invalid."""
     now = selection_hash(items, per, columns).withColumnRenamed("content_hash", "_now")
@@ -55,8 +68,8 @@ def due_at(now: datetime.datetime, seconds: Column) -> Column:
 def create_job_items(selected: DataFrame, existing: DataFrame, job: str = "job_id", key: str = "media_key") -> DataFrame:
     """Pending items with positions from 0 in rank order, for jobs that don't exist yet and repeat no key (``rejected_jobs`` has the others)."""
     bad = rejected_jobs(selected, existing, job, key).select(job)
-    place = F.row_number().over(Window.partitionBy(job).orderBy("rank")).cast("long") - 1
-    return selected.join(bad, job, "left_anti").select(job, key, place.alias("position"), F.lit("pending").alias("status"), F.lit(0).cast("long").alias("attempts"))
+    fresh = before(selected.select(job, key, "rank").join(bad, job, "left_anti"), [job, "rank"], [job], out="position")
+    return fresh.select(job, key, "position", F.lit("pending").alias("status"), F.lit(0).cast("long").alias("attempts"))
 
 
 def rejected_jobs(selected: DataFrame, existing: DataFrame, job: str = "job_id", key: str = "media_key") -> DataFrame:

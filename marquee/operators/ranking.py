@@ -116,7 +116,7 @@ def pick_positions(df: DataFrame, text: str, per: str = "source_id") -> DataFram
     numbers = parse_numbers(text)
     spark = df.sparkSession
     picks = spark.createDataFrame(list(enumerate(numbers, 1)), "ord long, rank long")
-    return ranked(df, "source", per).join(F.broadcast(picks), "rank")
+    return ranked(df, "source", per, spread=True).join(F.broadcast(picks), "rank")
 
 
 def parse_numbers(text: str) -> list[int]:

@@ -31,6 +31,28 @@ FAILURE_MARKS: tuple[tuple[str, bool, tuple[str, ...]], ...] = (
     ("extractor", False, ("no supported javascript runtime could be found", "challenge solver", "challenge solving failed", "signature solving failed", "unable to extract yt initial data", "incomplete data received in embedded initial data", "no title found in player responses")),
     ("unavailable", False, ("video unavailable", "video is unavailable", "this video is unavailable", "no longer available", "unavailable video", "this content is unavailable")),
 )
+#: What a user is told of each category.
+USER_MESSAGES = {
+    "filename_too_long": "The generated filename exceeded the filesystem component limit.",
+    "disk_space": "Download paused because the destination is low on free disk space.",
+    "drm": "This media is DRM-protected; the protection is not bypassed.",
+    "private": "This video is private.",
+    "deleted": "This video has been removed.",
+    "geo_blocked": "This media is not available in the current region.",
+    "age_restricted": "This media requires authorized age-verified access.",
+    "bot_check": "YouTube requested signed-in browser cookies to continue.",
+    "cookie_access": "Browser cookies could not be read or decrypted. Close Chromium completely if its cookie database is locked; on Windows, use Firefox or a Netscape cookie file when Chromium App-Bound cookies cannot be decrypted.",
+    "po_token_required": "YouTube requires a compatible Proof-of-Origin (PO) token for this request.",
+    "auth_required": "This media requires authorized signed-in access.",
+    "rate_limit": "The service is rate-limiting requests; retry later with backoff.",
+    "forbidden": "YouTube returned HTTP 403 Forbidden for this media request.",
+    "server": "The remote service returned a temporary server error.",
+    "network": "A temporary network error interrupted the request.",
+    "live_not_ready": "This scheduled/live media is not available yet.",
+    "extractor": "YouTube extraction failed before availability could be determined.",
+    "unavailable": "This media is unavailable.",
+    "unknown": "The media request failed with an unclassified error.",
+}
 #: Fixed values.
 SERVER_CODES = r"\b(500|502|503|504)\b"
 RESTRICTED = ("auth_required", "age_restricted", "geo_blocked", "drm")
@@ -55,9 +77,14 @@ def is_retryable(category: Column) -> Column:
     return category.isin(*[name for name, again, _ in FAILURE_MARKS if again])
 
 
+def user_message(category: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in USER_MESSAGES.items() for x in pair]), category)
+
+
 def classify_failures(df: DataFrame, message: str = "message") -> DataFrame:
+    """Add category, retryable and user_message."""
     out = df.withColumn("category", failure_category(F.col(message)))
-    return out.withColumn("retryable", is_retryable(F.col("category")))
+    return out.withColumns({"retryable": is_retryable(F.col("category")), "user_message": user_message(F.col("category"))})
 
 
 def attempt_log_flags(logs: DataFrame) -> DataFrame:
@@ -73,7 +100,8 @@ def promote_failures(classified: DataFrame, flags: DataFrame) -> DataFrame:
     joined = classified.join(flags, "attempt_id", "left")
     c = F.col("category")
     new = F.when((c == "forbidden") & F.col("token_warning"), "po_token_required").when((c == "bot_check") & F.col("cookie_warning"), "cookie_access").when((c == "unavailable") & F.col("extraction_warning"), "extractor").otherwise(c)
-    return joined.withColumn("category", new).withColumn("retryable", is_retryable(F.col("category"))).select(*classified.columns)
+    out = joined.withColumn("category", new).withColumns({"retryable": is_retryable(F.col("category")), "user_message": user_message(F.col("category"))})
+    return out.select(*classified.columns)
 
 
 def jobs_with_items(jobs: DataFrame, sources: DataFrame, items: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from marquee.functions.text import normalized_title, redacted, title_tokens
 from marquee.operators import catalog as c
 from marquee.operators import filters as f
 from marquee.operators import index as i
-from marquee.operators.jobs import selection_hash
+from marquee.operators.jobs import plan_hash, selection_hash
+from marquee.operators.ordering import before
 from marquee.plans.registry import query
 from marquee.sources.tables import shared_dir, write_index_tables
 
@@ -128,10 +129,18 @@ query("f10_usable_items", f"SELECT source_id, media_key FROM media WHERE ({_ACTI
 query(
     "p8_selection_hash",
     """SELECT source_id, sha256(string_agg(b, ',' ORDER BY block)) AS content_hash, CAST(sum(n) AS BIGINT) AS n_items FROM (SELECT source_id, position // 1000 AS block, count(*) AS n,
- sha256(string_agg(sha256(media_key || chr(31) || title || chr(31) || coalesce(CAST(view_count AS VARCHAR), chr(30))), ',' ORDER BY position)) AS b FROM media GROUP BY source_id, position // 1000) t GROUP BY source_id""",
-)(lambda v: selection_hash(v.media, "source_id", ["media_key", "title", "view_count"]))
-query("p12_redact_messages", """SELECT doc_id, regexp_replace('Token: ' || CAST(doc_id AS VARCHAR) || ', ' || text, '(?i)(token\\s*[:=]\\s*)([^\\s,;]+)', '\\1[REDACTED]', 'g') AS message FROM documents WHERE NOT regexp_matches(text, '(?i)(cookie|authorization|password)\\s*[:=]')""")(
-    lambda v: v.spark.read.parquet(f"{v.sf_dir}/documents.parquet").filter(~F.col("text").rlike(r"(?i)(cookie|authorization|password)\s*[:=]")).select("doc_id", redacted(F.concat(F.lit("Token: "), F.col("doc_id").cast("string"), F.lit(", "), "text")).alias("message"))
+ sha256(string_agg(sha256(CAST(json_object('media_key', media_key, 'title', title, 'view_count', view_count) AS VARCHAR)), ',' ORDER BY position)) AS b FROM media GROUP BY source_id, position // 1000) t GROUP BY source_id""",
+)(lambda v: selection_hash(v.media, "source_id", ["title", "media_key", "view_count"]))
+query(
+    "p8_plan_hash",
+    """SELECT source_id, sha256(CAST(json_object('items', content_hash, 'output_format', 'mp4', 'quality', 'best', 'source', source_id) AS VARCHAR)) AS content_hash FROM (SELECT source_id, sha256(string_agg(b, ',' ORDER BY block)) AS content_hash
+ FROM (SELECT source_id, position // 1000 AS block, sha256(string_agg(sha256(CAST(json_object('media_key', media_key, 'title', title) AS VARCHAR)), ',' ORDER BY position)) AS b FROM media GROUP BY source_id, position // 1000) t GROUP BY source_id) u""",
+)(lambda v: plan_hash(v.media, "source_id", ["media_key", "title"], v.media.select("source_id").distinct().selectExpr("source_id", "source_id AS source", "'mp4' AS output_format", "'best' AS quality")))
+_SECRETS = "'Token: ' || CAST(doc_id AS VARCHAR) || ', ' || text"
+for _name, _value in (("authorization", "[^\\s,;]+"), ("cookie", "[^\\r\\n]+"), ("token", "[^\\s,;]+"), ("password", "[^\\s,;]+")):
+    _SECRETS = f"regexp_replace({_SECRETS}, '(?i)({_name}\\s*[:=]\\s*)({_value})', '\\1[REDACTED]', 'g')"
+query("p12_redact_messages", f"SELECT doc_id, {_SECRETS} AS message FROM documents")(
+    lambda v: v.spark.read.parquet(f"{v.sf_dir}/documents.parquet").select("doc_id", redacted(F.concat(F.lit("Token: "), F.col("doc_id").cast("string"), F.lit(", "), "text")).alias("message"))
 )
 _NAMED = "upper(title) || ' / ' || title || ': x'"
 _NAME_SQL = """CASE WHEN upload_date IS NULL THEN '' ELSE strftime(upload_date, '%Y-%m-%d') || ' - ' END || regexp_replace(regexp_replace(regexp_replace(replace(upper(title) || ' / ' || title || ': x', '/', ' - '), '[:]', ' - ', 'g'), '\\s+', ' ', 'g'), '(?:\\s*-\\s*){2,}', ' - ', 'g') || ' [' || media_key || '].mp4'"""
@@ -142,14 +151,14 @@ query("p14_route_folders", "SELECT media_key, CASE WHEN position % 4 = 0 THEN 'A
 )
 
 # --- order, sets, index ---------------------------------------------------------------------------------------------
-query("w1_assign_positions", "SELECT source_id, media_key, row_number() OVER (PARTITION BY source_id ORDER BY position) - 1 AS place FROM media WHERE position % 3 <> 1")(
-    lambda v: v.media.filter("position % 3 <> 1").select("source_id", "media_key", (F.row_number().over(c.Window.partitionBy("source_id").orderBy("position")) - 1).cast("long").alias("place"))
+query("w1_assign_positions", "SELECT source_id, media_key, row_number() OVER (PARTITION BY source_id ORDER BY position) - 1 AS place FROM media")(
+    lambda v: before(v.media.select("source_id", "media_key", "position"), ["source_id", "position"], ["source_id"], out="place").select("source_id", "media_key", "place")
 )
 query("w2_first_seen", f"SELECT source_id, k AS media_key, min(pos) AS position FROM ({_USABLE}) u GROUP BY source_id, k")(
     lambda v: c.first_seen(c.listing_entries(v.listings).filter("e IS NOT NULL").select("source_id", F.trim("e.id").alias("media_key"), "position"), ["source_id", "media_key"], ["position"])
 )
-query("u1_union_sources", "SELECT source_id, media_key, position FROM media WHERE source_id IN ('src1', 'src2') UNION ALL SELECT source_id || '/shorts', media_key, position FROM media WHERE media_type = 'short'")(
-    lambda v: v.media.filter("source_id IN ('src1', 'src2')").select("source_id", "media_key", "position").unionByName(v.media.filter("media_type = 'short'").select(F.concat("source_id", F.lit("/shorts")).alias("source_id"), "media_key", "position"))
+query("u1_union_sources", "SELECT source_id, media_key, position FROM media UNION ALL SELECT source_id || '/shorts', media_key, position FROM media WHERE media_type = 'short'")(
+    lambda v: v.media.select("source_id", "media_key", "position").unionByName(v.media.filter("media_type = 'short'").select(F.concat("source_id", F.lit("/shorts")).alias("source_id"), "media_key", "position"))
 )
 query("u2_shared_media", "SELECT media_key, count(DISTINCT source_id) AS n_sources, min(source_id) AS first_source FROM (SELECT source_id, media_key FROM media UNION ALL SELECT 'src99', media_key FROM media WHERE position % 3 = 0) t GROUP BY media_key")(
     lambda v: c.shared_media(v.media.select("source_id", "media_key").unionByName(v.media.filter("position % 3 = 0").select(F.lit("src99").alias("source_id"), "media_key")))

@@ -78,8 +78,8 @@ _CONF = f"""coalesce(CASE WHEN c = 'likely_variant' AND lv <> rv THEN {_MEAN('au
  WHEN c = 'same_media' AND lv THEN {_MEAN('video', 'audio', 'dur')} WHEN c = 'audio_variant' THEN {_MEAN('audio', '1 - video', 'dur')} WHEN c = 'likely_variant' AND lv THEN {_MEAN('audio', 'video', 'dur')}
  WHEN c = 'different' AND lv THEN {_MEAN('1 - audio', '1 - video')} WHEN c = 'different' THEN {_MEAN('1 - audio')} ELSE {_MEAN('audio', 'dur')} END, 0)"""
 _KEYS = "left_media_key, right_media_key"
-query("j8_fingerprint_pairs", f"WITH {_P} SELECT {_KEYS}, ld AS l_duration_seconds, rd AS r_duration_seconds FROM pj WHERE right_media_key NOT LIKE '%7'")(
-    lambda v: d.fingerprint_pairs(v.print_pairs, _prints(v)).filter("right_media_key NOT LIKE '%7'").select("left_media_key", "right_media_key", "l_duration_seconds", "r_duration_seconds")
+query("j8_fingerprint_pairs", f"WITH {_P} SELECT {_KEYS}, ld AS l_duration_seconds, rd AS r_duration_seconds FROM pj")(
+    lambda v: d.fingerprint_pairs(v.print_pairs, _prints(v)).select("left_media_key", "right_media_key", "l_duration_seconds", "r_duration_seconds")
 )
 query("j8_pairs_without_prints", f"SELECT {_KEYS} FROM print_pairs WHERE left_media_key LIKE '%5' OR right_media_key LIKE '%5'")(lambda v: d.pairs_without_prints(v.print_pairs, v.prints.filter("media_key NOT LIKE '%5'")))
 query("j9_fingerprints_needed", "SELECT media_key FROM prints WHERE vec_id % 4 <> 1")(lambda v: d.fingerprints_needed(v.prints.select("media_key"), v.prints.selectExpr("media_key", "'av' AS kind", "'v1' AS algorithm", "CASE WHEN vec_id % 4 = 1 THEN 'full' ELSE 'head' END AS scope"), "av", "v1", "full"))
@@ -92,9 +92,10 @@ query("x7_skip_policy", f"WITH {_P} SELECT {_KEYS}, CASE c WHEN 'same_media' THE
     lambda v: _compared(v).select("left_media_key", "right_media_key", x.should_skip(F.col("class"), F.col("confidence"), F.col("audio"), F.col("duration"), "mp3", "audio").alias("skip"))
 )
 query("x8_pair_evidence", f"WITH {_P} SELECT sha256(left_media_key || '|' || right_media_key) AS group_id, {_CLASS} AS class, CASE r WHEN 0 THEN left_media_key ELSE right_media_key END AS media_key, CASE r WHEN 0 THEN 'reference' ELSE 'candidate' END AS role FROM sim, (VALUES (0), (1)) t(r)")(lambda v: d.pair_evidence(_compared(v)).select("group_id", "class", "media_key", "role"))
-query("b6_upsert_fingerprints", "SELECT media_key, 'av' AS kind, 'v1' AS algorithm, 'full' AS scope, CASE WHEN vec_id % 3 = 0 AND vec_id % 5 <> 0 THEN vec_id + 1000 ELSE vec_id END AS seq FROM prints WHERE vec_id % 2 = 0 OR (vec_id % 3 = 0 AND vec_id % 5 <> 0)")(
-    lambda v: d.upsert_fingerprints(v.prints.filter("vec_id % 2 = 0").selectExpr("media_key", "'av' AS kind", "'v1' AS algorithm", "'full' AS scope", "vec_id AS seq"), v.prints.filter("vec_id % 3 = 0").selectExpr("media_key", "'av' AS kind", "'v1' AS algorithm", "'full' AS scope", "vec_id + 1000 AS seq"), v.prints.filter("vec_id % 5 <> 0"))
+query("b6_upsert_fingerprints", "SELECT media_key, 'av' AS kind, 'v1' AS algorithm, 'full' AS scope, CASE WHEN (vec_id % 2 = 1 OR vec_id % 3 = 0) AND vec_id % 5 <> 0 THEN vec_id + 1000 ELSE vec_id END AS seq FROM prints WHERE vec_id % 2 = 0 OR vec_id % 5 <> 0")(
+    lambda v: d.upsert_fingerprints(v.prints.filter("vec_id % 2 = 0").selectExpr("media_key", "'av' AS kind", "'v1' AS algorithm", "'full' AS scope", "vec_id AS seq"), v.prints.filter("vec_id % 2 = 1 OR vec_id % 3 = 0").selectExpr("media_key", "'av' AS kind", "'v1' AS algorithm", "'full' AS scope", "vec_id + 1000 AS seq"), v.prints.filter("vec_id % 5 <> 0"))
 )
+#: Rows whose text is broken.
 _BAD = "vec_id % 10 IN (1, 2, 3, 4)"
 
 
@@ -105,8 +106,8 @@ def _texts(v):
     return p.select("vec_id", F.coalesce(broken, text).alias("value"))
 
 
-query("s10_fingerprint_codec", f"SELECT vec_id, NOT ({_BAD}) AS valid, CASE WHEN NOT ({_BAD}) THEN CASE WHEN has_audio THEN CAST(len(embedding) AS BIGINT) ELSE 0 END END AS n_words FROM prints WHERE NOT (vec_id % 10 = 4 AND NOT has_audio)")(
-    lambda v: s.fingerprint_from_text(_texts(v).filter("NOT (vec_id % 10 = 4 AND vec_id % 7 = 0)"), "value").select("vec_id", "valid", F.when(F.col("valid"), F.coalesce(F.size("p.audio_words"), F.lit(0)).cast("long")).alias("n_words")).withColumn("n_words", F.when(F.col("n_words") < 0, 0).otherwise(F.col("n_words")))
+query("s10_fingerprint_codec", f"SELECT vec_id, NOT ({_BAD}) AS valid, CASE WHEN NOT ({_BAD}) THEN CASE WHEN has_audio THEN CAST(len(embedding) AS BIGINT) ELSE 0 END END AS n_words FROM prints")(
+    lambda v: s.fingerprint_from_text(_texts(v), "value").select("vec_id", "valid", F.when(F.col("valid"), F.coalesce(F.size("p.audio_words"), F.lit(0)).cast("long")).alias("n_words")).withColumn("n_words", F.when(F.col("n_words") < 0, 0).otherwise(F.col("n_words")))
 )
 
 # --- files ----------------------------------------------------------------------------------------------------------
@@ -117,11 +118,21 @@ def _hashed(v):
     return s.hash_texts(v.files.select("position", "path", "content"))
 
 
-query("s11_hash_files", _HASHED)(_hashed)
+def _hashed_files(v):
+    """A hundred documents a file, written and hashed as files."""
+    path = f"{shared_dir(v.spark)}/files-{uuid.uuid4().hex}"
+    texts = v.files.select(F.floor(F.col("position") / 100).alias("bucket"), "position", F.coalesce("content", F.lit("")).alias("value"))
+    texts.repartition("bucket").sortWithinPartitions("bucket", "position").select("bucket", "value").write.partitionBy("bucket").text(path)
+    bucket = F.regexp_extract("path", "bucket=([0-9]+)", 1).cast("long").alias("bucket")
+    return s.hash_files(v.spark, path, "*.txt").select(bucket, "size", "sha256")
+
+
+query("s11_hash_files", "SELECT CAST(floor(position / 100) AS BIGINT) AS bucket, CAST(sum(strlen(coalesce(content, '')) + 1) AS BIGINT) AS size, sha256(string_agg(coalesce(content, ''), chr(10) ORDER BY position) || chr(10)) AS sha256 FROM files GROUP BY 1")(_hashed_files)
+query("s11_hash_texts", _HASHED)(_hashed)
 query("w10_keep_first_exact", f"SELECT position, path, first_value(path) OVER (PARTITION BY sha256 ORDER BY position, path) AS keeper FROM ({_HASHED}) h")(lambda v: d.keep_first_exact(_hashed(v)).select("position", "path", "keeper"))
-query("s12_newest_output_per_item", "SELECT media_key, CASE WHEN position % 4 = 0 THEN 'old [' || media_key || '].mp4' ELSE 'big [' || media_key || '].mkv' END AS name FROM media WHERE position % 2 = 0")(
+query("s12_newest_output_per_item", "SELECT media_key, CASE WHEN position % 4 = 0 THEN 'old [' || media_key || '].mp4' ELSE 'big [' || media_key || '].mkv' END AS name FROM media")(
     lambda v: s.newest_output_per_item(
-        v.media.filter("position % 2 = 0").select("media_key", "position", F.explode(F.expr("array(named_struct('p', 'old', 's', 'mp4', 'm', 1, 'z', 5), named_struct('p', 'big', 's', 'mkv', 'm', 2, 'z', 9), named_struct('p', 'small', 's', 'mkv', 'm', 2, 'z', 3), named_struct('p', 'new', 's', 'json', 'm', 7, 'z', 1))")).alias("f"))
+        v.media.select("media_key", "position", F.explode(F.expr("array(named_struct('p', 'old', 's', 'mp4', 'm', 1, 'z', 5), named_struct('p', 'big', 's', 'mkv', 'm', 2, 'z', 9), named_struct('p', 'small', 's', 'mkv', 'm', 2, 'z', 3), named_struct('p', 'new', 's', 'json', 'm', 7, 'z', 1))")).alias("f"))
         .filter("NOT (position % 4 <> 0 AND f.s = 'mp4')").select(F.concat("f.p", F.lit(" ["), "media_key", F.lit("]."), "f.s").alias("name"), F.col("f.m").alias("mtime"), F.col("f.z").alias("size")),
         "MP4",
     )
@@ -136,12 +147,12 @@ def _archive(v):
 
 
 _SNAP = ["media_key", "title", "view_count"]
-query("s14_selection_snapshot", "SELECT source_id, media_key, position FROM media WHERE position < 100")(lambda v: _snapshot(v))
+query("s14_selection_snapshot", "SELECT source_id, media_key, position FROM media")(lambda v: _snapshot(v))
 
 
 def _snapshot(v):
     path = f"{shared_dir(v.spark)}/snapshot-{uuid.uuid4().hex}"
-    s.write_selection_snapshot(v.media.filter("position < 100"), "source_id", _SNAP, path)
+    s.write_selection_snapshot(v.media, "source_id", _SNAP, path)
     return s.read_selection_snapshot(v.spark, path, "source_id", _SNAP).select("source_id", "media_key", "position")
 
 
@@ -158,6 +169,11 @@ query("d1_skip_known_profiles", f"SELECT media_key FROM files WHERE media_key NO
 query("j13_stale_records", "SELECT download_id, CASE WHEN status = 'completed' AND path NOT IN (SELECT path FROM present_files) THEN 'stale' ELSE status END AS status FROM downloads")(lambda v: d.stale_records(v.downloads, v.present_files).select("download_id", "status"))
 
 
+query("j13_stale_file_rows", "SELECT download_id, 'h' || path AS sha256 FROM downloads WHERE NOT (status = 'completed' AND path NOT IN (SELECT path FROM present_files))")(
+    lambda v: d.present_records(v.downloads.selectExpr("download_id", "'h' || path AS sha256"), d.stale_records(v.downloads, v.present_files))
+)
+
+
 def _registry(v):
     return _hashed(v).filter("position % 5 = 1").selectExpr("sha256", "path", "position AS file_id")
 

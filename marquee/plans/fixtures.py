@@ -76,7 +76,7 @@ VIEWS["refreshes"] = """SELECT media_key, 'statistics' AS group_name, CASE WHEN
 VIEWS["prints"] = """SELECT CAST(vec_id AS BIGINT) AS vec_id, 'v' || CAST(vec_id AS STRING) AS media_key, CAST(label AS BIGINT) AS label, vec_id % 7 <> 0 AS has_audio, vec_id % 3 <> 0 AS has_video, CAST(60 + vec_id % 5 AS DOUBLE) AS duration_seconds, embedding FROM embeddings"""
 
 VIEWS["print_rows"] = """SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM prints"""
-VIEWS["print_pairs"] = """SELECT 'v' || CAST(a.vec_id AS STRING) AS left_media_key, 'v' || CAST(b.vec_id AS STRING) AS right_media_key, b.k AS rank FROM print_rows a JOIN (SELECT vec_id, label, n - k AS m, k FROM print_rows CROSS JOIN (VALUES (1), (2), (3)) t(k)) b ON a.label = b.label AND a.n = b.m"""
+VIEWS["print_pairs"] = """SELECT 'v' || CAST(a.vec_id AS STRING) AS left_media_key, 'v' || CAST(b.vec_id AS STRING) AS right_media_key, b.k AS rank FROM print_rows a JOIN (SELECT vec_id, label, n - k AS m, k FROM print_rows CROSS JOIN (VALUES (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12)) t(k)) b ON a.label = b.label AND a.n = b.m"""
 
 VIEWS["downloads"] = """SELECT position AS download_id, 'youtube' AS platform, media_key, 'mp4' AS output_format, 'best' AS quality, path, CASE WHEN position % 5 = 0 THEN 'failed' ELSE 'completed' END AS status FROM files
  UNION ALL SELECT position + 10000000, 'youtube', media_key, 'mp4', 'best', path || '.new', 'completed' FROM files WHERE position % 4 = 0"""
@@ -85,12 +85,18 @@ VIEWS["present_files"] = """SELECT path FROM files WHERE position % 6 <> 0 UNION
 VIEWS["statuses"] = """SELECT CAST(user_id AS BIGINT) AS item_id, CAST(event_id AS BIGINT) AS seq,
  CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'downloading' WHEN 'click' THEN 'postprocessing' WHEN 'purchase' THEN 'completed' ELSE 'failed_retryable' END AS status FROM events"""
 
-VIEWS["attempt_logs"] = """SELECT CAST(event_id % 500 AS BIGINT) AS attempt_id, CAST(event_id AS BIGINT) AS line_no,
- CASE event_id % 9 WHEN 0 THEN 'WARNING: signature solving failed' WHEN 1 THEN 'Missing PO Token for client' WHEN 2 THEN 'Failed to decrypt with DPAPI' ELSE 'fetching page' END AS line FROM events WHERE event_id % 7 < 3"""
-VIEWS["attempts"] = """SELECT CAST(event_id AS BIGINT) AS attempt_id,
- CASE event_id % 12 WHEN 0 THEN 'HTTP Error 403: Forbidden' WHEN 1 THEN 'Sign in to confirm you''re not a bot' WHEN 2 THEN 'Video unavailable' WHEN 3 THEN '  Read  timed
- out ' WHEN 4 THEN 'HTTP Error 429: Too Many Requests'
-  WHEN 5 THEN 'This video is PRIVATE video' WHEN 6 THEN 'error 503 again' WHEN 7 THEN 'No space left on device' WHEN 8 THEN 'Premiere will begin shortly' WHEN 9 THEN 'members-only content' WHEN 10 THEN 'geo-restricted' ELSE 'odd' END AS message FROM events WHERE event_id < 500"""
+VIEWS["attempt_logs"] = """SELECT CAST(floor(event_id / 4) AS BIGINT) AS attempt_id, CAST(event_id AS BIGINT) AS line_no,
+ CASE event_id % 9 WHEN 0 THEN 'WARNING: signature solving failed' WHEN 1 THEN 'Missing PO Token for client' WHEN 2 THEN 'Failed to decrypt with DPAPI' ELSE 'fetching page' END AS line FROM events"""
+#: Messages with the categories that they have.
+MESSAGES = (
+    ("ERROR: HTTP Error 403: Forbidden", "forbidden"), ("Please Sign in to confirm you''re not a bot", "bot_check"), ("Video unavailable", "unavailable"), ("  Read  timed\n out ", "network"), ("HTTP Error 429: Too Many Requests", "rate_limit"),
+    ("Sorry, this is a PRIVATE video", "private"), ("error 503 again", "server"), ("[Errno 28] No space left on device", "disk_space"), ("Premiere will begin shortly", "live_not_ready"), ("members-only content", "auth_required"),
+    ("geo-restricted", "geo_blocked"), ("odd", "unknown"), ("OSError: [Errno 36] File name too long", "filename_too_long"), ("this stream is DRM protected", "drm"), ("The VIDEO has been removed by its owner", "deleted"),
+    ("age-restricted: an account is needed", "age_restricted"), ("Could not copy Chrome cookie database", "cookie_access"), ("a PO Token is needed", "po_token_required"), ("nsig: challenge solving failed", "extractor"), ("502 Bad Gateway", "server"),
+    ("port 15030 is closed", "unknown"), ("Connection reset by peer", "network"), ("Join this channel to watch", "auth_required"), ("This live event is SCHEDULED for tomorrow", "live_not_ready"), ("The content is no longer available", "unavailable"), ("403 forbidden, then 429", "rate_limit"),
+)
+VIEWS["failure_texts"] = "SELECT * FROM (VALUES " + ", ".join(f"({k}, '{m}', '{c}')" for k, (m, c) in enumerate(MESSAGES)) + ") t(k, message, expected)"
+VIEWS["attempts"] = f"SELECT CAST(event_id AS BIGINT) AS attempt_id, message, expected FROM events JOIN failure_texts ON k = event_id % {len(MESSAGES)}"
 
 
 def needed(sql: str) -> list[str]:

@@ -14,14 +14,14 @@ _T = "('downloading', 'postprocessing', 'verifying')"
 
 
 def _selected(v):
-    return v.media.filter("position < 50").selectExpr("source_id AS job_id", "media_key", "position + 1 AS rank").unionByName(v.media.filter("position = 3 AND source_id = 'src2'").selectExpr("source_id AS job_id", "media_key", "99L AS rank"))
+    return v.media.selectExpr("source_id AS job_id", "media_key", "position + 1 AS rank").unionByName(v.media.filter("position = 3 AND source_id = 'src2'").selectExpr("source_id AS job_id", "media_key", "99L AS rank"))
 
 
 def _existing(v):
     return v.spark.sql("SELECT 'src5' AS job_id")
 
 
-query("b7_create_job_items", "SELECT source_id AS job_id, media_key, position, 'pending' AS status, CAST(0 AS BIGINT) AS attempts FROM media WHERE position < 50 AND source_id NOT IN ('src2', 'src5')")(lambda v: j.create_job_items(_selected(v), _existing(v)))
+query("b7_create_job_items", "SELECT source_id AS job_id, media_key, position, 'pending' AS status, CAST(0 AS BIGINT) AS attempts FROM media WHERE source_id NOT IN ('src2', 'src5')")(lambda v: j.create_job_items(_selected(v), _existing(v)))
 query("b7_rejected_jobs", "SELECT 'src2' AS job_id, 'repeated item' AS reason UNION ALL SELECT 'src5', 'exists'")(lambda v: j.rejected_jobs(_selected(v), _existing(v)))
 
 
@@ -48,12 +48,12 @@ def _classified(v):
     return r.classify_failures(v.attempts).withColumn("job_id", F.col("attempt_id") % 40)
 
 
-_CAT = """CASE attempt_id % 12 WHEN 0 THEN 'forbidden' WHEN 1 THEN 'bot_check' WHEN 2 THEN 'unavailable' WHEN 3 THEN 'network' WHEN 4 THEN 'rate_limit' WHEN 5 THEN 'private' WHEN 6 THEN 'server' WHEN 7 THEN 'disk_space' WHEN 8 THEN 'live_not_ready' WHEN 9 THEN 'auth_required' WHEN 10 THEN 'geo_blocked' ELSE 'unknown' END"""
+_SKIPPED, _PAUSED = "expected IN ('private', 'deleted', 'geo_blocked', 'auth_required', 'age_restricted', 'drm', 'unavailable')", "expected IN ('bot_check', 'cookie_access', 'po_token_required')"
 query(
     "b10_outcome_from_failure",
-    f"SELECT attempt_id, CASE WHEN attempt_id % 12 IN (2, 5, 9, 10) THEN 'skipped_unavailable' WHEN attempt_id % 12 = 1 THEN 'pause' ELSE 'fail' END AS outcome, CASE WHEN attempt_id % 12 IN (2, 5, 9, 10) THEN {_CAT} || ': ' || message END AS detail, attempt_id % 12 = 1 AS pause FROM attempts",
+    f"SELECT attempt_id, CASE WHEN {_SKIPPED} THEN 'skipped_unavailable' WHEN {_PAUSED} THEN 'pause' ELSE 'fail' END AS outcome, CASE WHEN {_SKIPPED} THEN expected || ': ' || message END AS detail, {_PAUSED} AS pause FROM attempts",
 )(lambda v: j.outcome_from_failure(_classified(v)).select("attempt_id", "outcome", "detail", "pause"))
-query("b10_jobs_to_pause", "SELECT attempt_id % 40 AS job_id, bool_or(attempt_id % 12 = 1) AS pause FROM attempts GROUP BY 1")(lambda v: j.jobs_to_pause(j.outcome_from_failure(_classified(v))))
+query("b10_jobs_to_pause", f"SELECT attempt_id % 40 AS job_id, bool_or({_PAUSED}) AS pause FROM attempts GROUP BY 1")(lambda v: j.jobs_to_pause(j.outcome_from_failure(_classified(v))))
 
 
 def _moved(when: str, to: str = "pending", **cleared: str) -> str:

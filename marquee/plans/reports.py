@@ -8,11 +8,10 @@ from marquee.operators import reports as r
 from marquee.operators.jobs import STATUSES
 from marquee.plans.registry import query
 
-_CATEGORY = """CASE WHEN m LIKE '%no space left%' THEN 'disk_space' WHEN m LIKE '%private video%' THEN 'private' WHEN m LIKE '%geo-restricted%' THEN 'geo_blocked' WHEN m LIKE '%not a bot%' THEN 'bot_check' WHEN m LIKE '%members-only%' THEN 'auth_required'
- WHEN m LIKE '%429%' THEN 'rate_limit' WHEN m LIKE '%403%' THEN 'forbidden' WHEN m LIKE '%503%' THEN 'server' WHEN m LIKE '%timed out%' THEN 'network' WHEN m LIKE '%will begin%' THEN 'live_not_ready' WHEN m LIKE '%video unavailable%' THEN 'unavailable' ELSE 'unknown' END"""
-_CLASSIFIED = f"SELECT attempt_id, {_CATEGORY} AS category FROM (SELECT attempt_id, lower(trim(regexp_replace(message, '\\s+', ' ', 'g'))) AS m FROM attempts) a"
+_CLASSIFIED = "SELECT attempt_id, expected AS category FROM attempts"
 _AGAIN = "category IN ('disk_space', 'rate_limit', 'server', 'network', 'live_not_ready')"
-query("p9_classify_failures", f"SELECT attempt_id, category, {_AGAIN} AS retryable FROM ({_CLASSIFIED}) c")(lambda v: r.classify_failures(v.attempts).select("attempt_id", "category", "retryable"))
+_TOLD = "CASE category " + " ".join(f"WHEN '{c}' THEN '{text}'" for c, text in r.USER_MESSAGES.items()) + " END"
+query("p9_classify_failures", f"SELECT attempt_id, category, {_AGAIN} AS retryable, {_TOLD} AS user_message FROM ({_CLASSIFIED}) c")(lambda v: r.classify_failures(v.attempts).select("attempt_id", "category", "retryable", "user_message"))
 query("p9_failure_summary", f"SELECT category, {_AGAIN} AS retryable, count(*) AS n FROM ({_CLASSIFIED}) c GROUP BY category")(lambda v: r.classify_failures(v.attempts).groupBy("category", "retryable").agg(F.count("*").alias("n")))
 _FLAGS = "SELECT attempt_id, bool_or(line LIKE '%signature solving failed%') AS extraction_warning, bool_or(line LIKE '%PO Token%') AS token_warning, bool_or(line LIKE '%DPAPI%') AS cookie_warning FROM attempt_logs GROUP BY attempt_id"
 query("p10_attempt_log_flags", _FLAGS)(lambda v: r.attempt_log_flags(v.attempt_logs))
@@ -69,16 +68,28 @@ query(
     "a11_batch_outcome",
     "SELECT s.source_id, CASE WHEN s.source_id = 'src4' THEN 'failed' WHEN count(m.media_key) > 0 THEN 'matched' ELSE 'nothing matched' END AS outcome, count(m.media_key) AS n FROM scans s LEFT JOIN media m ON m.source_id = s.source_id AND m.view_count > 430000 GROUP BY s.source_id",
 )(lambda v: r.batch_outcome(v.scans, v.media.filter("view_count > 430000"), v.scans.filter("source_id = 'src4'")))
+#: One source whose items are all too long, one whose items are all too short, and one without items.
+_LENGTHS = "SELECT source_id, media_key, CASE source_id WHEN 'src1' THEN coalesce(duration_seconds, 0) + 60 WHEN 'src2' THEN coalesce(duration_seconds, 0) % 19 ELSE duration_seconds END AS duration_seconds FROM media"
+_ASKED = "SELECT source_id FROM scans UNION ALL SELECT 'src99'"
+
+
+def _lengths(v):
+    d = F.coalesce("duration_seconds", F.lit(0.0))
+    return v.media.withColumn("duration_seconds", F.when(F.col("source_id") == "src1", d + 60).when(F.col("source_id") == "src2", d % 19).otherwise(F.col("duration_seconds")))
+
+
 query(
     "a12_no_match_diagnosis",
-    """SELECT s.source_id, CASE WHEN count(m.media_key) = 0 THEN 'no usable items' WHEN count(m.media_key) = count(m.duration_seconds) AND min(m.duration_seconds) > 50 THEN 'all too long' WHEN count(m.media_key) = count(m.duration_seconds) AND max(m.duration_seconds) < 20 THEN 'all too short' ELSE 'no match' END AS reason,
+    f"""SELECT s.source_id, CASE WHEN count(m.media_key) = 0 THEN 'no usable items' WHEN count(m.media_key) = count(m.duration_seconds) AND min(m.duration_seconds) > 50 THEN 'all too long' WHEN count(m.media_key) = count(m.duration_seconds) AND max(m.duration_seconds) < 20 THEN 'all too short' ELSE 'no match' END AS reason,
  CASE WHEN count(m.media_key) = count(m.duration_seconds) AND min(m.duration_seconds) > 50 THEN min(m.duration_seconds) WHEN count(m.media_key) = count(m.duration_seconds) AND max(m.duration_seconds) < 20 THEN max(m.duration_seconds) END AS closest, count(m.media_key) AS n
- FROM scans s LEFT JOIN (SELECT * FROM media WHERE position < 3 AND source_id <> 'src9') m ON m.source_id = s.source_id GROUP BY s.source_id""",
-)(lambda v: r.no_match_diagnosis(v.media.filter("position < 3 AND source_id <> 'src9'"), v.scans, 20, 50))
+ FROM ({_ASKED}) s LEFT JOIN ({_LENGTHS}) m ON m.source_id = s.source_id GROUP BY s.source_id""",
+)(lambda v: r.no_match_diagnosis(_lengths(v), v.scans.select("source_id").unionByName(v.spark.sql("SELECT 'src99' AS source_id")), 20, 50))
+#: One source with all sizes known, one whose sizes fit, and others with unknown sizes.
+_SIZE = "CASE source_id WHEN 'src1' THEN coalesce(view_count, 0) WHEN 'src2' THEN coalesce(view_count, 0) % 7 ELSE view_count END"
 query(
     "a13_selection_preview",
-    "SELECT source_id, count(*) AS n_items, CASE WHEN count(*) = count(view_count) THEN CAST(sum(view_count) AS BIGINT) END AS total_size, CASE WHEN count(*) <> count(view_count) THEN 'size unknown' WHEN sum(view_count) > 900000 THEN 'exceeds space' ELSE 'ok' END AS warning FROM media WHERE position < 6 GROUP BY source_id",
-)(lambda v: r.selection_preview(v.media.filter("position < 6").withColumn("space", F.lit(900000)), "source_id", "view_count", "space"))
+    f"SELECT source_id, count(*) AS n_items, CASE WHEN count(*) = count(s) THEN CAST(sum(s) AS BIGINT) END AS total_size, CASE WHEN count(*) <> count(s) THEN 'size unknown' WHEN sum(s) > 900000 THEN 'exceeds space' ELSE 'ok' END AS warning FROM (SELECT source_id, {_SIZE} AS s FROM media) t GROUP BY source_id",
+)(lambda v: r.selection_preview(v.media.withColumn("view_count", F.expr(_SIZE)).withColumn("space", F.lit(900000)), "source_id", "view_count", "space"))
 _PHASES = "SELECT job_id, item_id, phase FROM (SELECT *, row_number() OVER (PARTITION BY job_id, item_id ORDER BY ts DESC, event_id DESC) AS n FROM phase_events) t WHERE n = 1"
 PHASE_COUNTS = f"SELECT job_id, count(*) FILTER (phase = 'finished') AS finished, count(*) FILTER (phase <> 'finished') AS active, count(*) FILTER (phase = 'preparing') AS preparing, count(*) FILTER (phase = 'downloading') AS downloading, count(*) FILTER (phase = 'processing') AS processing, count(*) FILTER (phase = 'converting') AS converting FROM ({_PHASES}) p GROUP BY job_id"
 query("a14_phase_counts", PHASE_COUNTS)(lambda v: r.phase_counts(v.phase_events))

@@ -57,10 +57,10 @@ for _id, _mode, _order in (
     ("k3_sort_longest", "longest", "duration_seconds DESC NULLS LAST, position"), ("k3_sort_shortest", "shortest", "duration_seconds ASC NULLS LAST, position"), ("k4_sort_title_az", "title-az", "lower(title) ASC NULLS LAST, position"),
     ("k4_sort_title_za", "title-za", "lower(title) DESC NULLS LAST, position"), ("k5_sort_source", "source", "position"),
 ):
-    query(_id, _rank_sql(_order))(lambda v, m=_mode: keys(k.ranked(v.media, m)))
+    query(_id, _rank_sql(_order))(lambda v, m=_mode: keys(k.ranked(v.media, m, spread=True)))
 
 query("k9_select_range_spread", _rank_sql("view_count DESC NULLS LAST, position", then="rank >= 41"))(lambda v: keys(k.select_range(v.media, 41, None, "most-viewed", spread=True)))
-query("k6_select_all", f"SELECT {_I} FROM media")(lambda v: items(k.collection_query(v.media)))
+query("k6_select_all", f"SELECT {_I} FROM media")(lambda v: items(k.collection_query(v.media, spread=True)))
 query("k7_select_first", _rank_sql("position", then="rank <= 7"))(lambda v: keys(k.select_first(v.media, 7)))
 query("k8_select_last", _rank_sql("upload_date DESC NULLS LAST, position", then="rank > size - 5"))(lambda v: keys(k.select_last(v.media, 5, "latest")))
 query("k9_select_range", _rank_sql("view_count DESC NULLS LAST, position", then="rank BETWEEN 11 AND 30"))(lambda v: keys(k.select_range(v.media, 11, 30, "most-viewed")))
