@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,9 +11,18 @@ from pyspark.sql import functions as F
 STOP_WORDS = ("official", "video", "audio", "lyrics", "lyric", "music", "hd", "4k", "1080p", "remastered", "remaster")
 
 
+#: What full case folding changes beyond lower case, from Python's own rule: one character each, and those that become several.
+_FOLDED = {chr(i): chr(i).casefold() for i in range(128, 0x1E944) if chr(i) == chr(i).lower() != chr(i).casefold()}
+_SINGLE = {k: v for k, v in _FOLDED.items() if len(v) == 1}
+_SEVERAL = {k: v for k, v in _FOLDED.items() if len(v) > 1}
+
+
 def fold(c: Column) -> Column:
-    """Case folding: lower case with 'ß' as 'ss'. Final sigma, long s and ligatures stay as ``lower`` leaves them."""
-    return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+    """Full case folding: lower case, final sigma and long s as the plain letters, 'ß' as 'ss', ligatures as their letters."""
+    low = F.lower(c)
+    single = F.translate(low, "".join(_SINGLE), "".join(_SINGLE.values()))
+    whole = reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), _SEVERAL.items(), single)
+    return F.when(F.octet_length(low) == F.length(low), low).otherwise(whole)
 
 
 def clean_text(c: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -208,18 +206,20 @@ def _composed(texts: pd.Series) -> pd.Series:
     return texts.str.normalize("NFC")
 
 
-@F.pandas_udf(StringType())
-def _cut(frames: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for texts, sizes in frames:
-        yield pd.Series([None if t is None else t.encode()[: max(0, n)].decode("utf-8", "ignore") for t, n in zip(texts, sizes)], dtype=object)
+def _cut(text: Column, size: Column) -> Column:
+    """``text`` in ``size`` UTF-8 bytes at most, without a character that the cut would break."""
+    left = F.hex(F.substring(F.encode(text, "UTF-8"), F.lit(1), F.greatest(size, F.lit(0))))
+    whole = F.regexp_replace(left, "(?:[CD][0-9A-F]|E[0-9A-F](?:[89AB][0-9A-F])?|F[0-9A-F](?:[89AB][0-9A-F]){0,2})$", "")
+    return F.decode(F.unhex(whole), "UTF-8")
 
 
 _EDGE = r"^[ .-]+|[ .-]+$"
 
 
-def safe_component(value: Column, most: Column | int, fallback: str = "Untitled") -> Column:
-    """One path component: composed, invalid characters as dashes, device names prefixed, cut to ``most`` UTF-8 bytes."""
-    c = F.regexp_replace(_composed(value), r'[<>:"/\\|?*\x00-\x1f]', " - ")
+def safe_component(value: Column, most: Column | int, fallback: str = "Untitled", plain: bool = False) -> Column:
+    """One path component: composed, invalid characters as dashes, device names prefixed, cut to ``most`` UTF-8 bytes. ``plain``: the value
+    is ASCII, so there is nothing to compose."""
+    c = F.regexp_replace(value if plain else _composed(value), r'[<>:"/\\|?*\x00-\x1f]', " - ")
     c = F.regexp_replace(F.regexp_replace(c, r"\s+", " "), r"(?:\s*-\s*){2,}", " - ")
     c = F.regexp_replace(c, _EDGE, "")
     c = F.when(c == "", fallback).otherwise(c)
@@ -232,12 +232,18 @@ def safe_component(value: Column, most: Column | int, fallback: str = "Untitled"
 
 
 def output_names(df: DataFrame, extension: str, most: int = 220) -> DataFrame:
-    """Add ``name``: ``[date - ]title [key].ext`` in ``most`` bytes, the key and what follows whole."""
+    """Add ``name``: ``[date - ]title [key].ext`` in ``most`` bytes, the key and what follows whole. Only rows with characters beyond ASCII
+    go through Python, which composes them."""
+    plain = F.coalesce((F.octet_length("title") == F.length("title")) & (F.octet_length("media_key") == F.length("media_key")), F.lit(False))
     prefix = F.coalesce(F.concat(F.date_format("upload_date", "yyyy-MM-dd"), F.lit(" - ")), F.lit(""))
-    ready = df.withColumn("_id", safe_component(F.col("media_key"), 80, "unknown-id")).withColumn("_prefix", prefix)
-    fixed = F.octet_length(F.concat("_prefix", F.lit("["), "_id", F.lit(f"].{extension}")))
-    ready = ready.withColumn("_title", safe_component(F.col("title"), F.lit(most) - fixed - 1))
-    return ready.withColumn("name", F.concat("_prefix", "_title", F.lit(" ["), "_id", F.lit(f"].{extension}"))).drop("_id", "_prefix", "_title")
+
+    def named(rows: DataFrame, ascii_only: bool) -> DataFrame:
+        ready = rows.withColumn("_id", safe_component(F.col("media_key"), 80, "unknown-id", ascii_only)).withColumn("_prefix", prefix)
+        fixed = F.octet_length(F.concat("_prefix", F.lit("["), "_id", F.lit(f"].{extension}")))
+        ready = ready.withColumn("_title", safe_component(F.col("title"), F.lit(most) - fixed - 1, plain=ascii_only))
+        return ready.withColumn("name", F.concat("_prefix", "_title", F.lit(" ["), "_id", F.lit(f"].{extension}"))).drop("_id", "_prefix", "_title")
+
+    return named(df.filter(plain), True).unionByName(named(df.filter(~plain), False))
 
 
 def name_collisions(named: DataFrame, folder: str) -> DataFrame:

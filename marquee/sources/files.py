@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,12 +19,29 @@ _PRINT = "duration_seconds double, has_audio boolean, has_video boolean, audio_w
 _FRAME_BYTES = 256
 
 
-def hash_files(spark: SparkSession, path: str, glob: str = "*", most_bytes: int = 1 << 30) -> DataFrame:
-    """(path, size, sha256) of files below ``path``. A file is read whole into a task, so larger ones than ``most_bytes`` are listed with a
-    null hash; the length filter reaches the source."""
+def hash_files(spark: SparkSession, path: str, glob: str = "*", most_bytes: int = 1 << 28, chunk_bytes: int = 1 << 20) -> DataFrame:
+    """(path, size, sha256) of files below ``path``, of any size. Files up to ``most_bytes`` are read by Spark; larger ones are streamed in
+    chunks by the task that hashes them, so memory is bounded. The length filter reaches the source."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     small = files.filter(F.col("length") <= most_bytes).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
-    return small.unionByName(files.filter(F.col("length") > most_bytes).select("path", F.col("length").alias("size"), F.lit(None).cast("string").alias("sha256")))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for b in batches:
+            found = []
+            for uri in b.column(0).to_pylist():
+                local = re.match("file:/*(/.*)", uri)
+                system, name = (fs.LocalFileSystem(), local[1]) if local else fs.FileSystem.from_uri(quote(uri, safe=":/"))
+                h = hashlib.sha256()
+                with system.open_input_stream(name) as stream:
+                    while part := stream.read(chunk_bytes):
+                        h.update(part)
+                found.append(h.hexdigest())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], names=["path", "size", "sha256"])
+
+    large = files.filter(F.col("length") > most_bytes).select("path", F.col("length").alias("size")).mapInArrow(work, "path string, size long, sha256 string")
+    return small.unionByName(large)
 
 
 def hash_texts(df: DataFrame, text: str = "content") -> DataFrame:
