@@ -41,24 +41,27 @@ def stored(df: DataFrame, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> bool:
+    """Delete a folder on any file system that Spark knows; False if it wasn't there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True))
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove tables of ``stored`` that no open result reads any more."""
     for df in tables:
-        spark = df.sparkSession
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             known = next((p for p in _WRITTEN if p.rsplit("/", 1)[1] == folder.rsplit("/", 1)[1]), None)
             if known:
                 _WRITTEN.remove(known)
-                path = spark._jvm.org.apache.hadoop.fs.Path(known)
-                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+                remove(df.sparkSession, known)
 
 
 def drop_stored(spark: SparkSession) -> int:
     """Remove the tables that ``stored`` wrote in this process, once no result that needs them is open; returns how many."""
-    conf, n = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    n = 0
     while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        n += bool(path.getFileSystem(conf).delete(path, True))
+        n += remove(spark, _WRITTEN.pop())
     return n
 
 

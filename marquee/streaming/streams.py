@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marquee.operators.index import last_rows, missing_members, scan_diff_summary, scan_row_flags, upsert_membership, upsert_stats
 from marquee.operators.reports import phase_counts
+from marquee.sources.tables import remove
 
 FIELDS = ["title", "duration_seconds", "upload_date", "channel", "availability", "media_type"]
 STATS = ["view_count", "like_count"]
@@ -31,7 +32,7 @@ def stream_index(scans: DataFrame, base: str, checkpoint: str) -> None:
 
     A micro-batch is one round of scans: its rows are compared with the snapshot before it, and a new snapshot of media, stats
     and members is written under the batch's number, with one audit row per source. A batch that runs again overwrites
-    its own snapshot from the same predecessor, so results don't depend on failures.
+    its own snapshot from the same predecessor, so results don't depend on failures. Snapshots before the predecessor are removed.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
@@ -51,6 +52,9 @@ def stream_index(scans: DataFrame, base: str, checkpoint: str) -> None:
         stats = upsert_stats(media.select("media_key", *STATS), scan, STATS)
         kept.join(stats, "media_key", "left").write.mode("overwrite").parquet(media_path)
         upsert_membership(members, scan, complete, number).write.mode("overwrite").parquet(member_path)
+        for kind in ("media", "members"):  # the predecessor stays, for a batch that runs again
+            if number > 1:
+                remove(spark, f"{base}/{kind}/v{number - 2}")
         batch.unpersist()
 
     _run(scans, checkpoint, apply)
