@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from array import array
 from collections import defaultdict
@@ -21,6 +22,21 @@ END_ID = 1
 KEPT_WORDS, KEPT_BYTES = 450_000, 48 << 20
 
 
+#: A letter for each byte, as byte-level vocabularies write them: printable bytes stand for themselves, the others for the letters from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+
+def _byte_letters(word: bytes) -> str:
+    return word.decode("latin-1").translate(_LETTERS)
+
+
+def _latin_word(word: bytes) -> bool:
+    """Lower-case letters below U+0250 only, composed."""
+    w = word.decode()
+    return w.isalpha() and w == w.lower() and max(w) < "\u0250" and unicodedata.is_normalized("NFC", w)
+
+
 class WordIds:
     """Ids of whole texts, word by word: this kind of tokenizer drops white space and never joins what it separates, so a
     word has the same ids everywhere."""
@@ -31,8 +47,10 @@ class WordIds:
 
         tokenizer = Tokenizer.from_str(spec)
         self.encode, self.pieces = tokenizer.encode_batch_fast, tokenizer.model.tokenize
-        #: Whether a lower-case ASCII word goes to the model as it is, so that the steps before the model can be left out.
-        self.plain = all(tokenizer.encode(w.upper(), add_special_tokens=False).ids == [t.id for t in self.pieces(w)] for w in ("word", "antidisestablishment", "qx"))
+        #: Whether a lower-case Latin word goes to the model as its bytes alone, so that the steps before the model can be left out.
+        same = lambda w: tokenizer.encode(w.upper(), add_special_tokens=False).ids == [t.id for t in self.pieces(_byte_letters(w.encode()))]
+        self.plain = all(map(same, ("word", "antidisestablishment", "qx")))
+        self.latin = self.plain and all(map(same, ("élève", "übergroß"[:-1], "çàéîõñ", "ŏœřž", "æðþ")))
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.bytes = 0
@@ -58,7 +76,7 @@ class WordIds:
             words.discard(w)
         parts, new = {}, set()
         for w in words:
-            stem = w if b"<|" in w else w.lower()  # a special token is not lower-cased
+            stem = w if b"<|" in w else w.lower()  # a special token is not lower-cased; letters beyond ASCII stay
             bare = stem.rstrip(b".,!?:;")
             if bare and bare != stem and b"<|" not in w and bare[-1:].isalnum():
                 parts[w] = bare, stem[len(bare) :]
@@ -72,6 +90,8 @@ class WordIds:
             for w in new:
                 if w.isalpha():
                     self.known[w] = array("I", [t.id for t in self.pieces(w.decode())]).tobytes()
+                elif self.latin and _latin_word(w):
+                    self.known[w] = array("I", [t.id for t in self.pieces(_byte_letters(w))]).tobytes()
             new = [w for w in new if w not in self.known]
         for w, e in zip(new, self.encode([w.decode() for w in new], add_special_tokens=False)):
             self.known[w] = array("I", e.ids).tobytes()
