@@ -261,7 +261,8 @@ def similar_links(codes: DataFrame, similarity: float, recall: float = RECALL, l
     own = F.pmod(F.xxhash64("node"), chunks).cast("int")
     pairs = tagged.filter("n is not null").select("key", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
     groups = tagged.filter("n is null").select("key", "node").unionByName(pairs.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node"))
-    whole = groups.join(codes.select("node", "code"), "node").repartition("key").sortWithinPartitions("key")
+    # Nodes in order, so that reruns choose the same of equally near pairs.
+    whole = groups.join(codes.select("node", "code"), "node").repartition("key").sortWithinPartitions("key", "node")
     return whole.mapInArrow(links, "a long, b long, d int").groupBy("a", "b").agg(F.min("d").alias("d"))
 
 
