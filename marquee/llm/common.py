@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.operators.ordering import before  # noqa: F401
-from marquee.sources.tables import stored
+from marquee.sources.tables import discard, stored  # noqa: F401
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
