@@ -37,6 +37,12 @@ def _latin_word(word: bytes) -> bool:
     return w.isalpha() and w == w.lower() and max(w) < "\u0250" and unicodedata.is_normalized("NFC", w)
 
 
+def _lowers_alone(word: bytes) -> bool:
+    """Whether A-Z of a word can be lower-cased first: nothing follows that a capital and its small letter could compose with differently,
+    and no special token, which is not lower-cased, can be in it."""
+    return b"<|" not in word and (word.isascii() or not any(map(unicodedata.combining, word.decode())))
+
+
 class WordIds:
     """Ids of whole texts, word by word: this kind of tokenizer drops white space and never joins what it separates, so a
     word has the same ids everywhere."""
@@ -67,8 +73,8 @@ class WordIds:
         return b"".join(ids)
 
     def _learn(self, words: set[bytes]) -> None:
-        """Ids of new words. Letters are lower-cased by the tokenizer anyway, and punctuation after a letter or digit is a token of its
-        own, so a word's stem is encoded once for all its forms."""
+        """Ids of new words. Letters are lower-cased by the tokenizer anyway, though only after it has composed them, and punctuation
+        after a letter or digit is a token of its own, so a word's stem is encoded once for all its forms."""
         if len(self.known) + 2 * len(words) > KEPT_WORDS or self.bytes > KEPT_BYTES:
             self.older, self.known, self.bytes = self.known, {}, 0
         for w in [w for w in words if w in self.older]:
@@ -76,7 +82,7 @@ class WordIds:
             words.discard(w)
         parts, new = {}, set()
         for w in words:
-            stem = w if b"<|" in w else w.lower()  # a special token is not lower-cased; letters beyond ASCII stay
+            stem = w.lower() if _lowers_alone(w) else w  # letters beyond ASCII stay
             bare = stem.rstrip(b".,!?:;")
             if bare and bare != stem and b"<|" not in w and bare[-1:].isalnum():
                 parts[w] = bare, stem[len(bare) :]

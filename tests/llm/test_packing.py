@@ -11,6 +11,29 @@ from tokenizers import Tokenizer
 ODD = [None, "", " ", "a<|endoftext|>b <|startoftext|>", "e ́ É É", "x\x1cy\x85z w", "tab\x0bvt\x0cff", "'s don't I'LL", "漢字かな 123456", "ß ﬁ Σας", "word " * 9000, "q" * 5000]
 
 
+#: Their composed forms exist in lower case only.
+COMPOSED = ["H\u0331adith", "T\u0308est.", "W\u030aord", "Y\u030a", "J\u030cunk,"]
+
+
+def test_capitals_with_combining_marks():
+    spec = open(P.default_tokenizer()).read()
+    tok, mine = Tokenizer.from_str(spec), P.WordIds(spec)
+    marks = [chr(c) for c in range(0x300, 0x370)]
+    words = COMPOSED + [f"{x}{c}{m}{y}" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for m in marks for x, y in (("", ""), ("q", "N."), ("É", "\u0331"))]
+    for w in words:
+        assert mine(w.encode()) == array("I", tok.encode(w, add_special_tokens=False).ids).tobytes(), w
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("AHJTWYaéÉß<|.,!-'\u0331\u0308\u030a\u030c\u0301 "), max_size=12))
+def test_any_text(text):
+    spec = open(P.default_tokenizer()).read()
+    assert P._tokenizer(spec)(text.encode()) == array("I", _TOK.encode(text, add_special_tokens=False).ids).tobytes()
+
+
+_TOK = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def test_round_trip(spark):
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
