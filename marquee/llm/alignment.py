@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -64,62 +65,82 @@ def _by_id(ranks: dict[bytes, int]) -> list[bytes]:
     return out
 
 
-def aligned_window(a: list[int], b: list[int], a_lengths: list[int], b_lengths: list[int]) -> tuple[str, list[int]]:
-    """Groups of a window as text, and its links as a << 32 | b, from ids and byte lengths of both sides' tokens."""
-    groups, links = [], []
-    i = j = at_i = at_j = 0  # tokens read, and where the open group begins
-    end_a = end_b = 0
-    while i < len(a):
-        if end_a <= end_b:
-            end_a += a_lengths[i]
-            i += 1
-        while end_b < end_a:
-            end_b += b_lengths[j]
-            j += 1
-        if end_a == end_b:
-            groups.append(f"{','.join(map(str, a[at_i:i]))}|{','.join(map(str, b[at_j:j]))}")
-            links.append(a[i - 1] << 32 | b[j - 1])
-            at_i, at_j = i, j
-    return ";".join(groups), links
-
-
 class Aligner:
-    """Both tokenizers of a worker, and the alignments of windows that it has met."""
+    """Both tokenizers of a worker, and the alignments of windows that it has met, by their ids. Ids of b stand behind those of a here."""
 
     def __init__(self, a_path: str, b_path: str):
         self.a, self.b = ByteLevel(a_path), Pieces(b_path)
-        facts = lambda t: (np.array([len(x) for x in t.bytes], np.int64), np.array([x[:1] == b" " for x in t.bytes]))
-        (self.a_lengths, self.a_marked), (self.b_lengths, self.b_marked) = facts(self.a), facts(self.b)
-        self.known: dict[tuple[bytes, bytes], tuple[str, bytes]] = {}
-        self.older: dict[tuple[bytes, bytes], tuple[str, bytes]] = {}
-
-    def window(self, a: np.ndarray, b: np.ndarray) -> tuple[str, bytes]:
-        key = a.tobytes(), b.tobytes()
-        found = self.known.get(key)
-        if found is None:
-            found = self.older.get(key)
-            if found is None:
-                text, links = aligned_window(a.tolist(), b.tolist(), self.a_lengths[a].tolist(), self.b_lengths[b].tolist())
-                found = text, np.array(links, np.int64).tobytes()
-            if len(a) <= WINDOW_TOKENS:
-                if len(self.known) >= KEPT_WINDOWS:
-                    self.older, self.known = self.known, {}
-                self.known[key] = found
-        return found
-
-    def __call__(self, text: str, a_ids: list[int], b_ids: list[int]) -> tuple[int, int, str, np.ndarray] | None:
-        """(tokens of a, tokens of b, groups, links), or None if the tokens don't give the text back."""
-        whole = b" " + text.encode()
-        if b"".join(map(self.a.bytes.__getitem__, a_ids)) != whole or b"".join(map(self.b.bytes.__getitem__, b_ids)) != whole:
-            return None
-        a, b = np.array(a_ids, np.int32), np.array(b_ids, np.int32)
-        begins = lambda ids, lengths: np.cumsum(lengths[ids]) - lengths[ids]
-        at_a, at_b = np.flatnonzero(self.a_marked[a]), np.flatnonzero(self.b_marked[b])
-        _, i, j = np.intersect1d(begins(a, self.a_lengths)[at_a], begins(b, self.b_lengths)[at_b], assume_unique=True, return_indices=True)
-        # Both texts begin with a space, so the first anchor is the begin of the text.
-        from_a, from_b = at_a[i].tolist(), at_b[j].tolist()
-        found = [self.window(a[f:t], b[g:u]) for f, t, g, u in zip(from_a, [*from_a[1:], len(a)], from_b, [*from_b[1:], len(b)])]
-        return len(a), len(b), ";".join([x[0] for x in found]), np.frombuffer(b"".join([x[1] for x in found]), np.int64)
+        tokens = [*self.a.bytes, *self.b.bytes]
+        self.first_b = len(self.a.bytes)
+        self.lengths, self.marked = np.array([len(x) for x in tokens], np.int64), np.array([x[:1] == b" " for x in tokens])
+        numbers = [*range(len(self.a.bytes)), *range(len(self.b.bytes))]
+        #: How a token is written inside a side of a group, and as the side's last.
+        self.written = [*[b"%d," % i for i in numbers], *[b"%d|" % i for i in numbers[: self.first_b]], *[b"%d;" % i for i in numbers[self.first_b :]]]
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _shared(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Where tokens of both sides end, and places of the tokens of a and of b that end together. Both sides have the same bytes."""
+        end_a, end_b = np.cumsum(self.lengths[a]), np.cumsum(self.lengths[b])
+        place = np.searchsorted(end_b, end_a)
+        at_a = np.flatnonzero(end_b[place] == end_a)
+        return end_a, end_b, at_a, place[at_a]
+
+    def aligned_windows(self, keys: list[bytes]) -> list[bytes]:
+        """Groups of windows as text, all at once. A window is its ids of a, then its ids of b."""
+        ids = np.frombuffer(b"".join(keys), np.uint32).astype(np.int64)
+        is_b = ids >= self.first_b
+        a, b = ids[~is_b], ids[is_b]
+        end_a, end_b, at_a, at_b = self._shared(a, b)
+        group_a, group_b = np.searchsorted(end_a[at_a], end_a), np.searchsorted(end_a[at_a], end_b)
+        closes = np.zeros(len(ids), np.int64)
+        closes[at_a] = closes[len(a) + at_b] = len(self.lengths)
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        words = list(map(self.written.__getitem__, (np.concatenate([a, b]) + closes)[order].tolist()))
+        to = (np.cumsum(np.array(list(map(len, keys)))) // 4).tolist()
+        return list(map(b"".join, map(words.__getitem__, map(slice, [0, *to[:-1]], to))))
+
+    def _found(self, keys: list[bytes]) -> list[bytes]:
+        found = list(map(self.known.get, keys))
+        if None not in found:
+            return found
+        missing = {k for k, x in zip(keys, found) if x is None}
+        here = {k: x for k in missing if (x := self.older.get(k))}
+        missing.difference_update(here)
+        if missing:
+            new = list(missing)
+            here.update(zip(new, self.aligned_windows(new)))
+        if len(self.known) + len(here) > KEPT_WINDOWS:
+            self.older, self.known = self.known, {}
+        self.known.update((k, x) for k, x in here.items() if len(k) <= 8 * WINDOW_TOKENS)
+        return [x or here[k] for k, x in zip(keys, found)]
+
+    def __call__(self, texts: list[str]) -> list[tuple[int, int, bytes, np.ndarray] | None]:
+        """Per text (tokens of a, tokens of b, groups, links), or None if it is empty or the tokens don't give it back."""
+        joined = lambda tokens, ids: b"".join(map(tokens.__getitem__, ids))
+        out: list[tuple[int, int, bytes, np.ndarray] | None] = [None] * len(texts)
+        rows = [(i, a, b) for i, (t, a, b) in enumerate(zip(texts, self.a.encode(texts), self.b.encode(texts))) if t and joined(self.a.bytes, a) == (whole := b" " + t.encode()) == joined(self.b.bytes, b)]
+        if not rows:
+            return out
+        a, b = (np.fromiter(chain.from_iterable(r[side] for r in rows), np.int64) for side in (1, 2))
+        b += self.first_b
+        end_a, end_b, at_a, at_b = self._shared(a, b)
+        # Anchors: shared ends whose next tokens both begin with a space. Texts do so too, so windows never cross from one to the next.
+        marked = lambda x, at: np.append(self.marked[x], True)[at + 1]
+        anchors = marked(a, at_a) & marked(b, at_b)
+        to_a, to_b = at_a[anchors] + 1, at_b[anchors] + 1
+        n_a, n_b = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
+        window = np.arange(len(n_a))
+        order = np.argsort(np.concatenate([np.repeat(2 * window, n_a), np.repeat(2 * window + 1, n_b)]), kind="stable")
+        ids = np.concatenate([a, b])[order].astype(np.uint32).tobytes()
+        ends = (4 * np.cumsum(n_a + n_b)).tolist()
+        found = self._found(list(map(ids.__getitem__, map(slice, [0, *ends[:-1]], ends))))
+        links = a[at_a] << 32 | (b[at_b] - self.first_b)
+        whole = np.cumsum([len(r[1]) for r in rows])
+        windows, linked = (np.searchsorted(x, whole, "right").tolist() for x in (to_a, at_a + 1))
+        for (i, x, y), f, t, g, u in zip(rows, [0, *windows], windows, [0, *linked], linked):
+            out[i] = len(x), len(y), b"".join(found[f:t])[:-1], links[g:u]
+        return out
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
@@ -168,12 +189,11 @@ def align_documents(docs: DataFrame, a_path: str | None = None, b_path: str | No
                     continue
                 part = [t or "" for t in texts.slice(begin, end - begin).to_pylist()]
                 rows = []
-                for doc, number, text, a, b in zip(ids.slice(begin).to_pylist(), numbers.slice(begin).to_pylist(), part, align.a.encode(part), align.b.encode(part)):
-                    got = align(text, a, b) if text else None
-                    n_a, n_b, groups, links = got or (0, 0, "", np.empty(0, np.int64))
+                for doc, number, got in zip(ids.slice(begin).to_pylist(), numbers.slice(begin).to_pylist(), align(part)):
+                    n_a, n_b, groups, links = got or (0, 0, b"", np.empty(0, np.int64))
                     pairs, times = np.unique(links, return_counts=True)
-                    digest = hashlib.sha256(groups.encode()).hexdigest() if got else ""
-                    rows.append((doc, number, n_a, n_b, len(links), digest, groups if with_groups else None, pairs, times.astype(np.int32)))
+                    digest = hashlib.sha256(groups).hexdigest() if got else ""
+                    rows.append((doc, number, n_a, n_b, len(links), digest, groups.decode() if with_groups else None, pairs, times.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
                 begin, held = end, 0
 
