@@ -8,36 +8,35 @@ from pyspark.sql.window import Window
 
 from marquee.functions import similarity as x
 from marquee.functions.text import title_tokens
+from marquee.operators.ordering import before, recent
 from marquee.sources.tables import stored
 
 PLAN = "plan_id"
 
 
 def recent_token_holders(items: DataFrame, history: int = 64) -> DataFrame:
-    """(plan, position, earlier): the last ``history`` earlier items with a token, for every token of an item."""
+    """(plan, position, earlier): the last ``history`` earlier items with a token, for every token of an item, however many hold it."""
     tokens = items.select(PLAN, "position", F.explode(title_tokens(F.col("title"))).alias("token"))
-    w = Window.partitionBy(PLAN, "token").orderBy("position").rowsBetween(-history, -1)
-    return tokens.withColumn("held", F.collect_list("position").over(w)).select(PLAN, "position", F.explode("held").alias("earlier"))
+    return recent(tokens, ["position"], [PLAN, "token"], "position", history).select(PLAN, "position", F.explode("held").alias("earlier"))
 
 
 def previous_same_title(items: DataFrame) -> DataFrame:
     """(plan, position, earlier): the last earlier item with the same normalized title."""
     core = items.select(PLAN, "position", F.array_join(title_tokens(F.col("title")), " ").alias("core")).filter("core <> ''")
-    return core.withColumn("earlier", F.lag("position").over(Window.partitionBy(PLAN, "core").orderBy("position"))).filter("earlier IS NOT NULL").select(PLAN, "position", "earlier")
+    return recent(core, ["position"], [PLAN, "core"], "position", 1).select(PLAN, "position", F.explode("held").alias("earlier"))
 
 
 def recent_duration_neighbors(items: DataFrame, history: int = 8, seconds: float = 5.0) -> DataFrame:
     """(plan, position, earlier): the last ``history`` earlier items in each of the buckets next to and of an item's duration.
 
-    Each probe counts the bucket's items before it in one window over both, and fetches them by number; no range join.
+    Each probe counts the bucket's items before it among both, dealt by range, and fetches them by number; no range join.
     """
     known = items.filter("duration_seconds >= 0").select(PLAN, "position", F.floor(F.col("duration_seconds") / seconds).alias("b"))
-    build = known.select(PLAN, "b", "position", F.lit(1).alias("is_item"))
-    probe = known.select(PLAN, F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"), "position", F.lit(0).alias("is_item"))
-    w = Window.partitionBy(PLAN, "b").orderBy("position").rangeBetween(Window.unboundedPreceding, -1)
-    both = build.unionByName(probe).withColumn("n", F.coalesce(F.sum("is_item").over(w), F.lit(0)))
+    build = known.select(PLAN, "b", "position", F.lit(1).cast("long").alias("is_item"))
+    probe = known.select(PLAN, F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"), "position", F.lit(0).cast("long").alias("is_item"))
+    both = before(build.unionByName(probe), [PLAN, "b", "position", "is_item"], [PLAN, "b"], "is_item", out="n")
     numbered = both.filter("is_item = 1").select(PLAN, "b", (F.col("n") + 1).alias("number"), F.col("position").alias("earlier"))
-    wanted = both.filter("is_item = 0 AND n > 0").select(PLAN, "b", "position", F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - history + 1), F.col("n"))).alias("number"))
+    wanted = both.filter("is_item = 0 AND n > 0").select(PLAN, "b", "position", F.explode(F.sequence(F.greatest(F.lit(1).cast("long"), F.col("n") - history + 1), F.col("n"))).alias("number"))
     return wanted.join(numbered, [PLAN, "b", "number"]).select(PLAN, "position", "earlier")
 
 

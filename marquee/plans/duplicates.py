@@ -36,9 +36,9 @@ _ADJ = "SELECT *, lag(duration_seconds) OVER (PARTITION BY plan_id ORDER BY posi
 
 
 def _adjacent(v):
-    w = d.Window.partitionBy("plan_id").orderBy("position")
     t = v.titles.withColumn("tk", d.title_tokens(F.col("title")))
-    return t.withColumn("ld", F.lag("duration_seconds").over(w)).withColumn("lt", F.lag("tk").over(w)).filter("lt IS NOT NULL")
+    last = d.recent(t, ["position"], ["plan_id"], F.struct(F.col("duration_seconds").alias("ld"), F.col("tk").alias("lt")), 1)
+    return last.filter("size(held) > 0").select("media_key", "duration_seconds", "tk", F.col("held")[0]["ld"].alias("ld"), F.col("held")[0]["lt"].alias("lt"))
 
 
 query("j7_duration_compatible", f"WITH {_T} SELECT media_key, (ld IS NULL OR duration_seconds IS NULL OR abs(ld - duration_seconds) <= greatest(5, 0.03 * greatest(ld, duration_seconds))) AS fits FROM ({_ADJ}) a WHERE lt IS NOT NULL")(lambda v: _adjacent(v).select("media_key", x.duration_compatible(F.col("ld"), F.col("duration_seconds")).alias("fits")))

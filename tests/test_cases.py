@@ -279,3 +279,33 @@ def test_composed_names(spark):
 
 def test_every_failure_has_a_message(spark):
     assert set(reports.USER_MESSAGES) == {name for name, _, _ in reports.FAILURE_MARKS} | {"unknown"}
+
+
+def test_recent_rows_of_hot_groups(spark):
+    """A group with half of the rows spreads over partitions, also where these hold fewer rows than the frame."""
+    from pyspark.sql.window import Window
+
+    from marquee.operators.ordering import recent
+
+    rows = [("hot" if i % 2 else f"g{i % 7}", i, None if i % 11 == 0 else i * 10) for i in range(600)] + [(None, i, i) for i in range(40)]
+    df = spark.createDataFrame(rows, "g string, at long, v long")
+    for history, parts in ((1, 9), (64, 16), (64, 150), (5, 1), (1000, 12)):
+        w = Window.partitionBy("g").orderBy("at").rowsBetween(-history, -1)
+        want = sorted(map(str, df.withColumn("held", F.collect_list("v").over(w)).collect()))
+        assert sorted(map(str, recent(df, ["at"], ["g"], "v", history, partitions=parts).collect())) == want
+    dealt = df.repartitionByRange(16, "g", "at").groupBy(F.spark_partition_id().alias("p"), "g").count()
+    assert dealt.agg(F.max("count")).first()[0] < 100 < df.filter("g = 'hot'").count()
+    assert recent(df.limit(0), ["at"], ["g"], "v", 3).count() == 0
+
+
+def test_hot_token_candidates(spark):
+    """One token in every title, one title and one duration for half of them."""
+    from marquee.operators import duplicates as d
+
+    items = spark.createDataFrame([(1, i, f"k{i}", "same song" if i % 2 else f"song {100 + i}", 100.0 if i % 2 else float(i)) for i in range(300)], "plan_id long, position long, media_key string, title string, duration_seconds double")
+    held = {(r.position, r.earlier) for r in d.recent_token_holders(items, 3).collect()}
+    assert held == {(i, j) for i in range(300) for j in range(max(0, i - 3), i)} | {(i, j) for i in range(1, 300, 2) for j in range(1, i, 2) if i - j <= 6}
+    assert {(r.position, r.earlier) for r in d.previous_same_title(items).collect()} == {(i, i - 2) for i in range(3, 300, 2)}
+    buckets = {i: (20 if i % 2 else i // 5) for i in range(300)}
+    want = {(i, j) for i in range(300) for b in (-1, 0, 1) for j in [k for k in range(i) if buckets[k] == buckets[i] + b][-2:]}
+    assert {(r.position, r.earlier) for r in d.recent_duration_neighbors(items, 2).collect()} == want
