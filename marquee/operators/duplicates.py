@@ -52,7 +52,11 @@ def candidate_pairs(items: DataFrame, most: int = 12, token_history: int = 64, d
 
     Three blocking keys with bounded histories propose pairs of positions; titles and durations join them afterwards.
     """
-    pairs = union_candidates(recent_token_holders(items, token_history), previous_same_title(items), recent_duration_neighbors(items, duration_history, seconds))
+    return scored_candidates(items, union_candidates(recent_token_holders(items, token_history), previous_same_title(items), recent_duration_neighbors(items, duration_history, seconds)), most)
+
+
+def scored_candidates(items: DataFrame, pairs: DataFrame, most: int = 12) -> DataFrame:
+    """The ``most`` best plausible pairs of each item, from pairs of positions (plan, position, earlier)."""
     side = lambda p, at: items.select(PLAN, F.col("position").alias(at), F.col("media_key").alias(f"{p}_media_key"), title_tokens(F.col("title")).alias(f"{p}_t"), F.col("duration_seconds").alias(f"{p}_d"))
     joined = pairs.join(side("right", "position"), [PLAN, "position"]).join(side("left", "earlier"), [PLAN, "earlier"])
     fits = joined.filter(x.duration_compatible(F.col("left_d"), F.col("right_d")))

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from marquee.functions import similarity as x
 from marquee.operators import duplicates as d
-from marquee.plans.registry import query
+from marquee.operators.screening import CandidateScreener
+from marquee.plans.registry import ORACLE_SQL, query
 from marquee.sources import files as s
 from marquee.sources.tables import shared_dir
 
@@ -31,6 +32,18 @@ query("w5_recent_duration_neighbors", f"WITH {_T} {_W5}")(lambda v: d.recent_dur
 query("w6_previous_same_title", f"WITH {_T} {_W6}")(lambda v: d.previous_same_title(v.titles))
 query("u3_union_candidates", f"WITH {_T} {_ALL}")(lambda v: d.union_candidates(d.recent_token_holders(v.titles), d.previous_same_title(v.titles), d.recent_duration_neighbors(v.titles)).select("plan_id", "position", "earlier"))
 query("j6_candidate_pairs", f"WITH {_T} SELECT plan_id, left_media_key, right_media_key, round(score, 6) AS score FROM ({_PAIRS}) p")(lambda v: d.candidate_pairs(v.titles).select("plan_id", "left_media_key", "right_media_key", F.round("metadata_score", 6).alias("score")))
+
+
+def _screened(v):
+    """Three batches of each plan, one after another."""
+    screener = CandidateScreener(v.spark, f"{shared_dir(v.spark)}/screen-{uuid.uuid4().hex}", buckets=16)
+    third = v.titles.agg(F.max("position")).first()[0] // 3 + 1
+    cuts = [screener.consider(v.titles.filter((F.col("position") >= k * third) & (F.col("position") < (k + 1) * third)), k) for k in range(3)]
+    return cuts[0].unionByName(cuts[1]).unionByName(cuts[2]).select("plan_id", "left_media_key", "right_media_key", F.round("metadata_score", 6).alias("score"))
+
+
+query("j6_screened_in_batches")(_screened)
+ORACLE_SQL["j6_screened_in_batches"] = ORACLE_SQL["j6_candidate_pairs"]
 query("w7_top_candidates", f"WITH {_T} SELECT plan_id, right_media_key, rank, round(score, 6) AS score FROM ({_PAIRS}) p WHERE rank <= 3")(lambda v: d.candidate_pairs(v.titles, most=3).select("plan_id", "right_media_key", "rank", F.round("metadata_score", 6).alias("score")))
 _ADJ = "SELECT *, lag(duration_seconds) OVER (PARTITION BY plan_id ORDER BY position) AS ld, lag(tk) OVER (PARTITION BY plan_id ORDER BY position) AS lt FROM tt"
 
