@@ -30,8 +30,8 @@ GENERATORS = (
 #: Documents (about so many) whose text trees learn from, planted spans and decoys (about so many) of each kind in it, and candidates (at
 #: most) of either sort that trees are fitted and thresholds set on: those with the least hash.
 FIT_DOCS, PLANTS, FIT_ROWS = 4_000, 1_000, 10_000
-TREES, TREE_DEPTH = 20, 3
-#: Share of right labels among the selected, in the half of the sample that the trees haven't seen.
+TREES, TREE_DEPTH = 8, 3
+#: Share of right labels among the selected of each kind, in the half of the sample that the trees haven't seen.
 PRECISION = 0.97
 FEATURES = ("generator", "length", "digits", "letters", "upper", "runs", "marks", "hex", "before", "after", "first", "assigned", "named", "spelled", "luhn", "range", "whole")
 _SPAN = "array<struct<text:string,start:int,end:int>>"
@@ -170,16 +170,21 @@ def _describe(text: Column, base: Column, kind: str) -> Callable[[Column], Colum
 
 
 class Booster:
-    """Boosted trees as an expression, with the least probability that selects."""
+    """Boosted trees of each kind as an expression, with the least probability that selects its candidates; kinds without trees are never
+    selected."""
 
-    def __init__(self, margin: Callable[[Column], Column] | None, threshold: float):
-        self.margin, self.threshold = margin, threshold
-
-    def probability(self, c: Column) -> Column:
-        return F.lit(0.0) if self.margin is None else 1 / (1 + F.exp(-2 * self.margin(c)))
+    def __init__(self, kinds: dict[str, tuple[Callable[[Column], Column], float]]):
+        self.kinds = kinds
 
     def selects(self, c: Column) -> Column:
-        return F.lit(False) if self.margin is None else self.probability(c) >= self.threshold
+        chosen = F.lit(False)
+        for kind, (margin, threshold) in self.kinds.items():
+            chosen = F.when(c["generator"] == KINDS.index(kind), probability(margin(c)) >= threshold).otherwise(chosen)
+        return chosen
+
+
+def probability(margin: Column) -> Column:
+    return 1 / (1 + F.exp(-2 * margin))
 
 
 def _tree(lines: list[str]) -> Callable[[Column], Column]:
@@ -204,41 +209,58 @@ def _some(h: Column, at: int, digits: int) -> Column:
     return F.lpad(F.pmod(F.xxhash64(h, F.lit(at)), F.lit(10**digits)).cast("string"), digits, "0")
 
 
-_WORDS = ("meet", "noon", "then", "prices", "row", "page", "stand", "five", "once", "gate")
+_WORDS = ("meet", "noon", "then", "prices", "row", "page", "stand", "five", "once", "gate", "anna", "mail", "info", "peter", "shop", "north")
 _CUES = {
-    "email": ("email: ", "mail ", "write to ", "contact ", ""), "ip": ("ip ", "host ", "address ", "ip: ", "server at "), "card": ("card ", "visa ", "credit card: ", "paid with ", ""),
-    "phone": ("call ", "tel. ", "phone: ", "my number is ", ""), "secret": ("token=", "api_key: ", "password = ", "secret:", 'the key = "'),
+    "email": ("email: ", "mail ", "write to ", "contact ", "e-mail me at "), "ip": ("ip ", "host ", "address ", "ip: ", "server at "), "card": ("card ", "visa ", "credit card: ", "paid with ", "card no. "),
+    "phone": ("call ", "tel. ", "phone: ", "my number is ", "fon "), "secret": ("token=", "api_key: ", "password = ", "secret:", 'the key = "'),
 }
-_OTHER_CUES = ("row ", "order ", "see ", "page ", "about ", "path=", "")
+_OTHER_CUES = ("row ", "order ", "see ", "page ", "about ", "path=", "", "no. ", "id: ", "version ")
+
+
+def _form(h: Column, at: int, *forms: Column) -> Column:
+    return F.element_at(F.array(*forms), (F.pmod(F.xxhash64(h, F.lit(at)), F.lit(len(forms))) + 1).cast("int"))
 
 
 def _planted(h: Column) -> dict[tuple[str, bool], Column]:
-    """Made-up spans of each kind in forms that the fixed patterns miss, and decoys that look like them."""
-    word = lambda at: _pick(h, at, _WORDS)
+    """Made-up spans of each kind in forms that the fixed patterns miss, and decoys in the same forms that fail the kind's own check: a wrong
+    check digit or number of digits, parts out of range, no domain, no hexadecimal digits."""
+    word, some = lambda at: _pick(h, at, _WORDS), lambda at, n: _some(h, at, n)
     part = lambda at: F.pmod(F.xxhash64(h, F.lit(at)), F.lit(256)).cast("string")
-    at = _pick(h, 1, (" [at] ", " (at) ", "[at]", "(at)"))
-    address = F.concat(word(2), _some(h, 3, 2), at, word(4), _pick(h, 5, (" [dot] ", "(dot)", " (dot) ", ".")), _pick(h, 6, ("com", "org", "net", "de")))
-    number = F.concat(_pick(h, 7, ("4", "5", "3", "6")), _some(h, 8, 14))
+    large = lambda at: (F.pmod(F.xxhash64(h, F.lit(at)), F.lit(744)) + 256).cast("string")
+    at, dot = _pick(h, 1, (" [at] ", " (at) ", "[at]", "(at)")), _pick(h, 5, (" [dot] ", "(dot)", " (dot) ", "[dot]", "."))
+    domain = _pick(h, 6, ("com", "org", "net", "de", "example", "info"))
+    host = _form(h, 65, word(4), word(4), F.concat(word(4), some(66, 1)), F.concat(word(4), F.lit("-"), word(67)), F.concat(word(4), dot, word(67)))
+    address = F.concat(word(2), _form(h, 36, F.lit(""), some(3, 1), some(3, 2), some(3, 3), some(3, 4), F.concat(F.lit("."), word(37)), F.concat(F.lit("_"), word(37))), at, host, dot, domain)
+    # What stands around an at-sign in running text: no domain, one of digits or of a letter, or the next sentence.
+    spoken = _form(h, 38, F.concat(word(14), at, word(16), F.lit(". "), F.initcap(word(17))), F.concat(word(14), at, word(16), F.lit("."), some(39, 2)), F.concat(word(14), at, some(40, 1), dot, some(41, 2)), F.concat(word(14), F.lit(" @ "), word(16), F.lit(" . "), F.initcap(word(17))))
+    number = F.concat(_pick(h, 7, ("4", "5", "3", "6")), some(8, 14))
+
+    def grouped(d: Column) -> Column:
+        return F.concat_ws(".", *[F.substring(d, 4 * i + 1, 4) for i in range(4)])
 
     def card(wrong: Column) -> Column:
         check = F.pmod(F.lit(10) - luhn_sum(F.concat(number, F.lit("0"))) % 10 + wrong, F.lit(10)).cast("string")
-        return _once(F.concat(number, check), lambda d: F.concat_ws(".", *[F.substring(d, 4 * i + 1, 4) for i in range(4)]))
+        return F.concat(number, check)
 
-    a, b, c = F.concat(F.lit("2"), _some(h, 10, 2)), _some(h, 11, 3), _some(h, 12, 4)
-    phone = F.element_at(F.array(F.concat(F.lit("("), a, F.lit(") "), b, F.lit("-"), c), F.concat(a, F.lit("-"), b, F.lit("-"), c), F.concat(F.lit("00"), _some(h, 13, 2), F.lit(" "), b, F.lit(" "), c), F.concat(a, F.lit("."), b, F.lit("."), c)), (F.pmod(h, F.lit(4)) + 1).cast("int"))
+    other = F.pmod(F.xxhash64(h, F.lit(26)), F.lit(9)) + 1
+    a, b, c, d = F.concat(F.lit("2"), some(10, 2)), some(11, 3), some(12, 4), some(13, 2)
+    phone = _form(h, 43, F.concat(F.lit("("), a, F.lit(") "), b, F.lit("-"), c), F.concat(a, F.lit("-"), b, F.lit("-"), c), F.concat(F.lit("00"), d, F.lit(" "), b, F.lit(" "), c), F.concat(a, F.lit("."), b, F.lit("."), c), F.concat(a, F.lit(" "), b, F.lit(" "), c))
+    few = _form(h, 44, F.concat(d, F.lit("-"), b, F.lit(" "), b), F.concat(d, F.lit(" "), b, F.lit("."), b), F.concat(F.lit("("), d, F.lit(") "), b, F.lit("-"), some(45, 3)), F.concat(d, F.lit("."), b, F.lit("-"), b), F.concat(some(46, 4), F.lit(" "), b, F.lit(" "), c, F.lit(" "), some(47, 4), F.lit(" ")))
+    hexa = F.substring(F.sha2(h.cast("string"), 256), 1, _form(h, 48, F.lit(32), F.lit(40), F.lit(64)))
     letters = lambda n: F.substring(F.translate(F.sha2(h.cast("string"), 256), "0123456789", "ghijklmnop"), 1, n)
     return {
-        ("email", True): address, ("email", False): F.concat(word(14), _pick(h, 15, (" (at) ", " @ ", " [at] ")), word(16), F.lit(". "), F.initcap(word(17))),
-        ("ip", True): F.concat_ws(",", part(18), part(19), part(20), part(21)), ("ip", False): F.concat_ws(",", _some(h, 22, 1), _some(h, 23, 3), _some(h, 24, 3), _some(h, 25, 3)),
-        ("card", True): card(F.lit(0)), ("card", False): card(F.pmod(F.xxhash64(h, F.lit(26)), F.lit(9)) + 1),
-        ("phone", True): phone, ("phone", False): F.concat(_some(h, 27, 2), F.lit("-"), b, F.lit(" "), _some(h, 28, 3)),
-        ("secret", True): F.substring(F.sha2(h.cast("string"), 256), 1, F.element_at(F.array(F.lit(32), F.lit(40), F.lit(64)), (F.pmod(h, F.lit(3)) + 1).cast("int"))), ("secret", False): F.when(h % 2 == 0, letters(26)).otherwise(F.concat_ws("/", letters(9), word(29), letters(7), word(30))),
+        ("email", True): address, ("email", False): spoken,
+        ("ip", True): F.concat_ws(",", part(18), part(19), part(20), part(21)), ("ip", False): _form(h, 22, F.concat_ws(",", some(23, 1), some(24, 3), some(25, 3), large(49)), F.concat_ws(",", part(50), large(51), part(52), part(53)), F.concat_ws(".", part(50), part(52), large(51), part(53)), F.concat_ws(",", large(54), large(55), large(56), large(57))),
+        ("card", True): grouped(card(F.lit(0))), ("card", False): _form(h, 58, grouped(card(other)), grouped(card(other)), F.concat_ws(".", some(59, 4), some(60, 4), some(61, 4)), card(other), some(62, 12)),
+        ("phone", True): phone, ("phone", False): few,
+        ("secret", True): hexa, ("secret", False): _form(h, 63, letters(26), F.concat_ws("/", letters(9), word(29), letters(7), word(30)), F.translate(hexa, "abc", "xyz"), F.substring(hexa, 1, 24)),
     }
 
 
 def plants(docs: DataFrame, repeats: int) -> DataFrame:
     """(luck, label, features...) of candidates where made-up spans and decoys (``_planted``) stand between pieces of the texts of ``docs``
-    (doc_id, _text). Labels come from the planting alone."""
+    (doc_id, _text). Labels come from the planting alone; the words before a span are drawn alike for both, those of its kind three times in
+    five, so that they tell nothing about the label, while a secret's label is also false without an assignment before it."""
     h = F.xxhash64("doc_id", "_text", "kind", "truth", "again")
     sorts = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(t).alias("truth")) for k in KINDS for t in (True, False)])).alias("s")
     rows = docs.select("doc_id", "_text", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("again"), sorts).select("doc_id", "_text", "again", "s.*").withColumn("h", h)
@@ -247,7 +269,7 @@ def plants(docs: DataFrame, repeats: int) -> DataFrame:
         made = made.when((F.col("kind") == kind) & (F.col("truth") == F.lit(truth)), value)
     cue = F
     for kind, cues in _CUES.items():
-        cue = cue.when((F.col("kind") == kind) & F.col("truth"), _pick(hc, 31, cues))
+        cue = cue.when((F.col("kind") == kind) & (F.pmod(F.xxhash64(hc, F.lit(64)), F.lit(5)) < 3), _pick(hc, 31, cues))
     slice_ = lambda at, n: F.substring(F.col("_text"), (F.pmod(F.xxhash64(hc, F.lit(at)), F.greatest(F.length("_text"), F.lit(1))) + 1).cast("int"), F.lit(n))
     parts = rows.select("h", "kind", "truth", F.concat(slice_(32, 40), F.lit(" "), cue.otherwise(_pick(hc, 33, _OTHER_CUES))).alias("before"), made.alias("made"), F.concat(_pick(hc, 34, (" ", ".", ", ", "\n", '" ')), slice_(35, 20)).alias("after"))
     text = parts.select("h", "kind", "truth", F.length("before").alias("start"), (F.length("before") + F.length("made")).alias("end"), F.concat("before", "made", "after").alias("_text"))
@@ -261,31 +283,31 @@ def plants(docs: DataFrame, repeats: int) -> DataFrame:
 
 
 def fit(rows: DataFrame, trees: int = TREES, depth: int = TREE_DEPTH, precision: float = PRECISION) -> Booster:
-    """Fit on half of the rows (luck, a hash; label; FEATURES), and set the threshold on the other: the least one above which ``precision`` of
-    the candidates have their label. Rows of one label only select nothing."""
+    """Fit each kind's trees on half of its rows (luck, a hash; label; FEATURES), and set its threshold on the other: the least one above which
+    ``precision`` of the candidates have their label, and half of the way to the next candidate below. A kind with rows of one label
+    only selects nothing."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    sample = stored(rows.select("luck", "label", *FEATURES))
-    half = sample.filter(F.col("luck") % 2 == 0)
-    if half.select("label").distinct().count() < 2:
-        return Booster(None, 1.0)
-    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(half.coalesce(1).sortWithinPartitions("luck", *FEATURES))
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=5).fit(ready)
-    parts = []
-    for tree, weight in zip(model.trees, model.treeWeights):
-        lines = [x for x in tree.toDebugString.splitlines()[1:] if x.strip()]
-        parts.append((_tree(lines), float(weight)))
-    margin = lambda c: sum((t(c) * w for t, w in parts), F.lit(0.0))
-    seen = sample.filter(F.col("luck") % 2 != 0).select("label", F.struct(*FEATURES).alias("c"))
-    scored = seen.select("label", F.round(Booster(margin, 0).probability(F.col("c")), 6).alias("p")).groupBy("p").agg(F.count("*").alias("n"), F.sum("label").alias("right"))
-    n = right = 0.0
-    threshold = 2.0
-    for r in sorted(scored.collect(), key=lambda r: -r["p"]):  # at most 2 * FIT_ROWS rows
-        n, right = n + r["n"], right + r["right"]
-        if right / n >= precision:
-            threshold = r["p"] - 1e-6
-    return Booster(margin, threshold)
+    sample = stored(rows.select("luck", "label", *FEATURES).repartition(1).sortWithinPartitions("luck", *FEATURES))
+    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample)
+    kinds = {}
+    for kind in KINDS:
+        of_kind = ready.filter(F.col("generator") == KINDS.index(kind)).coalesce(1)
+        half = of_kind.filter(F.col("luck") % 2 == 0).cache()
+        if half.select("label").distinct().count() == 2:
+            model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=5).fit(half)
+            parts = [(_tree([x for x in tree.toDebugString.splitlines()[1:] if x.strip()]), float(weight)) for tree, weight in zip(model.trees, model.treeWeights)]
+            margin = lambda c, parts=parts: sum((t(c) * w for t, w in parts), F.lit(0.0))
+            seen = of_kind.filter(F.col("luck") % 2 != 0).select("label", F.round(probability(margin(F.struct(*FEATURES))), 6).alias("p"))
+            points = sorted(map(tuple, seen.groupBy("p").agg(F.count("*"), F.sum("label")).collect()), reverse=True)  # at most 2 * FIT_ROWS rows
+            n = right = 0.0
+            for k, (p, count, good) in enumerate(points):
+                n, right = n + count, right + good
+                if right and right / n >= precision:
+                    kinds[kind] = margin, (p + (points[k + 1][0] if k + 1 < len(points) else 0.0)) / 2
+        half.unpersist()
+    return Booster(kinds)
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -306,7 +328,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_d
     sample = stored(_texts(docs, id_col, text_col).filter(luck.cast("double") * float(max(1, docs.count())) < float(fit_docs << 32)))
     n = sample.count()
     if not n:
-        return Booster(None, 1.0)
+        return Booster({})
     some = sample.orderBy(luck).limit(planted)
     made = plants(some, max(1, round(planted / min(n, planted))))
     each = _found(sample).select("doc_id", F.explode("found").alias("c")).filter(~F.col("c.known") & ~F.col("c.doubtful"))

@@ -72,7 +72,7 @@ def test_trees_add_spelled_emails_and_plain_numbers(spark):
     got = {r.doc_id: ([s[0] for s in r.base], [s[0] for s in r.spans]) for r in P.detect(df).collect()}
     for i, kind in enumerate(("email", "phone", "card")):
         found = [got[j] for j in range(i, 600, 6)]
-        assert all(b == [] for b, _ in found) and all(s == [kind] for _, s in found), (kind, found[:5])
+        assert all(b == [] and s == [kind] for b, s in found), (kind, [(rows[i + 6 * k][1], x) for k, x in enumerate(found) if x != ([], [kind])][:5])
     assert all(got[j][1] == [] for j in [*range(3, 600, 6), *range(5, 600, 6)])
     out = {r.doc_id: r.text for r in P.redact(df).collect()}
     assert out[0] == "write to [EMAIL] now" and out[1] == "my number is [PHONE] today" and out[2] == "card [CARD] of 2"
@@ -112,3 +112,59 @@ def test_precision_and_recall_on_planted_spans(spark):
         recall, precision = sum(hits) / len(hits), sum(hits) / max(1, sum(hits) + sum(wrong))
         print(kind, round(recall, 3), round(precision, 3))
         assert recall >= 0.8 and precision >= 0.9, (kind, recall, precision)
+
+
+PROBES = ["card 4111.1111.1111.1112", "visa 226668020056", "call 12-345 678", "host 1,234,999,890", "order 4111.1111.1111.1112", "about 1,234,999,890"]
+
+
+def test_other_forms_under_shared_cues(spark):
+    """Forms and cues that the trainer doesn't make, the same cues before true spans and before look-alikes that fail the check of their kind."""
+    rng = random.Random(21)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    booster = P.learn(docs)
+    texts = [r.text for r in docs.filter("length(text) > 300").orderBy("doc_id").limit(400).collect() if not brute(r.text)]
+    n = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+
+    def number(size, right):
+        d = rng.choice("3456") + n(size - 2)
+        check = next(c for c in "0123456789" if luhn(d + c))
+        return d + (check if right else str((int(check) + rng.randint(1, 9)) % 10))
+
+    def card(right):
+        size = rng.choice((15, 16, 16))
+        d = number(size, right)
+        return f"{d[:4]}.{d[4:10]}.{d[10:]}" if size == 15 else rng.choice((f"{d[:8]}.{d[8:]}", f"{d[:4]}.{d[4:8]} {d[8:12]}.{d[12:]}", f"{d[:6]}.{d[6:]}"))
+
+    octet, wide = lambda: str(rng.randint(0, 255)), lambda: str(rng.randint(256, 999))
+    who = lambda: rng.choice(("jane_doe", "k.mueller", "x-ray7", "sales"))
+    made = {
+        "email": (lambda: f"{who()}(at)web-{n(1)}mail [dot] co(dot)uk", lambda: f"{who()} (at) {n(2)}"),
+        "ip": (lambda: f"{octet()},{octet()}.{octet()},{octet()}", lambda: rng.choice((f"{wide()},{octet()},{wide()}.{octet()}", f"{octet()}.{octet()},{octet()}.{wide()}"))),
+        "card": (lambda: card(True), lambda: card(False)),
+        "phone": (lambda: rng.choice((f"{rng.randint(201, 989)} {n(3)}.{n(4)}", f"({rng.randint(201, 989)})-{n(3)}.{n(4)}", f"00{rng.randint(30, 49)} {n(3)}-{n(4)}")), lambda: f"{n(2)} {n(3)}-{n(3)}"),
+        "secret": (lambda: "".join(rng.choice("0123456789abcdef") for _ in range(48)), lambda: "".join(rng.choice("0123456789abcdefghijkl") for _ in range(48))),
+    }
+    cues = {"email": ("reach ", "mailbox "), "ip": ("addr ", "hosted on "), "card": ("visacard ", "debit card is "), "phone": ("telephone ", "phoned "), "secret": ("auth_token: ", "apikey=")}
+    rows, truth = [(-1 - i, p) for i, p in enumerate(PROBES)], {}
+    for i in range(1500):
+        t, kind, right = rng.choice(texts), rng.choice(list(made)), rng.random() < 0.5
+        at = t.find(" ", rng.randint(0, 200)) + 1
+        rows.append((i, f"{t[:at]}{rng.choice(cues[kind])}{made[kind][0 if right else 1]()} {t[at:]}"))
+        truth[i] = kind, right
+    got = {r.doc_id: [s[0] for s in r.spans] for r in P.detect(spark.createDataFrame(rows, "doc_id long, text string"), booster=booster).collect()}
+    assert [got[-1 - i] for i in range(len(PROBES))] == [[]] * len(PROBES)
+    for kind in made:
+        hits = [kind in got[i] for i, (k, right) in truth.items() if k == kind and right]
+        wrong = [kind in got[i] for i, (k, right) in truth.items() if k == kind and not right]
+        recall, precision = sum(hits) / len(hits), sum(hits) / max(1, sum(hits) + sum(wrong))
+        print(kind, round(recall, 3), round(precision, 3))
+        assert recall >= 0.8 and precision >= 0.9, (kind, recall, precision)
+
+
+def test_added_cards_pass_their_check(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    for r in P.detect(docs).collect():
+        for kind, start, end in set(map(tuple, r.spans)) - set(map(tuple, r.base)):
+            d = re.sub("[^0-9]", "", texts[r.doc_id][start:end])
+            assert kind != "card" or (13 <= len(d) <= 19 and luhn(d)), texts[r.doc_id][start:end]
