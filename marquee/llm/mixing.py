@@ -112,14 +112,26 @@ def mix_sources(docs: DataFrame, shards: int = 16, blocks_per_shard: int = 64, w
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it (a document that a target cuts counts when half of its words are
-    taken). Null ids join like values; of rows that share an id, all are repeated as often as the first by row number."""
+    taken). Null ids join like values. Rows that share an id are told apart by source, size and their place among equals."""
     pieces = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
-    per_row = pieces.groupBy("row", "doc_id", "size").agg(F.sum("n_words").alias("taken"))
-    times = per_row.groupBy("doc_id").agg(F.min_by(F.struct("taken", "size"), "row").alias("t"))
-    copies = times.select("doc_id", F.when(F.col("t.size") > 0, F.floor(F.col("t.taken") / F.col("t.size") + 0.5)).otherwise(0).cast("int").alias("times")).filter("times > 0")
+    per_row = pieces.groupBy("row", "doc_id", "source", "size").agg(F.sum("n_words").alias("taken"))
+    per_row = stored(per_row.select("row", "doc_id", "source", "size", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int").alias("times")))
+    by_id = per_row.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("times").alias("times"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.col(id_col).alias("own"))
-    again = rows.join(copies.hint("shuffle_hash"), F.col("own").eqNullSafe(F.col("doc_id")))
-    return again.select("d", F.explode(F.sequence(F.lit(1), F.col("times")))).select("d.*")
+    copies = by_id.filter("n = 1 AND times > 0").select("doc_id", "times")
+    mixed = rows.join(copies.hint("shuffle_hash"), F.col("own").eqNullSafe(F.col("doc_id"))).select("d", "times")
+    many = stored(by_id.filter("n > 1").select(F.col("doc_id").alias("shared")))
+    if not many.isEmpty():
+        keys = ["_id", "_source", "_size"]
+        seats = per_row.join(many, F.col("doc_id").eqNullSafe(F.col("shared")), "left_semi").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "row", "times")
+        seats = before(seats, [*keys, "row"], keys, out="_place").filter("times > 0").select(*[F.col(k).alias(f"_seat{k}") for k in (*keys, "_place")], "times")
+        sharing = rows.join(many, F.col("own").eqNullSafe(F.col("shared")), "left_semi").select("d", F.col("own").alias("_id"), F.col("d")[source_col].alias("_source"), word_count(F.col("d")[text_col]).alias("_size"), F.xxhash64(F.col("d")[text_col]).alias("_luck"))
+        placed = before(sharing, [*keys, "_luck"], keys, out="_place")
+        same = F.lit(True)
+        for k in (*keys, "_place"):
+            same = same & F.col(k).eqNullSafe(F.col(f"_seat{k}"))
+        mixed = mixed.unionByName(placed.join(seats, same).select("d", "times"))
+    return mixed.select("d", F.explode(F.sequence(F.lit(1), F.col("times")))).select("d.*")
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,3 +77,26 @@ def test_split_is_exact(spark):
     for r in rows:
         per[r.shard] += r.blocks
     assert set(per.values()) == {8}
+
+
+def test_rows_that_share_an_id_meet_the_target(spark):
+    """Copies of rows with one id, or none, are those of their own pieces, whatever the columns are called."""
+    rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (1, "g", "x"), (None, "h i", "y"), (None, "j k l", "y"), (7, "m n o p", "y"), (1, "q r", None), (8, None, "x"), (8, "", "x")]
+    rows += [(9, "hot word", "x")] * 50
+    df = spark.createDataFrame([(i, t, s, 1, 2, "z") for i, t, s in rows], "doc_id long, text string, source string, row long, times long, `d` string")
+    pieces = M.mix_sources(df).groupBy("row", "doc_id", "source", "size").sum("n_words").collect()
+    want = sorted(str((r[1], r[2], r[3])) for r in pieces if r[3] for _ in range(int(r[4] / r[3] + 0.5)))
+    out = M.mixed_documents(df)
+    assert out.columns == df.columns
+    got = sorted(str((r.doc_id, r.source, len((r.text or "").split()))) for r in out.collect())
+    assert got == want and len(got) > 50
+
+
+def test_long_texts_and_repeated_rows(spark):
+    rows = [(i % 3, "w " * (20000 if i == 0 else 5), "abc"[i % 3]) for i in range(30)]
+    out = M.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len({r.row for r in out}) == 30
+    taken = {}
+    for r in out:
+        taken[r.source] = taken.get(r.source, 0) + r.n_words
+    assert all(abs(taken[r.source] - r.target) <= 1 for r in out)
