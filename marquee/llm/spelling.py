@@ -43,14 +43,14 @@ def trie(words: DataFrame, top: int) -> tuple[DataFrame, DataFrame]:
     at = both.select("back", "word", F.explode(F.sequence(F.lit(top + 1), F.length("word"))).alias("depth")).select("back", "word", "depth", _node(F.col("depth")).alias("node"))
     after = F.substring("word", F.col("depth") + 1, F.lit(1))
     parts = at.groupBy("node").agg(F.min(after).alias("a"), F.max(after).alias("z")).filter("a <> z").select("node")
-    inner = at.filter(F.col("depth") < F.length("word")).join(parts, "node", "left_semi").select("back", "word", "depth")
+    inner = at.filter(F.col("depth") < F.length("word")).join(parts.hint("shuffle_hash"), "node", "left_semi").select("back", "word", "depth")
     ends = both.select("back", "word", F.explode(F.array(F.lit(top), F.length("word"))).alias("depth"))
     paths = stored(inner.unionByName(ends).groupBy("back", "word").agg(F.array_sort(F.collect_set("depth")).alias("cuts")))
     steps = paths.select("back", "word", F.explode(F.arrays_zip(F.slice("cuts", 1, F.size("cuts") - 1).alias("f"), F.slice("cuts", 2, F.size("cuts")).alias("t"))).alias("s")).select("back", "word", "s.*")
     edges = steps.select(_node(F.col("f")).alias("node"), F.substring("word", F.col("f") + 1, F.col("t") - F.col("f")).alias("label"), _node(F.col("t")).alias("child"), (F.col("t") == F.length("word")).alias("is_word"))
     edges = stored(edges.groupBy("node", "label", "child").agg(F.max("is_word").alias("is_word")))
     nexts = edges.groupBy(F.col("node").alias("child")).agg(F.array_join(F.collect_set(F.substring("label", 1, 1)), "").alias("nexts"))
-    return paths, stored(edges.join(nexts, "child", "left").select("node", "label", "child", "is_word", F.coalesce("nexts", F.lit("")).alias("nexts")))
+    return paths, stored(edges.join(nexts.hint("shuffle_hash"), "child", "left").select("node", "label", "child", "is_word", F.coalesce("nexts", F.lit("")).alias("nexts")))
 
 
 def one_edit_links(words: DataFrame, least: int = LEAST) -> DataFrame:
@@ -82,7 +82,7 @@ def one_edit_links(words: DataFrame, least: int = LEAST) -> DataFrame:
         )
         ahead = lambda w: (w["at"] < F.length("word")) & F.contains("nexts", F.substr("word", w["at"] + 1, F.lit(1)))
         goes = lambda w: w.isNotNull() & (w["near"].isNull() | ((w["at"] == F.length("word")) & F.col("is_word")) | ahead(w))
-        arrived = states.join(edges, "node").select("back", "word", "child", "is_word", F.explode(F.filter(ways, goes)).alias("w"))
+        arrived = states.join(edges.hint("shuffle_hash"), "node").select("back", "word", "child", "is_word", F.explode(F.filter(ways, goes)).alias("w"))
         states = stored(arrived.select("back", "word", "w.at", "w.near", F.col("child").alias("node"), "is_word"))
         tables.append(states)
         last = F.when(F.col("near").isNotNull() & (F.col("at") == F.length("word")), F.col("near")).when(F.col("near").isNull() & (F.col("at") == F.length("word") - 1), F.substring("word", F.lit(1), F.col("at")))
