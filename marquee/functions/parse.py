@@ -62,6 +62,49 @@ def parse_audio_quality(c: Column) -> Column:
     return F.when(best | rate.between(32, 512), F.struct(F.when(~best, rate).alias("bitrate"), F.when(best, "best").otherwise(F.concat(rate.cast("string"), F.lit("k"))).alias("label")))
 
 
+#: The reasons that each sort of text can have.
+REASONS = {
+    "count": ("empty", "no count", "negative", "not whole", "too large"), "duration": ("empty", "above 59", "negative", "no duration"), "day": ("empty", "no such day", "no date"),
+    "video": ("empty", "height out of range", "no quality"), "audio": ("empty", "rate out of range", "no quality"),
+}
+
+
+def _unread(t: Column, *reasons: tuple[Column, str]) -> Column:
+    """Why a text can't be read: empty, or the first reason that holds; used where the value is null."""
+    out = F.when(t.isNull() | (t == ""), "empty")
+    for when, reason in reasons[:-1]:
+        out = out.when(when, reason)
+    return out.otherwise(reasons[-1][1])
+
+
+def count_reason(c: Column) -> Column:
+    t = F.trim(c)
+    number = t.rlike(r"(?i)^-?\d+(?:\.\d+)?\s*(?:k|lakh|lac|l|m|crore|cr|b)?$")
+    zeros = F.element_at(F.create_map(*[F.lit(x) for kv in ZEROS.items() for x in kv]), F.lower(F.regexp_extract(t, r"(?i)([a-z]*)$", 1)))
+    parts = F.length(F.regexp_replace(F.regexp_extract(t, r"\.(\d+)", 1), "0+$", ""))
+    return F.when(parse_count(c).isNull(), _unread(t, (~number, "no count"), (t.startswith("-"), "negative"), (parts > zeros, "not whole"), (F.lit(True), "too large")))
+
+
+def duration_reason(c: Column) -> Column:
+    t = F.trim(c)
+    return F.when(parse_duration(c).isNull(), _unread(t, (t.rlike(r"^\d+(?::\d+){1,2}$"), "above 59"), (t.startswith("-"), "negative"), (F.lit(True), "no duration")))
+
+
+def date_reason(c: Column) -> Column:
+    t = F.trim(c)
+    return F.when(parse_date(c).isNull(), _unread(t, (t.rlike(r"^(?:\d{8}|\d{4}-\d{2}-\d{2})$"), "no such day"), (F.lit(True), "no date")))
+
+
+def video_quality_reason(c: Column) -> Column:
+    t = F.lower(F.trim(c))
+    return F.when(parse_video_quality(c).isNull(), _unread(t, (t.rlike(r"^(?:exact:)?\d+p?$"), "height out of range"), (F.lit(True), "no quality")))
+
+
+def audio_quality_reason(c: Column) -> Column:
+    t = F.lower(F.trim(c))
+    return F.when(parse_audio_quality(c).isNull(), _unread(t, (t.rlike(r"^\d+(?:k|kbps)?$"), "rate out of range"), (F.lit(True), "no quality")))
+
+
 def normalized(df: DataFrame, column: str, value: Column) -> DataFrame:
     """``df`` with ``value`` and ``reject`` (the raw text where it can't be read; null text is no reject)."""
     out = df.withColumn("value", value)

@@ -88,8 +88,9 @@ def clean_metadata(df: DataFrame, texts: list[str], numbers: list[str]) -> DataF
 
 
 def first_seen(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key in order."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
+    """The first row of each key in order, as one aggregate that is summed before the shuffle."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*").select(*df.columns)
 
 
 def playlist_catalog(listings: DataFrame) -> DataFrame:

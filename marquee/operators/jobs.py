@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marquee.operators.ordering import before
+from marquee.sources.tables import stored
 
 #: Item and job statuses.
 STATUSES = ("pending", "downloading", "postprocessing", "verifying", "completed", "skipped_duplicate", "skipped_unavailable", "failed_retryable", "failed_final", "cancelled")
@@ -43,6 +44,48 @@ def selection_hash(items: DataFrame, per: str, columns: list[str]) -> DataFrame:
     return blocks.groupBy(per).agg(joined("_block", "_b").alias("content_hash"), F.sum("_n").alias("n_items"))
 
 
+def hashed_rows(items: DataFrame, per: str, columns: list[str]) -> DataFrame:
+    """(per, position, h), h being the hash of all rows at a position."""
+    rows = items.select(per, F.col("position").cast("long").alias("position"), F.sha2(_canonical(columns), 256).alias("h"))
+    return rows.groupBy(per, "position").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("h"))
+
+
+def hash_tree(rows: DataFrame, per: str, block: int = _BLOCK, fan: int = 16, levels: int = 5) -> DataFrame:
+    """(per, level, node, hash) over rows (per, position, h). Level 0 has a node for ``block`` positions; a node of a level above covers
+    ``fan`` nodes of the one below, and the highest level covers what is left. A node depends on the places and hashes of its own rows only."""
+    joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "hash"))), lambda x: F.concat_ws(":", x["place"], x["hash"])), ","), 256).alias("hash")
+    level = rows.select(per, F.floor(F.col("position") / block).alias("node"), F.col("position").alias("place"), F.col("h").alias("hash")).groupBy(per, "node").agg(joined)
+    out = level.withColumn("level", F.lit(0))
+    for n in range(1, levels):
+        level = level.select(per, F.floor(F.col("node") / (fan if n < levels - 1 else 1 << 40)).alias("node"), F.col("node").alias("place"), "hash").groupBy(per, "node").agg(joined)
+        out = out.unionByName(level.withColumn("level", F.lit(n)))
+    return out.select(per, "level", F.col("node").cast("long").alias("node"), "hash")
+
+
+def differing_blocks(one: DataFrame, other: DataFrame, per: str, fan: int = 16, levels: int = 5) -> DataFrame:
+    """(per, block) of level 0 where two trees differ, or one of them has no node, found from the top: only children of nodes that differ
+    are compared, so trees that agree are compared at their tops alone."""
+    open_ = None
+    for n in range(levels - 1, -1, -1):
+        sides = []
+        for tree, name in ((one, "a"), (other, "b")):
+            side = tree.filter(F.col("level") == n).select(per, "node", F.col("hash").alias(name))
+            if open_ is not None:
+                above = F.floor(F.col("node") / (fan if n < levels - 2 else 1 << 40)).cast("long")
+                side = side.withColumn("_above", above).join(open_, [per, "_above"], "left_semi").drop("_above")
+            sides.append(side)
+        open_ = stored(sides[0].join(sides[1], [per, "node"], "full").filter(~F.col("a").eqNullSafe(F.col("b"))).select(per, F.col("node").alias("_above")))
+    return open_.select(per, F.col("_above").alias("block"))
+
+
+def differing_rows(one: DataFrame, other: DataFrame, blocks: DataFrame, per: str, block: int = _BLOCK) -> DataFrame:
+    """(per, position, problem) of rows (per, position, h) in ``blocks``: missing in the second, added there, or changed."""
+    side = lambda rows, name: rows.withColumn("block", F.floor(F.col("position") / block).cast("long")).join(blocks, [per, "block"], "left_semi").select(per, "position", F.col("h").alias(name))
+    both = side(one, "a").join(side(other, "b"), [per, "position"], "full")
+    problem = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "added").when(F.col("a") != F.col("b"), "changed")
+    return both.withColumn("problem", problem).filter("problem IS NOT NULL").select(per, "position", "problem")
+
+
 def plan_hash(items: DataFrame, per: str, columns: list[str], settings: DataFrame) -> DataFrame:
     """(per, content_hash): SHA-256 of the canonical JSON of a plan's settings (all other columns of ``settings``, one row per plan: source,
     format, quality, mode, directory, label, sort) and of its items' hash. Ids and times stay out if they are no columns."""

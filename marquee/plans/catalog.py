@@ -13,6 +13,7 @@ from marquee.operators import index as i
 from marquee.operators.jobs import plan_hash, selection_hash
 from marquee.operators.ordering import before
 from marquee.plans.registry import query
+from marquee.sources.rejects import write_checked
 from marquee.sources.tables import shared_dir, write_index_tables
 
 # --- listings -------------------------------------------------------------------------------------------------------
@@ -111,6 +112,37 @@ query(
     lambda v: v.media.selectExpr("media_key", f"CASE position % 4 WHEN 0 THEN ' Best' WHEN 1 THEN 'worst' WHEN 2 THEN 'EXACT:' || {_HEIGHT} ELSE {_HEIGHT} || 'P' END AS q", "CAST(position % 600 AS STRING) || 'kbps' AS a")
     .select("media_key", parse.parse_video_quality(F.col("q"))["label"].alias("video_label"), parse.parse_audio_quality(F.col("a"))["label"].alias("audio_label"))
 )
+#: Raw input of every sort, and why each text can't be read.
+_RAW = {
+    "count": _COUNT_TEXT, "duration": f"CASE position % 6 WHEN 0 THEN {_MINUTES} || 's' WHEN 1 THEN {_MINUTES} || ' m' WHEN 2 THEN {_MINUTES} || '.5h' WHEN 3 THEN CAST(position % 50 + 100 AS STRING) || ':07' WHEN 4 THEN '2:' || {_MINUTES} || ':59' ELSE {_MINUTES} || ':60' END",
+    "day": "CASE WHEN position % 5 = 0 THEN '1994-02-30' WHEN position % 2 = 0 THEN date_format(upload_date, 'yyyyMMdd') ELSE CAST(upload_date AS STRING) END",
+    "video": f"CASE position % 4 WHEN 0 THEN ' Best' WHEN 1 THEN 'worst' WHEN 2 THEN 'EXACT:' || {_HEIGHT} ELSE {_HEIGHT} || 'P' END", "audio": "CAST(position % 600 AS STRING) || 'kbps'",
+}
+_WHY = {
+    "count": "CASE WHEN position % 7 = 3 THEN 'not whole' WHEN position % 7 = 6 THEN 'too large' WHEN view_count IS NULL THEN 'empty' WHEN position % 7 = 4 THEN 'negative' END", "duration": "CASE WHEN position % 6 = 5 THEN 'above 59' END",
+    "day": "CASE WHEN position % 5 = 0 THEN 'no such day' WHEN upload_date IS NULL THEN 'empty' END", "video": "CASE WHEN position % 4 IN (2, 3) AND NOT position % 20000 BETWEEN 144 AND 16384 THEN 'height out of range' END",
+    "audio": "CASE WHEN NOT position % 600 BETWEEN 32 AND 512 THEN 'rate out of range' END",
+}
+_REASONS = {"count": parse.count_reason, "duration": parse.duration_reason, "day": parse.date_reason, "video": parse.video_quality_reason, "audio": parse.audio_quality_reason}
+_CHECKED = f"(SELECT source_id, media_key, {', '.join(f'{w} AS {k}' for k, w in _WHY.items())} FROM media)"
+
+
+def _checked(v):
+    """Clean rows, rejects and counts of the raw input, from the pass that writes it."""
+    raw = v.media.selectExpr("source_id", "media_key", *[f"{t} AS {k}" for k, t in _RAW.items()])
+    return write_checked(raw, f"{shared_dir(v.spark)}/checked-{uuid.uuid4().hex}", {k: f(F.col(k)) for k, f in _REASONS.items()}, parse.REASONS)
+
+
+for _name, _rules in (("p1_count_rejects", ("count",)), ("p2_duration_rejects", ("duration",)), ("p3_date_rejects", ("day",)), ("p4_label_rejects", ("video", "audio"))):
+    query(_name, " UNION ALL ".join(f"SELECT source_id, media_key, '{k}' AS rule, {k} AS reason FROM {_CHECKED} c WHERE {k} IS NOT NULL" for k in _rules))(
+        lambda v, rules=_rules: _checked(v)[1].select("source_id", "media_key", F.explode("reasons").alias("rule", "reason")).filter(F.col("rule").isin(*rules))
+    )
+query("p1_checked_clean", f"SELECT source_id, media_key FROM {_CHECKED} c WHERE coalesce({', '.join(_WHY)}) IS NULL")(lambda v: _checked(v)[0].select("source_id", "media_key"))
+query(
+    "p1_checked_counts",
+    "SELECT name, n FROM (" + " UNION ALL ".join([f"SELECT '{k}: {r}' AS name, count(*) FILTER ({k} = '{r}') AS n FROM {_CHECKED} c" for k, rs in parse.REASONS.items() for r in rs]
+    + [f"SELECT 'rows' AS name, count(*) AS n FROM {_CHECKED} c", f"SELECT 'clean' AS name, count(*) FILTER (coalesce({', '.join(_WHY)}) IS NULL) AS n FROM {_CHECKED} c", f"SELECT 'rejected' AS name, count(*) FILTER (coalesce({', '.join(_WHY)}) IS NOT NULL) AS n FROM {_CHECKED} c"]) + ") t",
+)(lambda v: v.spark.createDataFrame(sorted(_checked(v)[2].items()), "name string, n long"))
 query("p5_source_profile_key", "SELECT media_key, 'v1|' || url_encode(trim(source_id)) || '|' || url_encode(media_key) || '|mp4|' || url_encode(trim(title) || ' ~*é') AS profile FROM media")(
     lambda v: v.media.select("media_key", c.source_profile_key(F.concat(F.lit(" "), "source_id"), F.col("media_key"), F.lit("mp4"), F.concat(F.trim("title"), F.lit(" ~*é"))).alias("profile"))
 )

@@ -169,6 +169,35 @@ def _snapshot(v):
     return s.read_selection_snapshot(v.spark, path, "source_id", _SNAP).select("source_id", "media_key", "position")
 
 
+def _keys_added(v):
+    """An archive after half of the keys, then all of them, then the same batch again; what the second batch added, and all keys."""
+    archive = s.KeyArchive(v.spark, f"{shared_dir(v.spark)}/keys-{uuid.uuid4().hex}", 32)
+    keys = v.phase_events.selectExpr("'youtube ' || item_id AS value", "item_id")
+    archive.add(keys.filter("item_id % 2 = 0"), 0)
+    return archive.add(keys, 1), archive.add(keys, 1), archive.keys()
+
+
+query("s13_archive_in_batches", "SELECT DISTINCT 'youtube ' || CAST(item_id AS VARCHAR) AS value FROM phase_events")(lambda v: _keys_added(v)[2])
+query("s13_keys_added", "SELECT DISTINCT 'youtube ' || CAST(item_id AS VARCHAR) AS value FROM phase_events WHERE item_id % 2 = 1")(lambda v: _keys_added(v)[1])
+
+
+def _damage(v):
+    """One row of a source gone, one forged, one too many."""
+    path = f"{shared_dir(v.spark)}/snapshot-{uuid.uuid4().hex}"
+    s.write_selection_snapshot(v.media, "source_id", _SNAP, path)
+    forged = v.media.filter("NOT (source_id = 'src1' AND position = 5)").withColumn("title", F.expr("CASE WHEN source_id = 'src2' AND position = 0 THEN 'forged' ELSE title END"))
+    more = v.media.filter("source_id = 'src3' AND position = 1").withColumn("position", F.col("position") + 1000000)
+    return s.snapshot_damage(v.spark, path, "source_id", _SNAP, forged.unionByName(more))
+
+
+query(
+    "v4_snapshot_damage",
+    "SELECT source_id, position, CASE source_id WHEN 'src1' THEN 'missing' ELSE 'changed' END AS problem FROM media WHERE (source_id = 'src1' AND position = 5) OR (source_id = 'src2' AND position = 0) UNION ALL SELECT source_id, position + 1000000 AS position, 'added' AS problem FROM media WHERE source_id = 'src3' AND position = 1",
+)(_damage)
+query(
+    "s10_fingerprint_rejects",
+    "SELECT vec_id, CASE vec_id % 10 WHEN 1 THEN 'stream flag' WHEN 2 THEN 'no JSON object' WHEN 3 THEN 'duration' ELSE CASE WHEN has_audio THEN 'words' ELSE 'no JSON object' END END AS reason FROM prints WHERE vec_id % 10 IN (1, 2, 3, 4)",
+)(lambda v: s.fingerprint_from_text(_texts(v), "value").filter("NOT valid").select("vec_id", "reason"))
 _PROFILE = ["platform", "media_key", "output_format", "quality"]
 _LATEST = "(SELECT media_key, path FROM (SELECT *, row_number() OVER (PARTITION BY media_key ORDER BY download_id DESC) AS n FROM downloads WHERE status = 'completed') t WHERE n = 1) l JOIN present_files p ON p.path = l.path"
 

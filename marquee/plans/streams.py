@@ -48,7 +48,7 @@ def _phases(v):
 def _keys(v):
     base = _base(v)
     t.stream_first_seen(_stream(v.phase_events.selectExpr("'youtube ' || item_id AS value", "ts"), base), f"{base}/out", f"{base}/checkpoint")
-    return v.spark.read.parquet(f"{base}/out")
+    return v.spark.read.parquet(f"{base}/out").select("value")
 
 
 query("t1_stream_index")(_index)

@@ -10,8 +10,11 @@ from urllib.parse import quote
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from marquee.operators.jobs import selection_hash
+from marquee.operators.jobs import differing_blocks, differing_rows, hash_tree, hashed_rows, selection_hash
+from marquee.sources.buckets import BucketedTable
+from marquee.sources.tables import discard, stored
 
 #: Suffixes of files that accompany an output.
 SIDECARS = ("part", "ytdl", "tmp", "json", "jpg", "jpeg", "png", "webp", "vtt", "srt", "ass", "lrc", "description")
@@ -84,11 +87,37 @@ def append_archive(archive_path: str, candidates: DataFrame) -> DataFrame:
     return spark.read.text(archive_path)
 
 
+class KeyArchive:
+    """Keys seen so far, in buckets by their hash: a batch reads and rewrites only the buckets that its keys fall into, and one that runs
+    again changes nothing."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 256):
+        self.table = BucketedTable(spark, path, ["value"], StructType([StructField("value", StringType()), StructField("batch", LongType())]), buckets)
+
+    def contains(self, keys: DataFrame) -> DataFrame:
+        """Those of ``keys`` (value) that the archive holds."""
+        return keys.join(self.table.read(self.table.touched(keys)).select("value"), "value", "left_semi")
+
+    def add(self, keys: DataFrame, batch: int) -> DataFrame:
+        """Put in the keys that it lacks; returns them, also when the batch runs again."""
+        wanted = stored(keys.select("value").filter("value IS NOT NULL").distinct())
+        old = self.table.read(self.table.touched(wanted), self.table.before(batch))
+        new = stored(wanted.join(old, "value", "left_anti").withColumn("batch", F.lit(batch).cast("long")))
+        self.table.merge(new, lambda rows, changes: rows.unionByName(changes), batch)
+        discard(wanted)
+        return new.select("value")
+
+    def keys(self) -> DataFrame:
+        return self.table.read().select("value")
+
+
 def write_selection_snapshot(items: DataFrame, per: str, columns: list[str], path: str) -> DataFrame:
-    """Freeze selected rows below ``path`` with their hash per plan; returns the hash rows."""
+    """Freeze selected rows below ``path`` with their hash per plan, and the hashes of their rows and blocks; returns the hash rows."""
     items.write.parquet(f"{path}/items")
     frozen = items.sparkSession.read.parquet(f"{path}/items")
     selection_hash(frozen, per, columns).write.parquet(f"{path}/hashes")
+    hashed_rows(frozen, per, columns).write.parquet(f"{path}/rows")
+    hash_tree(items.sparkSession.read.parquet(f"{path}/rows"), per).write.parquet(f"{path}/tree")
     return items.sparkSession.read.parquet(f"{path}/hashes")
 
 
@@ -99,6 +128,14 @@ def read_selection_snapshot(spark: SparkSession, path: str, per: str, columns: l
     return items.join(fine, per, "left_semi")
 
 
+def snapshot_damage(spark: SparkSession, path: str, per: str, columns: list[str], items: DataFrame | None = None) -> DataFrame:
+    """(plan, position, problem): which rows of a snapshot (or of ``items`` in its place) aren't those that were frozen. Hash trees are compared from
+    the top, and rows only in the blocks that differ."""
+    now = stored(hashed_rows(spark.read.parquet(f"{path}/items") if items is None else items, per, columns))
+    blocks = stored(differing_blocks(spark.read.parquet(f"{path}/tree"), hash_tree(now, per), per))
+    return differing_rows(spark.read.parquet(f"{path}/rows"), now, blocks, per)
+
+
 def fingerprint_to_text(df: DataFrame) -> Column:
     """Canonical JSON of duration_seconds, has_audio, has_video, words and frames (binary)."""
     samples = F.transform("frames", lambda f: F.lower(F.hex(f)))
@@ -106,11 +143,17 @@ def fingerprint_to_text(df: DataFrame) -> Column:
 
 
 def fingerprint_from_text(df: DataFrame, column: str) -> DataFrame:
-    """``df`` with ``p`` (the parsed fingerprint) and ``valid``. Closed on errors: words outside 0 .. 2^32 - 1, frames of over 256 bytes or not
-    hexadecimal, a stream flag that is no boolean or a negative duration make the row invalid."""
-    p = F.from_json(column, _PRINT)
-    out = df.withColumn("p", p)
-    words = F.coalesce(F.forall("p.audio_words", lambda w: F.coalesce(w.between(0, 0xFFFFFFFF), F.lit(False))), F.get_json_object(column, "$.audio_words").isNull())
-    frames = F.coalesce(F.forall("p.video_samples", lambda s: F.coalesce(s.rlike(f"^0*[0-9a-fA-F]{{1,{2 * _FRAME_BYTES}}}$"), F.lit(False))), F.get_json_object(column, "$.video_samples").isNull())
-    valid = F.col("p.has_audio").isNotNull() & F.col("p.has_video").isNotNull() & words & frames & F.coalesce(F.col("p.duration_seconds") >= 0, F.get_json_object(column, "$.duration_seconds").isNull())
-    return out.withColumn("valid", F.coalesce(valid, F.lit(False)))
+    """``df`` with ``p`` (the parsed fingerprint), ``reason`` (why it is no fingerprint, null if it is one) and ``valid``. Closed on errors: words
+    outside 0 .. 2^32 - 1, frames of over 256 bytes or not hexadecimal, a stream flag that is no boolean or a negative duration make the row
+    invalid; the first of these is the reason."""
+    raw = lambda name: F.get_json_object(column, f"$.{name}")
+    out = df.withColumn("p", F.from_json(column, _PRINT))
+    words = F.coalesce(F.forall("p.audio_words", lambda w: F.coalesce(w.between(0, 0xFFFFFFFF), F.lit(False))), raw("audio_words").isNull())
+    frames = F.coalesce(F.forall("p.video_samples", lambda s: F.coalesce(s.rlike(f"^0*[0-9a-fA-F]{{1,{2 * _FRAME_BYTES}}}$"), F.lit(False))), raw("video_samples").isNull())
+    duration = F.coalesce(F.col("p.duration_seconds") >= 0, raw("duration_seconds").isNull())
+    flags = F.col("p.has_audio").isNotNull() & F.col("p.has_video").isNotNull()
+    reason = (
+        F.when(F.col(column).isNull() | (F.trim(column) == ""), "empty").when(F.get_json_object(column, "$").isNull() | ~F.startswith(F.trim(column), F.lit("{")), "no JSON object")
+        .when(~F.coalesce(flags, F.lit(False)), "stream flag").when(~F.coalesce(words, F.lit(False)), "words").when(~F.coalesce(frames, F.lit(False)), "frames").when(~F.coalesce(duration, F.lit(False)), "duration")
+    )
+    return out.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull())

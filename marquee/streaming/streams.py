@@ -12,6 +12,7 @@ from pyspark.sql.types import LongType, StringType, StructType
 
 from marquee.operators.index import last_rows, missing_members, scan_diff_summary, scan_row_flags, upsert_stats
 from marquee.sources.buckets import BucketedTable
+from marquee.sources.files import KeyArchive
 from marquee.sources.tables import discard, stored
 
 FIELDS = ["title", "duration_seconds", "upload_date", "channel", "availability", "media_type"]
@@ -152,11 +153,15 @@ def stream_phase_counts(events: DataFrame, base: str, checkpoint: str, buckets:
         spark.conf.set(STATE_STORE, was)
 
 
-def stream_first_seen(keys: DataFrame, path: str, checkpoint: str, within: str | None = None, time: str = "ts") -> None:
-    """Append each key the first time that it is seen. With ``within`` (as '1 day') the state forgets keys after that time, and a key may come
-    again later."""
-    if within is None:
-        first = keys.select("value").dropDuplicates(["value"])
-    else:
-        first = keys.withWatermark(time, within).dropDuplicatesWithinWatermark(["value"]).select("value")
-    _run(first, checkpoint, path=path)
+def stream_first_seen(keys: DataFrame, path: str, checkpoint: str, within: str | None = None, time: str = "ts", buckets: int = 256) -> None:
+    """Append each key the first time that it is seen. Without ``within`` the keys seen stand in a bucketed archive beside ``path``, so the
+    stream has no state: a micro-batch reads and rewrites the buckets of its own keys, and writes what was new under its number. With
+    ``within`` (as '1 day') the state forgets keys after that time, and a key may come again later."""
+    if within is not None:
+        _run(keys.withWatermark(time, within).dropDuplicatesWithinWatermark(["value"]).select("value"), checkpoint, path=path)
+        return
+
+    def add(batch: DataFrame, number: int) -> None:
+        KeyArchive(batch.sparkSession, f"{path.rstrip('/')}-archive", buckets).add(batch, number).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    _run(keys.select("value"), checkpoint, add)

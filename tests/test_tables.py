@@ -129,3 +129,65 @@ def test_screening_in_batches(spark, tmp_path):
     assert sorted(got) == want
     most = screener.holders.read().groupBy("plan_id", "kind", "value").count().groupBy("kind").agg(F.max("count")).collect()
     assert dict(map(tuple, most)) == {"token": 9, "title": 1, "duration": 3}
+
+
+def test_key_archive(spark, tmp_path):
+    from marquee.sources.files import KeyArchive
+
+    archive = KeyArchive(spark, f"file://{tmp_path}/keys", 64)
+    keys = lambda *x: spark.createDataFrame([(v,) for v in x], "value string")
+    assert archive.add(spark.range(3000).selectExpr("'k' || id AS value"), 0).count() == 3000
+    assert sorted(r.value for r in archive.add(keys("k1", "new", "new", None), 1).collect()) == ["new"]
+    assert sorted(r.value for r in archive.add(keys("k1", "new", "new", None), 1).collect()) == ["new"]  # the batch again
+    assert archive.add(keys("k2"), 2).count() == 0 and archive.keys().count() == 3001
+    assert {r.value for r in archive.contains(keys("k5", "other", "new")).collect()} == {"k5", "new"}
+    first, second = list(sizes(tmp_path / "keys").values())[:2]
+    assert second < first / 8 and len(archive.table.touched(keys("k5", "other"))) <= 2
+
+
+def test_damaged_snapshots_name_their_rows(spark, tmp_path):
+    """Blocks of 1000 positions, more blocks than one node covers, positions held twice."""
+    from marquee.operators import jobs
+    from marquee.sources import files
+
+    items = spark.range(40000).selectExpr("CASE WHEN id % 4 = 0 THEN 'q' ELSE 'p' END AS plan", "id AS position", "'t' || id AS title").unionByName(spark.createDataFrame([("p", 9, "second")], "plan string, position long, title string"))
+    path = f"file://{tmp_path}/snap"
+    files.write_selection_snapshot(items, "plan", ["title"], path)
+    assert files.snapshot_damage(spark, path, "plan", ["title"]).count() == 0
+    other = items.filter("NOT (plan = 'p' AND position = 17) AND title <> 'second'").withColumn("title", F.expr("CASE WHEN position = 39000 THEN 'x' ELSE title END")).unionByName(spark.createDataFrame([("q", 10**9, "far"), ("new", 3, "n")], "plan string, position long, title string"))
+    got = {tuple(r) for r in files.snapshot_damage(spark, path, "plan", ["title"], other).collect()}
+    assert got == {("p", 17, "missing"), ("p", 9, "changed"), ("q", 39000, "changed"), ("q", 10**9, "added"), ("new", 3, "added")}
+    tree = spark.read.parquet(f"{path}/tree")
+    blocks = jobs.differing_blocks(tree, jobs.hash_tree(jobs.hashed_rows(other, "plan", ["title"]), "plan"), "plan")
+    assert {tuple(r) for r in blocks.collect()} == {("p", 0), ("q", 39), ("q", 10**6), ("new", 0)}
+
+
+def test_checked_writes_are_one_pass(spark, tmp_path):
+    from marquee.functions import parse
+    from marquee.sources.rejects import write_checked
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for b in rows:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame([(1, "5k", "1:30"), (2, "1.23456k", "1:75"), (3, None, "x"), (4, "-3", "-5"), (5, "99999999999b", " 7 h"), (6, "many", "1:2:3:4")], "id long, n string, d string").mapInArrow(count, "id long, n string, d string")
+    clean, rejects, counts = write_checked(df, f"file://{tmp_path}/out", {"count": parse.count_reason(F.col("n")), "duration": parse.duration_reason(F.col("d"))}, {k: parse.REASONS[k] for k in ("count", "duration")})
+    assert seen.value == 6 and [r.id for r in clean.collect()] == [1] and seen.value == 6
+    assert {r.id: r.reasons for r in rejects.collect()} == {
+        2: {"count": "not whole", "duration": "above 59"}, 3: {"count": "empty", "duration": "no duration"}, 4: {"count": "negative", "duration": "negative"}, 5: {"count": "too large"}, 6: {"count": "no count", "duration": "no duration"},
+    }
+    assert counts["rows"] == 6 and counts["clean"] == 1 and counts["rejected"] == 5 and counts["count: empty"] == 1 and counts["duration: negative"] == 1 and counts["count: too large"] == 1
+
+
+def test_reasons_are_known_ones(spark):
+    from marquee.functions import parse
+
+    texts = ["", " ", "x", "-1", "1.5", "1.55k", "1e9", "9" * 30, "1:99", "99:1:1", "5 d", "2024-02-31", "20241301", "2024", "exact:99", "99999", "9p", "31k", "513", "best", "0", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    pairs = {"count": (parse.parse_count, parse.count_reason), "duration": (parse.parse_duration, parse.duration_reason), "day": (parse.parse_date, parse.date_reason), "video": (parse.parse_video_quality, parse.video_quality_reason), "audio": (parse.parse_audio_quality, parse.audio_quality_reason)}
+    for rule, (value, reason) in pairs.items():
+        for r in df.select("t", value(F.col("t")).isNotNull().alias("ok"), reason(F.col("t")).alias("reason")).collect():
+            assert (r.reason is None) == r.ok and (r.ok or r.reason in parse.REASONS[rule]), (rule, r)
