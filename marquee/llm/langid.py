@@ -17,8 +17,8 @@ from marquee.llm.charmodel import Backoff, WordScores, spell
 from marquee.llm.common import stored, table
 
 ORDER = 5
-#: Documents per language that the models are fitted on, and on which scores are calibrated: those with the least hash of their id.
-#: A share of each language's rows is chosen so that so many are expected.
+#: Documents per language (as expected numbers) that the models are fitted on, those with the least hashes of their id, and on which scores are
+#: calibrated, those with the greatest.
 FIT_ROWS, CALIBRATION_ROWS = 2000, 400
 #: Share of right answers that accepted documents have in calibration.
 PRECISION = 0.99
@@ -33,16 +33,16 @@ def words_of(text: str) -> list[str]:
 
 
 def learning_rows(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str, fit_rows: int, calibration_rows: int) -> DataFrame:
-    """(lang, fold, text) of the bounded sample; fold 0 fits, 1 calibrates."""
+    """(lang, fold, text) of the bounded sample; fold 0 fits, 1 calibrates. Of n rows of a language min(0.8 n, ``fit_rows``) fit and
+    min(0.2 n, ``calibration_rows``) calibrate, as expected numbers, so more rows never make a model smaller."""
     rows = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = stored(rows.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("_n")))
     if counts.count() <= BROADCAST_LANGUAGES:
         counts = F.broadcast(counts)
     luck = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("langid")), F.lit(1 << 32)).cast("double") / float(1 << 32)
     tagged = rows.select(F.col(lang_col).alias("lang"), luck.alias("luck"), F.col(text_col).alias("text")).join(counts, F.col("lang") == F.col("_lang"))
-    fold = F.when(F.col("luck") * F.col("_n") < fit_rows, 0).when(F.col("luck") * F.col("_n") < fit_rows + calibration_rows, 1)
-    small = F.col("_n") < 2 * (fit_rows + calibration_rows)  # few rows: one in five calibrates
-    fold = F.when(small, F.when(F.col("luck") < 0.8, 0).otherwise(1)).otherwise(fold)
+    fits, calibrates = F.least(F.lit(0.8), fit_rows / F.col("_n")), F.least(F.lit(0.2), calibration_rows / F.col("_n"))
+    fold = F.when(F.col("luck") < fits, 0).when(F.col("luck") >= 1 - calibrates, 1)
     return tagged.withColumn("fold", fold).filter("fold is not null").select("lang", "fold", "text")
 
 
