@@ -131,16 +131,21 @@ def _hashed(v):
     return s.hash_texts(v.files.select("position", "path", "content"))
 
 
-def _hashed_files(v):
+def _hashed_files(v, by_source=False):
     """A hundred documents a file, written and hashed as files."""
     path = f"{shared_dir(v.spark)}/files-{uuid.uuid4().hex}"
     texts = v.files.select(F.floor(F.col("position") / 100).alias("bucket"), "position", F.coalesce("content", F.lit("")).alias("value"))
     texts.repartition("bucket").sortWithinPartitions("bucket", "position").select("bucket", "value").write.partitionBy("bucket").text(path)
     bucket = F.regexp_extract("path", "bucket=([0-9]+)", 1).cast("long").alias("bucket")
+    if by_source:
+        v.spark.dataSource.register(s.FileHashes)
+        return v.spark.read.format("file_hashes").option("glob", "*.txt").option("split_bytes", 1 << 20).load(path).select(bucket, "size", "sha256")
     return s.hash_files(v.spark, path, "*.txt").select(bucket, "size", "sha256")
 
 
 query("s11_hash_files", "SELECT CAST(floor(position / 100) AS BIGINT) AS bucket, CAST(sum(strlen(coalesce(content, '')) + 1) AS BIGINT) AS size, sha256(string_agg(coalesce(content, ''), chr(10) ORDER BY position) || chr(10)) AS sha256 FROM files GROUP BY 1")(_hashed_files)
+query("s11_file_hashes_source")(lambda v: _hashed_files(v, True))
+ORACLE_SQL["s11_file_hashes_source"] = ORACLE_SQL["s11_hash_files"]
 query("s11_hash_texts", _HASHED)(_hashed)
 query("w10_keep_first_exact", f"SELECT position, path, first_value(path) OVER (PARTITION BY sha256 ORDER BY position, path) AS keeper FROM ({_HASHED}) h")(lambda v: d.keep_first_exact(_hashed(v)).select("position", "path", "keeper"))
 query("s12_newest_output_per_item", "SELECT media_key, CASE WHEN position % 4 = 0 THEN 'old [' || media_key || '].mp4' ELSE 'big [' || media_key || '].mkv' END AS name FROM media")(

@@ -10,6 +10,7 @@ from urllib.parse import quote
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from marquee.operators.jobs import differing_blocks, differing_rows, hash_tree, hashed_rows, selection_hash
@@ -22,29 +23,91 @@ _PRINT = "duration_seconds double, has_audio boolean, has_video boolean, audio_w
 _FRAME_BYTES = 256
 
 
+class LargeFileError(RuntimeError):
+    """A file is too large for Spark's reader, and on a file system that the tasks can't open by themselves."""
+
+
+def _open(uri: str):
+    """A stream of a file. Tasks open large files without Spark's reader, with the file systems that pyarrow has."""
+    from pyarrow import fs
+
+    local = re.match("file:/*(/.*)", uri)
+    try:
+        system, name = (fs.LocalFileSystem(), local[1]) if local else fs.FileSystem.from_uri(quote(uri, safe=":/"))
+    except Exception as e:
+        raise LargeFileError(f"{uri} is above most_bytes and can't be opened outside Spark ({e}); give hash_files a greater most_bytes (2 GiB at most)") from e
+    return system.open_input_stream(name)
+
+
+def _digest(uri: str, chunk_bytes: int) -> str:
+    h = hashlib.sha256()
+    with _open(uri) as stream:
+        while part := stream.read(chunk_bytes):
+            h.update(part)
+    return h.hexdigest()
+
+
 def hash_files(spark: SparkSession, path: str, glob: str = "*", most_bytes: int = 1 << 28, chunk_bytes: int = 1 << 20) -> DataFrame:
     """(path, size, sha256) of files below ``path``, of any size. Files up to ``most_bytes`` are read by Spark; larger ones are streamed in
-    chunks by the task that hashes them, so memory is bounded. The length filter reaches the source."""
+    chunks by the task that hashes them, so memory is bounded, where pyarrow knows the file system (a ``LargeFileError`` names the file
+    where it doesn't). The length filter reaches the source. Spark lists no empty files; the source ``file_hashes`` does."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     small = files.filter(F.col("length") <= most_bytes).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         for b in batches:
-            found = []
-            for uri in b.column(0).to_pylist():
-                local = re.match("file:/*(/.*)", uri)
-                system, name = (fs.LocalFileSystem(), local[1]) if local else fs.FileSystem.from_uri(quote(uri, safe=":/"))
-                h = hashlib.sha256()
-                with system.open_input_stream(name) as stream:
-                    while part := stream.read(chunk_bytes):
-                        h.update(part)
-                found.append(h.hexdigest())
+            found = [_digest(uri, chunk_bytes) for uri in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], names=["path", "size", "sha256"])
 
-    large = files.filter(F.col("length") > most_bytes).select("path", F.col("length").alias("size")).mapInArrow(work, "path string, size long, sha256 string")
-    return small.unionByName(large)
+    large = files.filter(F.col("length") > most_bytes).select("path", F.col("length").alias("size"))
+    # A task of its own for about every large file, whatever the order in which the listing came.
+    spread = large.repartition(64, "path").mapInArrow(work, "path string, size long, sha256 string")
+    return small.unionByName(spread)
+
+
+class FileHashes(DataSource):
+    """``spark.read.format("file_hashes")``: (path, size, sha256) of files below ``path``, on file systems that pyarrow knows.
+
+    Partitions follow file sizes: files are dealt, largest first, to the emptiest of the partitions that ``split_bytes`` (128 MiB by default)
+    asks for, so many small files share a task and a large one has its own. Options: path, glob, split_bytes, chunk_bytes.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "file_hashes"
+
+    def schema(self) -> str:
+        return "path string, size long, sha256 string"
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return _FileHashReader(self.options)
+
+
+class _FileHashReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.path, self.glob = options["path"], options.get("glob", "*")
+        self.split_bytes, self.chunk_bytes = int(options.get("split_bytes", 1 << 27)), int(options.get("chunk_bytes", 1 << 20))
+
+    def partitions(self) -> list[InputPartition]:
+        import heapq
+        from fnmatch import fnmatch
+
+        from pyarrow import fs
+
+        local = re.match("(?:file:/*)?(/.*)", self.path)
+        system, top = (fs.LocalFileSystem(), local[1]) if local else fs.FileSystem.from_uri(quote(self.path, safe=":/"))
+        scheme = "file://" if local else re.match(r"[^:]+://", self.path)[0]
+        found = [f for f in system.get_file_info(fs.FileSelector(top, recursive=True)) if f.type == fs.FileType.File and fnmatch(f.base_name, self.glob)]
+        n = max(1, min(len(found), -(-sum(f.size for f in found) // self.split_bytes)))
+        bins: list[tuple[int, int, list]] = [(0, i, []) for i in range(n)]
+        for f in sorted(found, key=lambda f: (-f.size, f.path)):
+            held, i, files = heapq.heappop(bins)
+            heapq.heappush(bins, (held + f.size, i, [*files, (scheme + f.path, f.size)]))
+        return [InputPartition(files) for _, _, files in bins]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        for uri, size in partition.value:
+            yield uri, size, _digest(uri, self.chunk_bytes)
 
 
 def hash_texts(df: DataFrame, text: str = "content") -> DataFrame:

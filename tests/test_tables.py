@@ -191,3 +191,29 @@ def test_reasons_are_known_ones(spark):
     for rule, (value, reason) in pairs.items():
         for r in df.select("t", value(F.col("t")).isNotNull().alias("ok"), reason(F.col("t")).alias("reason")).collect():
             assert (r.reason is None) == r.ok and (r.ok or r.reason in parse.REASONS[rule]), (rule, r)
+
+
+def test_file_hashes_by_size(spark, tmp_path):
+    """Files of very different sizes, empty ones and odd names; the largest has a partition of its own."""
+    import hashlib
+
+    from marquee.sources import files
+
+    names = {f"d{i % 3}/f {i} é.bin": bytes([i]) * (i * 10) for i in range(40)} | {"large.bin": b"x" * 50_000, "skip.txt": b"no"}
+    for name, data in names.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    want = {(str(tmp_path / n), len(d), hashlib.sha256(d).hexdigest()) for n, d in names.items() if n != "skip.txt"}
+    spark.dataSource.register(files.FileHashes)
+    read = spark.read.format("file_hashes").option("glob", "*.bin").option("split_bytes", 10_000).option("chunk_bytes", 7_000).load(f"file://{tmp_path}")
+    assert {(r.path.removeprefix("file://"), r.size, r.sha256) for r in read.collect()} == want and read.count() == 41
+    parts = files._FileHashReader({"path": str(tmp_path), "glob": "*.bin", "split_bytes": "10000"}).partitions()
+    assert len(parts) > 3 and [len(p.value) for p in parts if any(s == 50_000 for _, s in p.value)] == [1]
+    assert files.hash_files(spark, f"file://{tmp_path}", "*.bin", most_bytes=100).count() == 40  # without the empty file
+
+
+def test_large_files_on_unknown_systems_are_named():
+    from marquee.sources import files
+
+    with pytest.raises(files.LargeFileError, match="viewfs://store/x"):
+        files._digest("viewfs://store/x", 10)
