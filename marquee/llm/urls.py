@@ -110,7 +110,7 @@ _FREE = " OR ".join(f"regexp_matches(w, '{r.pattern}')" for r in FREE_RULES)
 QUERIES = {"op4_urls": op4_urls}
 ORACLE_SQL = {
     "op4_urls": f"""WITH a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS s FROM pages),
-b AS (SELECT page_id, lower(regexp_extract(coalesce(s, ''), '^([^/?#]*)', 1)) AS host, regexp_extract(coalesce(s, ''), '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(coalesce(s, ''), '^[^?#]*(.*)$', 1) AS rest FROM a),
+b AS (SELECT page_id, translate(regexp_extract(coalesce(s, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(s, ''), '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(coalesce(s, ''), '^[^?#]*(.*)$', 1) AS rest FROM a),
 c AS (SELECT page_id, host, path, host || path || rest AS x, host || lower(path || rest) AS w FROM b),
 d AS (SELECT *, CASE {_FITS} END AS rule FROM c)
 SELECT page_id, host, path, rule, CASE {_RULED} WHEN {_FREE} THEN 'block' ELSE 'allow' END AS verdict FROM d"""
