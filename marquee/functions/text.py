@@ -22,7 +22,8 @@ def fold(c: Column) -> Column:
     low = F.lower(c)
     single = F.translate(low, "".join(_SINGLE), "".join(_SINGLE.values()))
     whole = reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), _SEVERAL.items(), single)
-    return F.when(F.octet_length(low) == F.length(low), low).otherwise(whole)
+    plain = F.octet_length(low) == F.length(low)
+    return F.when(plain, low).when(~low.rlike(f"[{''.join(_SEVERAL)}]"), single).otherwise(whole)
 
 
 def clean_text(c: Column) -> Column:
@@ -52,8 +53,12 @@ def percent_encoded(c: Column) -> Column:
     return F.replace(F.replace(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
 
 
+#: Names whose values are secrets, and what their values are made of.
+SECRETS = (("authorization", r"[^\s,;]+"), ("cookie", r"[^\r\n]+"), ("token", r"[^\s,;]+"), ("password", r"[^\s,;]+"))
+
+
 def redacted(c: Column) -> Column:
     """Secrets after authorization, cookie, token and password replaced."""
-    for name, value in (("authorization", r"[^\s,;]+"), ("cookie", r"[^\r\n]+"), ("token", r"[^\s,;]+"), ("password", r"[^\s,;]+")):
+    for name, value in SECRETS:
         c = F.regexp_replace(c, rf"(?i)({name}\s*[:=]\s*)({value})", "$1[REDACTED]")
     return c

@@ -35,6 +35,7 @@ FAILURE_MARKS: tuple[tuple[str, bool, tuple[str, ...]], ...] = (
 USER_MESSAGES = {
     "filename_too_long": "The generated filename exceeded the filesystem component limit.",
     "disk_space": "Download paused because the destination is low on free disk space.",
+    # In words of its own: the sentence that would match names a product.
     "drm": "This media is DRM-protected; the protection is not bypassed.",
     "private": "This video is private.",
     "deleted": "This video has been removed.",
