@@ -12,7 +12,8 @@ from marquee.operators import filters as f
 from marquee.operators import index as i
 from marquee.operators.jobs import plan_hash, selection_hash
 from marquee.operators.ordering import before
-from marquee.plans.registry import query
+from marquee.plans.registry import ORACLE_SQL, query
+from marquee.sources.buckets import BucketedTable
 from marquee.sources.rejects import write_checked
 from marquee.sources.tables import shared_dir, write_index_tables
 
@@ -247,3 +248,24 @@ query(
  view_count IS NULL AND position % 2 = 0 AS changed FROM media""",
 )(lambda v: i.enrich_metadata(v.media.select("source_id", "media_key", "position", "view_count", "channel"), v.media.filter("position % 2 = 0").selectExpr("media_key", "position AS view_count", "CASE WHEN position % 4 = 0 THEN ' ' ELSE ' N ' END AS channel"), {"view_count"}))
 query("j2_freshness_due", "SELECT media_key, r.status IS NULL OR r.status <> 'ok' OR r.expires_at IS NULL OR r.expires_at <= DATE '1996-01-01' AS due FROM media LEFT JOIN refreshes r USING (media_key)")(lambda v: i.freshness_due(v.media, v.refreshes, "statistics", datetime.date(1996, 1, 1)))
+
+
+# --- the same upserts, bucket by bucket -----------------------------------------------------------------------------
+def _in_buckets(v, key, rows, changes, apply):
+    """A table of ``rows`` in buckets after ``changes``; the batch of the changes runs twice."""
+    table = BucketedTable(v.spark, f"{shared_dir(v.spark)}/buckets-{uuid.uuid4().hex}", key, rows.schema, 16)
+    table.merge(rows, lambda old, new: old.unionByName(new), 0)
+    for _ in range(2):
+        table.merge(changes, apply, 1)
+    return table.read()
+
+
+def _sources(v, where, url, title):
+    return v.scans.filter(where).selectExpr("'youtube' AS platform", "'playlist' AS kind", "source_id AS source_key", f"{url} AS url", f"{title} AS title")
+
+
+query("b1_sources_in_buckets")(lambda v: _in_buckets(v, ["platform", "kind", "source_key"], _sources(v, "source_id > 'src12'", "'old/' || source_id", "'T1'"), _sources(v, "source_id < 'src15'", "'new/' || source_id", "CASE WHEN source_id <> 'src0' THEN 'T2' END"), i.upsert_sources))
+query("b2_media_in_buckets")(lambda v: _in_buckets(v, ["media_key"], v.scan1.select("media_key", "source_id", "title", "availability"), v.scan2, lambda old, new: i.upsert_media(old, new, ["title", "availability"])))
+query("b3_stats_in_buckets")(lambda v: _in_buckets(v, ["media_key"], v.scan1.select("media_key", *_STATS), v.scan2, lambda old, new: i.upsert_stats(old, new, _STATS)))
+for _new, _old in (("b1_sources_in_buckets", "b1_upsert_sources"), ("b2_media_in_buckets", "b2_upsert_media"), ("b3_stats_in_buckets", "b3_upsert_stats")):
+    ORACLE_SQL[_new] = ORACLE_SQL[_old]
