@@ -13,6 +13,8 @@ from marquee.operators.duplicates import resolve_keepers
 LETTERS = r"[A-Za-zÀ-ÿ]"
 #: Code points and occurrences of a word at least, and how many times as frequent the form of a word is.
 LEAST, OFTEN, TIMES = 7, 2, 10
+#: Letters left that edges tell apart; the last stands for all above it.
+_MANY = 63
 #: One run in so many loses a letter.
 SLIP = 31
 
@@ -36,9 +38,10 @@ def _node(depth: Column) -> Column:
 
 
 def trie(words: DataFrame, top: int) -> tuple[DataFrame, DataFrame]:
-    """Own paths (back, word, cuts) and edges (node, label, child, is_word, nexts) of the path-compressed tries of the words (read from the front,
+    """Own paths (back, word, cuts) and edges (node, label, child, left, shared, nexts) of the path-compressed tries of the words (read from the front,
     and back to front), below depth ``top``. Nodes are the prefixes of length ``top``, those where words part or end, and whole words;
-    ``nexts`` are the letters that the child's own edges begin with."""
+    ``left`` has a bit for every number of letters that words through the child have left there (bit 63: 63 or more), ``shared`` tells whether
+    it is on the way of two words, ``nexts`` are the letters that its own edges begin with."""
     both = words.select(F.explode(F.array(F.struct(F.lit(False).alias("back"), "word"), F.struct(F.lit(True).alias("back"), F.reverse("word").alias("word")))).alias("w")).select("w.*")
     at = both.select("back", "word", F.explode(F.sequence(F.lit(top + 1), F.length("word"))).alias("depth")).select("back", "word", "depth", _node(F.col("depth")).alias("node"))
     after = F.substring("word", F.col("depth") + 1, F.lit(1))
@@ -47,10 +50,11 @@ def trie(words: DataFrame, top: int) -> tuple[DataFrame, DataFrame]:
     ends = both.select("back", "word", F.explode(F.array(F.lit(top), F.length("word"))).alias("depth"))
     paths = stored(inner.unionByName(ends).groupBy("back", "word").agg(F.array_sort(F.collect_set("depth")).alias("cuts")))
     steps = paths.select("back", "word", F.explode(F.arrays_zip(F.slice("cuts", 1, F.size("cuts") - 1).alias("f"), F.slice("cuts", 2, F.size("cuts")).alias("t"))).alias("s")).select("back", "word", "s.*")
-    edges = steps.select(_node(F.col("f")).alias("node"), F.substring("word", F.col("f") + 1, F.col("t") - F.col("f")).alias("label"), _node(F.col("t")).alias("child"), (F.col("t") == F.length("word")).alias("is_word"))
-    edges = stored(edges.groupBy("node", "label", "child").agg(F.max("is_word").alias("is_word")))
+    left = F.expr(f"shiftleft(1L, least(length(word) - t, {_MANY}))")
+    edges = steps.select(_node(F.col("f")).alias("node"), F.substring("word", F.col("f") + 1, F.col("t") - F.col("f")).alias("label"), _node(F.col("t")).alias("child"), left.alias("left"))
+    edges = stored(edges.groupBy("node", "label", "child").agg(F.bit_or("left").alias("left"), (F.count("*") > 1).alias("shared")))
     nexts = edges.groupBy(F.col("node").alias("child")).agg(F.array_join(F.collect_set(F.substring("label", 1, 1)), "").alias("nexts"))
-    return paths, stored(edges.join(nexts.hint("shuffle_hash"), "child", "left").select("node", "label", "child", "is_word", F.coalesce("nexts", F.lit("")).alias("nexts")))
+    return paths, stored(edges.join(nexts.hint("shuffle_hash"), "child", "left").select("node", "label", "child", "left", "shared", F.coalesce("nexts", F.lit("")).alias("nexts")))
 
 
 def one_edit_links(words: DataFrame, least: int = LEAST) -> DataFrame:
@@ -61,8 +65,8 @@ def one_edit_links(words: DataFrame, least: int = LEAST) -> DataFrame:
     may leave it at any node by replacing or deleting its next letter; the rest of the word then has to be the path
     on. Insertions are deletions seen from the longer word. An edit leaves the first or the last half of a word
     as it is, so there are no edits before the half in the trie of words and in that of words back to front: where
-    tries are dense, states have one way to go. A state with an edit goes on only where its next letter does, and a node has as many
-    edges as there are letters at most.
+    tries are dense, states have one way to go. A word stops where it shares its path with no other, an edited one where no word below
+    has as many letters left and the next letter. A node has as many edges as there are letters at most.
     """
     top = least // 2
     paths, edges = trie(words.select("word"), top)
@@ -80,9 +84,12 @@ def one_edit_links(words: DataFrame, least: int = LEAST) -> DataFrame:
             to(off & more.startswith(F.substr("label", F.lit(2))), F.col("at") + size, F.concat(kept, F.substring("label", 1, 1), more)),
             to(off & more.startswith(F.col("label")), F.col("at") + 1 + size, F.concat(kept, more)),
         )
-        ahead = lambda w: (w["at"] < F.length("word")) & F.contains("nexts", F.substr("word", w["at"] + 1, F.lit(1)))
-        goes = lambda w: w.isNotNull() & (w["near"].isNull() | ((w["at"] == F.length("word")) & F.col("is_word")) | ahead(w))
-        arrived = states.join(edges.hint("shuffle_hash"), "node").select("back", "word", "child", "is_word", F.explode(F.filter(ways, goes)).alias("w"))
+        # A word on its own path meets no other where none shares it; an edit goes on where a word has as many letters left, and the next one.
+        remain = lambda w: F.least(F.length("word") - w["at"], F.lit(_MANY))
+        ahead = lambda w: (w["at"] == F.length("word")) | F.contains("nexts", F.substr("word", w["at"] + 1, F.lit(1)))
+        goes = lambda w: w.isNotNull() & F.when(w["near"].isNull(), F.col("shared")).otherwise((F.bit_get("left", remain(w)) == 1) & ahead(w))
+        is_word = (F.bit_get("left", F.lit(0)) == 1).alias("is_word")
+        arrived = states.join(edges.hint("shuffle_hash"), "node").select("back", "word", "child", is_word, F.explode(F.filter(ways, goes)).alias("w"))
         states = stored(arrived.select("back", "word", "w.at", "w.near", F.col("child").alias("node"), "is_word"))
         tables.append(states)
         last = F.when(F.col("near").isNotNull() & (F.col("at") == F.length("word")), F.col("near")).when(F.col("near").isNull() & (F.col("at") == F.length("word") - 1), F.substring("word", F.lit(1), F.col("at")))
