@@ -37,11 +37,20 @@ def _node(depth: Column) -> Column:
     return F.xxhash64("back", F.substring("word", F.lit(1), depth))
 
 
+def _key(node: Column, after: int, letter: Column) -> Column:
+    """What edges are found by: their node and their first letter, or (``after`` 1) the letter that follows the first."""
+    return F.xxhash64(node, F.lit(after), letter)
+
+
 def trie(words: DataFrame, top: int) -> tuple[DataFrame, DataFrame]:
-    """Own paths (back, word, cuts) and edges (node, label, child, left, shared, nexts) of the path-compressed tries of the words (read from the front,
-    and back to front), below depth ``top``. Nodes are the prefixes of length ``top``, those where words part or end, and whole words;
-    ``left`` has a bit for every number of letters that words through the child have left there (bit 63: 63 or more), ``shared`` tells whether
-    it is on the way of two words, ``nexts`` are the letters that its own edges begin with."""
+    """Own paths (back, word, cuts) and edges of the path-compressed tries of the words (read from the front, and back to front), below depth
+    ``top``. Nodes are the prefixes of length ``top``, those where words part or end, and whole words.
+
+    Edges (key, letter, tail, child, left, shared, nexts) stand under their first letter (``letter`` empty, ``tail`` the label) and, for
+    states that put any letter in place of theirs, under what follows it (``letter`` the first, ``tail`` the rest; an empty one under each
+    letter of ``nexts``, and under none if a word ends there). ``left`` has a bit for every number of letters that words through
+    the child have left there (bit 63: 63 or more), ``shared`` tells whether it is on the way of two words, ``nexts`` are the letters that
+    the child's own edges begin with."""
     both = words.select(F.explode(F.array(F.struct(F.lit(False).alias("back"), "word"), F.struct(F.lit(True).alias("back"), F.reverse("word").alias("word")))).alias("w")).select("w.*")
     at = both.select("back", "word", F.explode(F.sequence(F.lit(top + 1), F.length("word"))).alias("depth")).select("back", "word", "depth", _node(F.col("depth")).alias("node"))
     after = F.substring("word", F.col("depth") + 1, F.lit(1))
@@ -52,9 +61,16 @@ def trie(words: DataFrame, top: int) -> tuple[DataFrame, DataFrame]:
     steps = paths.select("back", "word", F.explode(F.arrays_zip(F.slice("cuts", 1, F.size("cuts") - 1).alias("f"), F.slice("cuts", 2, F.size("cuts")).alias("t"))).alias("s")).select("back", "word", "s.*")
     left = F.expr(f"shiftleft(1L, least(length(word) - t, {_MANY}))")
     edges = steps.select(_node(F.col("f")).alias("node"), F.substring("word", F.col("f") + 1, F.col("t") - F.col("f")).alias("label"), _node(F.col("t")).alias("child"), left.alias("left"))
-    edges = stored(edges.groupBy("node", "label", "child").agg(F.bit_or("left").alias("left"), (F.count("*") > 1).alias("shared")))
-    nexts = edges.groupBy(F.col("node").alias("child")).agg(F.array_join(F.collect_set(F.substring("label", 1, 1)), "").alias("nexts"))
-    return paths, stored(edges.join(nexts.hint("shuffle_hash"), "child", "left").select("node", "label", "child", "left", "shared", F.coalesce("nexts", F.lit("")).alias("nexts")))
+    plain = stored(edges.groupBy("node", "label", "child").agg(F.bit_or("left").alias("left"), (F.count("*") > 1).alias("shared")))
+    nexts = plain.groupBy(F.col("node").alias("child")).agg(F.array_join(F.collect_set(F.substring("label", 1, 1)), "").alias("nexts"))
+    edges = plain.join(nexts.hint("shuffle_hash"), "child", "left").withColumn("nexts", F.coalesce("nexts", F.lit("")))
+    first, rest = F.substring("label", 1, 1), F.substr("label", F.lit(2))
+    end = F.when(F.bit_get("left", F.lit(0)) == 1, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    follow = F.when(rest != "", F.array(F.substring(rest, 1, 1))).otherwise(F.concat(end, F.filter(F.split("nexts", ""), lambda c: c != "")))
+    ways = F.concat(F.array(F.struct(_key(F.col("node"), 0, first).alias("key"), F.lit("").alias("letter"), F.col("label").alias("tail"))), F.transform(follow, lambda c: F.struct(_key(F.col("node"), 1, c).alias("key"), first.alias("letter"), rest.alias("tail"))))
+    keyed = stored(edges.select(F.explode(ways).alias("w"), "child", "left", "shared", "nexts").select("w.*", "child", "left", "shared", "nexts"))
+    discard(plain)
+    return paths, keyed
 
 
 def one_edit_links(words: DataFrame, least: int = LEAST) -> DataFrame:
@@ -63,10 +79,11 @@ def one_edit_links(words: DataFrame, least: int = LEAST) -> DataFrame:
     A state is a word, how far it is read, a node and the edit so far (``near``, what the word becomes; null before it). States
     go down one level at a time by a join with the edge table. A word without an edit keeps to its own path and
     may leave it at any node by replacing or deleting its next letter; the rest of the word then has to be the path
-    on. Insertions are deletions seen from the longer word. An edit leaves the first or the last half of a word
-    as it is, so there are no edits before the half in the trie of words and in that of words back to front: where
-    tries are dense, states have one way to go. A word stops where it shares its path with no other, an edited one where no word below
-    has as many letters left and the next letter. A node has as many edges as there are letters at most.
+    on. Insertions are deletions seen from the longer word. So each state asks for the edges of a node by a letter that it
+    knows: its next one, or the one after that if the next is deleted or any other letter is put in its place. An edit leaves the
+    first or the last half of a word as it is, so there are no edits before the half in the trie of words and in that of words back to
+    front: where tries are dense, states have one way to go. A word stops where it shares its path with no other, an edited one where
+    no word below has as many letters left and the next letter.
     """
     top = least // 2
     paths, edges = trie(words.select("word"), top)
@@ -75,22 +92,23 @@ def one_edit_links(words: DataFrame, least: int = LEAST) -> DataFrame:
     states = paths.select("back", "word", begin.alias("at"), F.lit(None).cast("string").alias("near")).withColumn("node", _node(F.col("at")))
     found, tables = [], []
     while True:
-        rest, more = F.substr("word", F.col("at") + 1), F.substr("word", F.col("at") + 2)
-        size, kept = F.length("label"), F.substring("word", F.lit(1), F.col("at"))
-        off = F.col("near").isNull() & (F.col("at") >= half) & (F.substring("label", 1, 1) != F.substring(rest, 1, 1))
-        to = lambda fits, at, near: F.when(fits, F.struct(at.cast("int").alias("at"), near.alias("near")))
-        ways = F.array(
-            to(rest.startswith(F.col("label")), F.col("at") + size, F.col("near")),
-            to(off & more.startswith(F.substr("label", F.lit(2))), F.col("at") + size, F.concat(kept, F.substring("label", 1, 1), more)),
-            to(off & more.startswith(F.col("label")), F.col("at") + 1 + size, F.concat(kept, more)),
-        )
-        # A word on its own path meets no other where none shares it; an edit goes on where a word has as many letters left, and the next one.
-        remain = lambda w: F.least(F.length("word") - w["at"], F.lit(_MANY))
-        ahead = lambda w: (w["at"] == F.length("word")) | F.contains("nexts", F.substr("word", w["at"] + 1, F.lit(1)))
-        goes = lambda w: w.isNotNull() & F.when(w["near"].isNull(), F.col("shared")).otherwise((F.bit_get("left", remain(w)) == 1) & ahead(w))
+        next_, second = F.substring("word", F.col("at") + 1, F.lit(1)), F.substring("word", F.col("at") + 2, F.lit(1))
+        ask = lambda skip, after, letter: F.struct(F.lit(skip).alias("skip"), _key(F.col("node"), after, letter).alias("key"))
+        on, deleted, replaced = ask(0, 0, next_), ask(1, 0, second), ask(1, 1, second)
+        edits = F.col("near").isNull() & (F.col("at") >= half)
+        asked = F.when(~edits, F.array(on)).when((second == "") | (second == next_), F.array(on, replaced)).otherwise(F.array(on, deleted, replaced))
+        asking = states.select("back", "word", "at", "near", F.explode(asked).alias("q")).select("back", "word", "at", "near", "q.*")
+        met = asking.join(edges.hint("shuffle_hash"), "key")
+        fits = F.substr("word", F.col("at") + F.col("skip") + 1).startswith(F.col("tail")) & ((F.col("letter") == "") | (F.col("letter") != next_))
+        to = (F.col("at") + F.col("skip") + F.length("tail")).alias("to")
+        near = F.when(F.col("skip") == 0, F.col("near")).otherwise(F.concat(F.substring("word", F.lit(1), F.col("at")), "letter", F.substr("word", F.col("at") + 2))).alias("near")
         is_word = (F.bit_get("left", F.lit(0)) == 1).alias("is_word")
-        arrived = states.join(edges.hint("shuffle_hash"), "node").select("back", "word", "child", is_word, F.explode(F.filter(ways, goes)).alias("w"))
-        states = stored(arrived.select("back", "word", "w.at", "w.near", F.col("child").alias("node"), "is_word"))
+        there = met.filter(fits).select("back", "word", to, near, F.col("child").alias("node"), is_word, "left", "shared", "nexts")
+        # A word on its own path meets no other where none shares it; an edit goes on where a word has as many letters left, and the next one.
+        remain = F.bit_get("left", F.least(F.length("word") - F.col("to"), F.lit(_MANY))) == 1
+        ahead = (F.col("to") == F.length("word")) | F.contains("nexts", F.substring("word", F.col("to") + 1, F.lit(1)))
+        goes = F.when(F.col("near").isNull(), F.col("shared")).otherwise(remain & ahead)
+        states = stored(there.filter(goes).select("back", "word", F.col("to").alias("at"), "near", "node", "is_word"))
         tables.append(states)
         last = F.when(F.col("near").isNotNull() & (F.col("at") == F.length("word")), F.col("near")).when(F.col("near").isNull() & (F.col("at") == F.length("word") - 1), F.substring("word", F.lit(1), F.col("at")))
         found.append(states.filter("is_word").select("back", "word", last.alias("near")).filter("near IS NOT NULL"))
