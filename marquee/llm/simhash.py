@@ -159,10 +159,13 @@ def near_duplicates(docs: DataFrame, budget: int = 3, id_col: str = "doc_id", te
     return prints.join(named.join(least, "component").select("fp", "component_id"), "fp")
 
 
-#: Wide fingerprints, of shingle sets: bits, and the shingles from which on their distances can be taken as normal.
-WIDE, MANY = 512, 32
+#: Bits of wide fingerprints, of shingle sets.
+WIDE = 512
 #: Deviations of a distance beyond which a pair is no longer in doubt, and the wanted share of pairs at the threshold that meet in a trie.
 DOUBT, RECALL = 3.5, 0.98
+#: One text in so many says which shingles are frequent, if this leaves so many texts at least, and how many shingles are told apart by their
+#: counts (three or more). Sets begin with the rarer ones; only speed depends on it.
+ONE_IN, TEXTS, FREQUENT = 25, 10_000, 1_000_000
 _ODD = np.random.default_rng(11).integers(0, 1 << 63, WIDE // 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -186,15 +189,12 @@ def wide_simhash(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
 
 
-def similar_plan(codes: int, similarity: float, recall: float = RECALL) -> tuple[int, int, int, int]:
-    """(tries, bits of their top levels, greatest distance beyond doubt below the threshold's, greatest distance at which a pair may
-    reach it). Sets of Jaccard similarity s have a cosine of 2s / (1 + s) at least, and each bit differs with probability angle / pi."""
+def similar_plan(codes: int, similarity: float, recall: float = RECALL) -> tuple[int, int, int]:
+    """(tries, bits of their top levels, greatest distance at which a pair may reach the threshold). Sets of Jaccard similarity s have a cosine of 2s / (1 + s) at least, and each bit differs with probability angle / pi."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     top = min(40, max(8, math.ceil(math.log2(codes + 1)) - 2))
     tries = max(1, math.ceil(math.log(1 - recall) / math.log(1 - (1 - p) ** top)))
-    spread = lambda q: DOUBT * math.sqrt(WIDE * q * (1 - q))
-    sure = next((d for d in range(int(WIDE * p), -1, -1) if d + spread(d / WIDE) <= WIDE * p), -1)
-    return tries, top, sure, math.ceil(WIDE * p + spread(p))
+    return tries, top, math.ceil(WIDE * p + DOUBT * math.sqrt(WIDE * p * (1 - p)))
 
 
 def nearest_forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -220,7 +220,7 @@ def similar_links(codes: DataFrame, similarity: float, recall: float = RECALL, l
     are groups, and ``recall`` of the pairs at the threshold meet in one. Seats carry a short part of the code that drops chance
     meetings; only what is left gets its whole code. Groups of over ``leaf`` codes are compared in pairs of chunks.
     """
-    tries, top, _, most = similar_plan(codes.count(), similarity, recall)
+    tries, top, most = similar_plan(codes.count(), similarity, recall)
     choice = np.stack([np.random.default_rng([29, t]).choice(WIDE - 64, top, replace=False) + 64 for t in range(tries)])
     p = most / WIDE
     short = math.ceil(64 * p + DOUBT * math.sqrt(64 * p * (1 - p)))
@@ -266,14 +266,90 @@ def similar_links(codes: DataFrame, similarity: float, recall: float = RECALL, l
     return whole.mapInArrow(links, "a long, b long, d int").groupBy("a", "b").agg(F.min("d").alias("d"))
 
 
+def frequent_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles in order, how often each stands) of those that are frequent in ``texts`` (text)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 250):
+                sets = [shingle_set(x.as_py(), words) for x in b.column(0).slice(i, 250).cast(pa.large_binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["key"])
+
+    counts = texts.mapInArrow(work, "key long").groupBy("key").agg(F.count("*").alias("n")).filter("n > 2")
+    got = counts.orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
+    key = got.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(key)
+    return key[order], got.column("n").to_numpy()[order]
+
+
+def prefix(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first shingles of a set, rare ones first: two sets of this similarity share one of them, as the first shingle that they share
+    has all others that they share behind it in both."""
+    n = len(shingles)
+    if not n:
+        return shingles
+    keys, counts = frequent
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, shingles), len(keys) - 1)
+        shingles = shingles[np.argsort(np.where(keys[at] == shingles, counts[at], 0), kind="stable")]
+    return shingles[: n - math.ceil(similarity * n - 1e-9) + 1]
+
+
+def prefix_pairs(heads: DataFrame, similarity: float, leaf: int = 1024) -> DataFrame:
+    """Distinct pairs (a, b) of sets (columns node, n, prefix, component) of different components whose sizes, first shared shingle and number
+    of shingles shared by the prefixes allow for the similarity: all pairs of two components that reach it are among them.
+
+    What sets share outside of both prefixes stands behind one prefix. Groups of over ``leaf`` sets are compared in pairs of chunks,
+    so that each pair meets once for a shingle.
+    """
+    share = similarity / (1 + similarity)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in whole_runs(batches, "key", 1 << 16):
+            edge = np.flatnonzero(np.concatenate([[True], run["key"][1:] != run["key"][:-1]]))
+            several = np.minimum.reduceat(run["component"], edge) != np.maximum.reduceat(run["component"], edge)
+            stays = np.repeat(several, np.diff(np.append(edge, len(run["key"]))))
+            yield pa.RecordBatch.from_arrays([pa.array(c[stays]) for c in run.values()], names=list(run))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in whole_runs(batches, "key"):
+            node, n, component, side, behind = run["node"], run["n"], run["component"], run["own"], run["n"] - run["pos"]
+            rest = np.ceil(similarity * n - 1e-9) - 1  # behind the prefix
+            for i, j in inner_pairs(run["key"]):
+                fit = (component[i] != component[j]) & ((side[i] != side[j]) | (run["other"][i] == side[i]))
+                fit &= np.minimum(n[i], n[j]) + 1e-9 >= similarity * np.maximum(n[i], n[j])
+                i, j = i[fit], j[fit]
+                least = share * (n[i] + n[j]) - 1e-9
+                more = least - np.maximum(rest[i], rest[j])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])), pa.array(more), pa.array(np.minimum(behind[i], behind[j]) >= least)], names=["a", "b", "more", "room"])
+
+    seats = heads.select("node", "n", "component", F.posexplode("prefix").alias("pos", "key")).select("key", "node", "n", "component", "pos")
+    near = stored(seats.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "key long, node long, n long, component long, pos int"))
+    hot = near.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > leaf)
+    tagged = near.join(hot, "key", "left")
+    chunks = F.ceil(F.col("size") * 2 / leaf).cast("int")
+    own = F.pmod(F.xxhash64("node"), chunks).cast("int")
+    columns = ["node", "n", "component", "pos", "own", "other"]
+    parts = tagged.filter("size is not null").select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
+    small = tagged.filter("size is null").select("*", F.lit(0).alias("own"), F.lit(0).alias("other")).select("key", *columns)
+    groups = small.unionByName(parts.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), *columns))
+    met = groups.repartition("key").sortWithinPartitions("key").mapInArrow(pairs, "a long, b long, more double, room boolean")
+    found = stored(met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("more").alias("more"), F.max("room").alias("room")).filter("room AND shared >= more").select("a", "b"))
+    discard(near)
+    return found
+
+
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) for every row: documents link when their sets of ``words``-word shingles have this Jaccard similarity or more.
 
-    Equal sets become one code first. Wide SimHash fingerprints propose pairs by trie self-joins; a pair whose distance leaves no doubt is a
-    link, the others are decided by their sets, unless links connect them already. Texts without words are one class. Rows
+    Equal sets become one code first. Wide SimHash fingerprints propose links by trie self-joins; each code's nearest ones are compared
+    by their sets. Pairs that no trie brings together or that were not compared are found by the rare shingles that similar sets share:
+    all such pairs of different classes are compared, so every link counts and nothing else links. Texts without words are one class. Rows
     without an id or with a repeated one count by their texts; an empty table gives no rows.
     """
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    one_in = max(1, min(ONE_IN, given.count() // TEXTS))
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(given.filter(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0).select("text"), words))
 
     def work(with_set: bool):
         def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,33 +358,37 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
                     part = b.slice(i, 250)
                     sets = [shingle_set(x.as_py(), words) for x in part.column(1).cast(pa.large_binary())]
                     node = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
-                    more = [pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))] if with_set else [pa.array([len(x) for x in sets], pa.int64()), pa.array([wide_simhash(x).tobytes() for x in sets], pa.binary())]
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node), *more], names=["doc_id", "node", *(["set"] if with_set else ["n", "code"])])
+                    lists = lambda arrays: pa.array([x.view(np.int64) for x in arrays], pa.list_(pa.int64()))
+                    more = {"set": lists(sets)} if with_set else {"n": pa.array([len(x) for x in sets], pa.int64()), "code": pa.array([wide_simhash(x).tobytes() for x in sets], pa.binary()), "prefix": lists(prefix(x, frequent.value, similarity) for x in sets)}
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node), *more.values()], names=["doc_id", "node", *more])
 
         return f
 
-    prints = stored(given.mapInArrow(work(False), "doc_id long, node long, n long, code binary"))
+    prints = stored(given.mapInArrow(work(False), "doc_id long, node long, n long, code binary, prefix array<long>"))
     codes = stored(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.min("code").alias("code")))
-    _, _, sure, _ = similar_plan(codes.count(), similarity)
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) whose sets reach the similarity."""
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(codes.select("node", "least"), "node")
+        texts = given.join(asked.select("least").distinct().hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
+        sets = stored(texts.mapInArrow(work(True), "doc_id long, node long, set array<long>").join(asked.select("node"), "node", "left_semi").groupBy("node").agg(F.first("set").alias("set")))
+        both = pairs.join(sets.withColumnRenamed("node", "a").withColumnRenamed("set", "x"), "a").join(sets.withColumnRenamed("node", "b").withColumnRenamed("set", "y"), "b")
+        shared = F.size(F.array_intersect("x", "y"))
+        right = stored(both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+        discard(sets)
+        return right
+
     found = stored(similar_links(codes.filter("n > 0"), similarity))
-    many = codes.filter(F.col("n") >= MANY).select("node")
-    beyond = found.filter(F.col("d") <= sure).join(many.withColumnRenamed("node", "a"), "a", "left_semi").join(many.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b")
-    beyond = stored(beyond)
-    groups = components(beyond)
-    side = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"{c}_group"))
-    open_ = found.join(side("a"), "a", "left").join(side("b"), "b", "left").filter(F.coalesce("a_group", "a") != F.coalesce("b_group", "b")).select("a", "b")
-    open_ = stored(open_)
-    asked = open_.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(codes.select("node", F.col("least").alias("doc_id")), "node")
-    texts = given.join(asked.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")
-    sets = stored(texts.mapInArrow(work(True), "doc_id long, node long, set array<long>").join(asked.select("node"), "node", "left_semi").groupBy("node").agg(F.first("set").alias("set")))
-    both = open_.join(sets.withColumnRenamed("node", "a").withColumnRenamed("set", "x"), "a").join(sets.withColumnRenamed("node", "b").withColumnRenamed("set", "y"), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    right = both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
-    classes = components(beyond.unionByName(right))
+    nearest = found.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select("m.a", "b")
+    near = similar(stored(nearest))
+    groups = stored(components(near))
+    one_each = prints.join(codes.select("node", "least"), "node").filter(F.col("doc_id").eqNullSafe(F.col("least"))).select("node", "n", "prefix")
+    far = prefix_pairs(one_each.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")), similarity)
+    classes = components(near.unionByName(similar(far)))
     named = codes.select("node", "least").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     top = named.groupBy("component").agg(F.min("least").alias("component_id"))
     out = stored(prints.select("doc_id", "node").join(named.join(top, "component").select("node", "component_id"), "node").select("doc_id", "component_id"))
-    discard(prints, codes, found, beyond, open_, sets)
+    discard(prints, codes, found, near, groups, far)
     return out
 
 

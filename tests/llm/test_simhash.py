@@ -97,6 +97,33 @@ def test_similar_against_brute_force(spark):
     assert sorted(r.row for r in kept.collect()) == sorted(set(got.values()))
 
 
+def test_similar_links_every_pair_at_the_threshold(spark):
+    """Pairs that reach the threshold, by sets of words only just: none is left out, and none below it links."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for k in range(400):
+        w = [f"w{i}" for i in rng.integers(0, 3000, 204)]
+        v = list(w)
+        # Each word put in the place of another costs 5 of 200 shingles on each side: 4 give 180 of 220, 5 give 175 of 225.
+        for i in 10 + 40 * np.arange(4 + k % 2):
+            v[i] = f"v{k}"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+    df = spark.createDataFrame([(d if d else None, t) for d, t in rows], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in S.similar_documents(df).collect()}
+    # The row without an id is linked by its text.
+    want = {d: d if d % 4 in (2, 3) else max(d // 2 * 2, 1) for d, _ in rows if d}
+    assert {d: c for d, c in got.items() if d is not None} == want and got[None] == 1
+
+
+def test_prefix_pairs_in_chunks(spark):
+    """Sets that all share frequent shingles: pairs of different components that can reach the similarity, whatever the size of a leaf."""
+    rows = [(k, 10, [7, 100 + k // 2, 50], k // 4) for k in range(200)] + [(900, 13, [7, 50, 3], 900), (901, 10, [7, 1, 2], 901)]
+    heads = spark.createDataFrame(rows, "node long, n long, prefix array<long>, component long")
+    want = {(a, b) for a in range(200) for b in range(a + 1, 200) if a // 4 != b // 4}
+    for leaf in (8, 1024):
+        assert {(r.a, r.b) for r in S.prefix_pairs(heads, 0.8, leaf).collect()} == want, leaf
+
+
 def test_similar_large_group_in_chunks(spark):
     """A group of near copies that all trees split: one class whatever the size of a leaf."""
     rng = np.random.default_rng(9)
