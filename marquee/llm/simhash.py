@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -295,56 +295,176 @@ def prefix(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], simila
     return shingles[: n - math.ceil(similarity * n - 1e-9) + 1]
 
 
-def prefix_pairs(heads: DataFrame, similarity: float, leaf: int = 1024) -> DataFrame:
-    """Distinct pairs (a, b) of sets (columns node, n, prefix, component) of different components whose sizes, first shared shingle and number
-    of shingles shared by the prefixes allow for the similarity: all pairs of two components that reach it are among them.
+def parity(shingles: np.ndarray) -> bytes:
+    """One bit for each low part of the hashes, as many as the set has shingles and ``WIDE`` at least: whether an odd number of them ends
+    with it. Each shingle that only one of two sets has changes one bit, so the sets differ in as many shingles as bits, or more."""
+    bits = max(WIDE, 1 << max(0, len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_apart(marks: np.ndarray, i: np.ndarray, j: np.ndarray, at_once: int = 1 << 24) -> np.ndarray:
+    """In how many shingles the sets i and j of ``marks`` (``parity``) differ at least. The longer one of two is folded."""
+    length = np.fromiter(map(len, marks), np.int64, len(marks))
+    both, out = np.minimum(length[i], length[j]), np.zeros(len(i), np.int64)
+    for size in np.unique(both):
+        at = np.flatnonzero(both == size)
+        for at in np.array_split(at, min(len(at), math.ceil(len(at) * size / at_once))):
+            used, k = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
+            rows = np.stack([np.bitwise_xor.reduce(np.frombuffer(marks[u], np.uint64).reshape(-1, size // 8), axis=0) for u in used])
+            out[at] = np.bitwise_count(rows[k[: len(at)]] ^ rows[k[len(at) :]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def in_chunks(rows: DataFrame, leaf: int) -> DataFrame:
+    """``rows`` (key, node, ...) with own and other: groups of over ``leaf`` rows as pairs of chunks, so that each two rows of a key meet once:
+    where their own chunks differ, or in the pair of a chunk with itself."""
+    hot = rows.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > leaf)
+    tagged = rows.join(hot, "key", "left")
+    chunks = F.ceil(F.col("size") * 2 / leaf).cast("int")
+    own = F.pmod(F.xxhash64("node"), chunks).cast("int")
+    columns = [*(c for c in rows.columns if c != "key"), "own", "other"]
+    parts = tagged.filter("size is not null").select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
+    small = tagged.filter("size is null").select("*", F.lit(0).alias("own"), F.lit(0).alias("other")).select("key", *columns)
+    return small.unionByName(parts.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), *columns))
 
-    What sets share outside of both prefixes stands behind one prefix. Groups of over ``leaf`` sets are compared in pairs of chunks,
-    so that each pair meets once for a shingle.
-    """
-    share = similarity / (1 + similarity)
+
+def fitting_pairs(run: dict[str, np.ndarray], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of one key, of different components and of sizes (n) that allow for the similarity."""
+    n, component, side = run["n"], run["component"], run["own"]
+    for i, j in inner_pairs(run["key"]):
+        fit = (component[i] != component[j]) & ((side[i] != side[j]) | (run["other"][i] == side[i]))
+        fit &= np.minimum(n[i], n[j]) + 1e-9 >= similarity * np.maximum(n[i], n[j])
+        yield i[fit], j[fit]
+
+
+def has_room(run: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of the pairs may reach the similarity, if the shingle where they meet is the first that they share."""
+    n, behind = run["n"], run["n"] - run["pos"]
+    return np.minimum(behind[i], behind[j]) >= similarity / (1 + similarity) * (n[i] + n[j]) - 1e-9
+
+
+def not_apart(marks: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of the pairs may reach the similarity, as they differ in few enough bits of their ``parity``."""
+    least = np.ceil(similarity / (1 + similarity) * (n[i] + n[j]) - 1e-9)
+    return least_apart(marks, i, j) <= n[i] + n[j] - 2 * least
+
+
+def prefix_seats(heads: DataFrame, similarity: float | None = None, large: int = 64) -> DataFrame:
+    """(key, node, n, component, pos): stored places of the prefixes' shingles that sets (node, n, prefix, component) of different components
+    share. With a similarity, those of up to ``large`` sets go if none of these fits by its size and by what stands behind the shingle."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in whole_runs(batches, "key", 1 << 16):
             edge = np.flatnonzero(np.concatenate([[True], run["key"][1:] != run["key"][:-1]]))
             several = np.minimum.reduceat(run["component"], edge) != np.maximum.reduceat(run["component"], edge)
-            stays = np.repeat(several, np.diff(np.append(edge, len(run["key"]))))
+            sizes = np.diff(np.append(edge, len(run["key"])))
+            stays, sizes = np.repeat(several, sizes), np.repeat(sizes, sizes)
+            if similarity is not None:
+                small = {c: x[stays & (sizes <= large)] for c, x in run.items()}
+                fits = np.zeros(len(small["key"]), bool)
+                for i, j in fitting_pairs(small | {c: np.zeros(len(fits), np.int32) for c in ("own", "other")}, similarity):
+                    room = has_room(small, i, j, similarity)
+                    fits[i[room]] = fits[j[room]] = True
+                stays[np.flatnonzero(stays & (sizes <= large))[~fits]] = False
             yield pa.RecordBatch.from_arrays([pa.array(c[stays]) for c in run.values()], names=list(run))
 
+    seats = heads.select("node", "n", "component", F.posexplode("prefix").alias("pos", "key")).select("key", "node", "n", "component", "pos")
+    return stored(seats.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "key long, node long, n long, component long, pos int"))
+
+
+def prefix_pairs(heads: DataFrame, similarity: float, leaf: int = 1024) -> DataFrame:
+    """Distinct pairs (a, b) of sets (columns node, n, prefix, component) of different components whose sizes, first shared shingle and number
+    of shingles shared by the prefixes allow for the similarity: all pairs of two components that reach it are among them.
+
+    What sets share outside of both prefixes stands behind one prefix. Groups of over ``leaf`` sets are compared in pairs of chunks,
+    so that each pair meets once for a shingle. All pairs are listed; ``prefix_links`` gives what connects the same sets.
+    """
+    share = similarity / (1 + similarity)
+
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in whole_runs(batches, "key"):
-            node, n, component, side, behind = run["node"], run["n"], run["component"], run["own"], run["n"] - run["pos"]
+            node, n, behind = run["node"], run["n"], run["n"] - run["pos"]
             rest = np.ceil(similarity * n - 1e-9) - 1  # behind the prefix
-            for i, j in inner_pairs(run["key"]):
-                fit = (component[i] != component[j]) & ((side[i] != side[j]) | (run["other"][i] == side[i]))
-                fit &= np.minimum(n[i], n[j]) + 1e-9 >= similarity * np.maximum(n[i], n[j])
-                i, j = i[fit], j[fit]
+            for i, j in fitting_pairs(run, similarity):
                 least = share * (n[i] + n[j]) - 1e-9
                 more = least - np.maximum(rest[i], rest[j])
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])), pa.array(more), pa.array(np.minimum(behind[i], behind[j]) >= least)], names=["a", "b", "more", "room"])
 
-    seats = heads.select("node", "n", "component", F.posexplode("prefix").alias("pos", "key")).select("key", "node", "n", "component", "pos")
-    near = stored(seats.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "key long, node long, n long, component long, pos int"))
-    hot = near.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > leaf)
-    tagged = near.join(hot, "key", "left")
-    chunks = F.ceil(F.col("size") * 2 / leaf).cast("int")
-    own = F.pmod(F.xxhash64("node"), chunks).cast("int")
-    columns = ["node", "n", "component", "pos", "own", "other"]
-    parts = tagged.filter("size is not null").select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
-    small = tagged.filter("size is null").select("*", F.lit(0).alias("own"), F.lit(0).alias("other")).select("key", *columns)
-    groups = small.unionByName(parts.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), *columns))
-    met = groups.repartition("key").sortWithinPartitions("key").mapInArrow(pairs, "a long, b long, more double, room boolean")
+    near = prefix_seats(heads)
+    met = in_chunks(near, leaf).repartition("key").sortWithinPartitions("key").mapInArrow(pairs, "a long, b long, more double, room boolean")
     found = stored(met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("more").alias("more"), F.max("room").alias("room")).filter("room AND shared >= more").select("a", "b"))
     discard(near)
     return found
 
 
+def prefix_links(heads: DataFrame, similarity: float, sets_of: Callable[[DataFrame], DataFrame], leaf: int = 1024) -> DataFrame:
+    """Links (a, b) of sets (columns node, n, prefix, component, parity) that reach the similarity and connect all components that such pairs do.
+
+    Sets that share a shingle of their prefixes meet, and those that their sizes, the place of that shingle and the bits of their parities
+    allow to be similar are of one cluster: a forest of each group tells the clusters, whatever the number of pairs in it. Then all pairs of
+    a cluster are compared, by their bits first and by their sets (``sets_of``: node, set of given nodes), unless they are connected already.
+    """
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in whole_runs(batches, "key"):
+            n, found = run["n"], [(np.zeros(0, np.int64),) * 2]
+            for i, j in fitting_pairs(run, similarity):
+                room = has_room(run, i, j, similarity)
+                i, j = i[room], j[room]
+                near = not_apart(run["parity"], n, i, j, similarity)
+                found.append((i[near], j[near]))
+            top = forest(len(n), *(np.concatenate(x) for x in zip(*found)))
+            moved = np.flatnonzero(top != np.arange(len(n)))
+            yield pa.RecordBatch.from_arrays([pa.array(run["node"][moved]), pa.array(run["node"][top[moved]])], names=["a", "b"])
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in whole_runs(batches, "key", 256):
+            n = run["n"] = np.fromiter(map(len, run["set"]), np.int64, len(run["key"]))
+            marks = [parity(x.view(np.uint64)) for x in run["set"]]
+            start, (_, at) = np.cumsum(n) - n, np.unique(np.concatenate(run["set"]), return_inverse=True)
+            label, has, a, b = np.unique(run["component"], return_inverse=True)[1], np.zeros(at.max() + 1, bool), [], []
+            for i, j in fitting_pairs(run, similarity):
+                near = not_apart(marks, n, i, j, similarity)
+                i, j = i[near], j[near]
+                edge = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))[: len(i)]
+                for x, others in zip(i[edge], np.split(j, edge[1:])):
+                    others = others[label[others] != label[x]]
+                    if not len(others):
+                        continue
+                    own, size = at[start[x] : start[x] + n[x]], n[others]
+                    has[own] = True
+                    begin = np.cumsum(size) - size
+                    shared = np.add.reduceat(has[at[np.arange(size.sum()) + np.repeat(start[others] - begin, size)]].astype(np.int64), begin)
+                    has[own] = False
+                    others = others[shared >= similarity * (n[x] + size - shared)]
+                    others = others[np.unique(label[others], return_index=True)[1]]
+                    label[np.isin(label, label[others])] = label[x]
+                    a += [run["node"][x]] * len(others)
+                    b += run["node"][others].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    near = prefix_seats(heads, similarity)
+    dealt = stored(in_chunks(near, leaf))
+    discard(near)
+    # Bits are moved once, with the places that are left.
+    marked = dealt.join(heads.select("node", "parity").distinct(), "node").select("key", "node", "n", "component", "pos", "own", "other", "parity")
+    met = stored(marked.repartition("key").sortWithinPartitions("key").mapInArrow(candidates, "a long, b long"))
+    discard(dealt)
+    clusters = stored(components(met).withColumnRenamed("component", "key"))
+    sets = sets_of(clusters.select("node"))
+    members = clusters.join(heads.select("node", "component").distinct(), "node").select("key", "node", "component")
+    found = stored(in_chunks(members, leaf).join(sets, "node").repartition("key").sortWithinPartitions("key", "node").select("key", "node", "component", "own", "other", "set").mapInArrow(links, "a long, b long"))
+    discard(met, clusters, sets)
+    return found
+
+
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) for every row: documents link when their sets of ``words``-word shingles have this Jaccard similarity or more.
 
     Equal sets become one code first. Wide SimHash fingerprints propose links by trie self-joins; each code's nearest ones are compared
     by their sets. Pairs that no trie brings together or that were not compared are found by the rare shingles that similar sets share:
-    all such pairs of different classes are compared, so every link counts and nothing else links. Texts without words are one class. Rows
+    such pairs of different classes are compared until their classes are one, so every link counts and nothing else links. Texts without words are one class. Rows
     without an id or with a repeated one count by their texts; an empty table gives no rows.
     """
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -359,19 +479,23 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
                     sets = [shingle_set(x.as_py(), words) for x in part.column(1).cast(pa.large_binary())]
                     node = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
                     lists = lambda arrays: pa.array([x.view(np.int64) for x in arrays], pa.list_(pa.int64()))
-                    more = {"set": lists(sets)} if with_set else {"n": pa.array([len(x) for x in sets], pa.int64()), "code": pa.array([wide_simhash(x).tobytes() for x in sets], pa.binary()), "prefix": lists(prefix(x, frequent.value, similarity) for x in sets)}
+                    more = {"set": lists(sets)} if with_set else {"n": pa.array([len(x) for x in sets], pa.int64()), "code": pa.array([wide_simhash(x).tobytes() for x in sets], pa.binary()), "parity": pa.array([parity(x) for x in sets], pa.binary()), "prefix": lists(prefix(x, frequent.value, similarity) for x in sets)}
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node), *more.values()], names=["doc_id", "node", *more])
 
         return f
 
-    prints = stored(given.mapInArrow(work(False), "doc_id long, node long, n long, code binary, prefix array<long>"))
+    prints = stored(given.mapInArrow(work(False), "doc_id long, node long, n long, code binary, parity binary, prefix array<long>"))
     codes = stored(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.min("code").alias("code")))
 
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """(node, set) of distinct nodes, stored."""
+        asked = nodes.join(codes.select("node", "least"), "node")
+        texts = given.join(asked.select("least").distinct().hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
+        return stored(texts.mapInArrow(work(True), "doc_id long, node long, set array<long>").join(asked.select("node"), "node", "left_semi").groupBy("node").agg(F.first("set").alias("set")))
+
     def similar(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) whose sets reach the similarity."""
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(codes.select("node", "least"), "node")
-        texts = given.join(asked.select("least").distinct().hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
-        sets = stored(texts.mapInArrow(work(True), "doc_id long, node long, set array<long>").join(asked.select("node"), "node", "left_semi").groupBy("node").agg(F.first("set").alias("set")))
+        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         both = pairs.join(sets.withColumnRenamed("node", "a").withColumnRenamed("set", "x"), "a").join(sets.withColumnRenamed("node", "b").withColumnRenamed("set", "y"), "b")
         shared = F.size(F.array_intersect("x", "y"))
         right = stored(both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"))
@@ -382,9 +506,9 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     nearest = found.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select("m.a", "b")
     near = similar(stored(nearest))
     groups = stored(components(near))
-    one_each = prints.join(codes.select("node", "least"), "node").filter(F.col("doc_id").eqNullSafe(F.col("least"))).select("node", "n", "prefix")
-    far = prefix_pairs(one_each.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")), similarity)
-    classes = components(near.unionByName(similar(far)))
+    one_each = prints.join(codes.select("node", "least"), "node").filter(F.col("doc_id").eqNullSafe(F.col("least"))).select("node", "n", "prefix", "parity")
+    far = prefix_links(one_each.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")), similarity, sets_of)
+    classes = components(near.unionByName(far))
     named = codes.select("node", "least").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     top = named.groupBy("component").agg(F.min("least").alias("component_id"))
     out = stored(prints.select("doc_id", "node").join(named.join(top, "component").select("node", "component_id"), "node").select("doc_id", "component_id"))

@@ -140,6 +140,77 @@ def test_similar_large_group_in_chunks(spark):
     assert codes == 151
 
 
+def test_parity_never_overstates():
+    """Differing bits are no more than the shingles in which two sets differ, also where one is folded."""
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (1, 40, 511, 512, 513, 900, 3000)]
+    sets += [np.unique(np.concatenate([x[: len(x) * 9 // 10], rng.integers(0, 1 << 63, len(x) // 7 + 1, dtype=np.uint64)])) for x in sets]
+    marks = [S.parity(x) for x in sets]
+    i, j = np.triu_indices(len(sets), 1)
+    true = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j)])
+    for at_once in (64, 1 << 24):
+        got = S.least_apart(marks, i, j, at_once)
+        assert (got <= true).all() and (got[true > 100] > 40).all()
+
+
+def test_prefix_links_connect_what_pairs_do(spark):
+    """Links of prefixes against all pairs by the definition, whatever the size of a leaf."""
+    rng = np.random.default_rng(21)
+    sets = []
+    for _ in range(12):
+        base = np.unique(rng.integers(1, 1 << 62, 60))
+        for m in (0, 3, 5, 7, 9, 12):
+            sets.append(np.sort(np.concatenate([rng.permutation(base)[m:], rng.integers(1, 1 << 62, m)])))
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    prefixes = [S.prefix(x.view(np.uint64), none, 0.8).view(np.int64).tolist() for x in sets]
+    component = [k if k % 6 > 1 else k // 6 * 6 for k in range(len(sets))]
+    rows = [(k, len(x), p, c, S.parity(x.view(np.uint64))) for k, (x, p, c) in enumerate(zip(sets, prefixes, component))]
+    heads = spark.createDataFrame(rows, "node long, n long, prefix array<long>, component long, parity binary")
+    lists = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(sets)], "node long, set array<long>")
+
+    def classes(links):
+        label = list(component)
+        for _ in sets:
+            for a, b in links:
+                label[a] = label[b] = min(label[a], label[b])
+            low = {}
+            for k, x in enumerate(label):
+                low[component[k]] = min(low.get(component[k], x), x)
+            label = [low[component[k]] for k in range(len(sets))]
+        return label
+
+    like = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))}
+    assert classes(like) != component
+    for leaf in (4, 1024):
+        got = {(min(r), max(r)) for r in S.prefix_links(heads, 0.8, lambda nodes: S.stored(lists.join(nodes, "node")), leaf).collect()}
+        assert got <= like and classes(got) == classes(like), leaf
+
+
+def test_similar_rows_follow_the_size_of_a_group(spark, monkeypatch):
+    """Texts that are all nearly, but none is quite, similar: links that are stored grow with the texts, not with their pairs."""
+    base = [f"w{i}" for i in range(204)]
+    rows = []
+    for a in range(13):
+        for b in range(13):
+            w = list(base)
+            for slot in (a, 13 + b, 26 + (a + b) % 13):
+                w[4 + 5 * slot] = f"v{a} {b}".replace(" ", "x")
+            rows.append((13 * a + b, " ".join(w)))
+    made, keep = [], S.stored
+
+    def counted(df, *more):
+        out = keep(df, *more)
+        made[-1] += out.count() if df.columns == ["a", "b"] else 0
+        return out
+
+    monkeypatch.setattr(S, "stored", counted)
+    for n in (84, 168):
+        made.append(0)
+        got = S.similar_documents(spark.createDataFrame(rows[:n], "doc_id long, text string")).collect()
+        assert all(r.doc_id == r.component_id for r in got) and len(got) == n
+    assert made[0] > 0 and made[1] <= 3 * made[0], made
+
+
 def test_nearest_forest():
     a, b, d = np.array([0, 0, 1, 3]), np.array([1, 2, 2, 4]), np.array([5, 1, 2, 7])
     assert sorted(S.nearest_forest(5, a, b, d).tolist()) == [1, 2, 3]
