@@ -15,6 +15,8 @@ LETTERS = r"[A-Za-zÀ-ÿ]"
 LEAST, OFTEN, TIMES = 7, 2, 10
 #: Letters left that edges tell apart; the last stands for all above it.
 _MANY = 63
+#: Length of words whose depths fit into the bits of one number; longer ones have them listed.
+_MASK = 62
 #: One run in so many loses a letter.
 SLIP = 31
 
@@ -53,11 +55,16 @@ def trie(words: DataFrame, top: int) -> tuple[DataFrame, DataFrame]:
     the child's own edges begin with."""
     both = words.select(F.explode(F.array(F.struct(F.lit(False).alias("back"), "word"), F.struct(F.lit(True).alias("back"), F.reverse("word").alias("word")))).alias("w")).select("w.*")
     at = both.select("back", "word", F.explode(F.sequence(F.lit(top + 1), F.length("word"))).alias("depth")).select("back", "word", "depth", _node(F.col("depth")).alias("node"))
-    after = F.substring("word", F.col("depth") + 1, F.lit(1))
-    parts = at.groupBy("node").agg(F.min(after).alias("a"), F.max(after).alias("z")).filter("a <> z").select("node")
+    after = F.ascii(F.substring("word", F.col("depth") + 1, F.lit(1)))  # a code point, 0 at the end: numbers are hashed, texts would be sorted
+    parts = stored(at.groupBy("node").agg(F.min(after).alias("a"), F.max(after).alias("z")).filter("a <> z").select("node"))
     inner = at.filter(F.col("depth") < F.length("word")).join(parts.hint("shuffle_hash"), "node", "left_semi").select("back", "word", "depth")
     ends = both.select("back", "word", F.explode(F.array(F.lit(top), F.length("word"))).alias("depth"))
-    paths = stored(inner.unionByName(ends).groupBy("back", "word").agg(F.array_sort(F.collect_set("depth")).alias("cuts")))
+    depths, short = inner.unionByName(ends), F.length("word") <= _MASK
+    masks = depths.filter(short).groupBy("back", "word").agg(F.expr("bit_or(shiftleft(1L, depth))").alias("mask"))
+    listed = masks.select("back", "word", F.filter(F.sequence(F.lit(top), F.length("word")), lambda d: F.bit_get("mask", d) == 1).alias("cuts"))
+    long = depths.filter(~short).groupBy("back", "word").agg(F.array_sort(F.collect_set("depth")).alias("cuts"))
+    paths = stored(listed.unionByName(long))
+    discard(parts)
     steps = paths.select("back", "word", F.explode(F.arrays_zip(F.slice("cuts", 1, F.size("cuts") - 1).alias("f"), F.slice("cuts", 2, F.size("cuts")).alias("t"))).alias("s")).select("back", "word", "s.*")
     left = F.expr(f"shiftleft(1L, least(length(word) - t, {_MANY}))")
     edges = steps.select(_node(F.col("f")).alias("node"), F.substring("word", F.col("f") + 1, F.col("t") - F.col("f")).alias("label"), _node(F.col("t")).alias("child"), left.alias("left"))

@@ -79,6 +79,18 @@ def test_links(spark, words):
     assert sorted(map(tuple, found)) == sorted((w, x) for w, xs in brute_near(words).items() for x in xs)
 
 
+def test_links_of_words_beyond_the_bits_of_a_number(spark):
+    """Words whose depths fit into one number, just do not, and by far do not."""
+    words = {}
+    for n in (60, 61, 62, 63, 64, 65, 130):
+        base = ("abcdéfgh" * 20)[:n]
+        for at in (3, n // 2, n - 2):
+            words |= dict.fromkeys((base, base[:at] + "z" + base[at + 1 :], base[:at] + base[at + 1 :], base[:at] + "ÿ" + base[at:]), 2)
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    links = spelling.one_edit_links(df)
+    assert {(r.word, r.near) for r in links.collect()} == {(w, x) for w, xs in brute_near(words).items() for x in xs}
+
+
 def test_chains_of_forms(spark):
     counts = [("abcdefgh", 5000), ("abcdefg", 300), ("bcdefg", 9), ("abcdef", 2), ("abcdefx", 20), ("abcdxfx", 2)]
     words = spark.createDataFrame(counts, "word string, n long")
