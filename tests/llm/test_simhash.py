@@ -219,3 +219,34 @@ def test_nearest_forest():
 def test_similar_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert S.similar_documents(df).count() == 0 and S.keep_one(df).count() == 0
+
+
+def test_links_in_one_partition_need_no_rounds(spark, monkeypatch):
+    """A driver plans and follows each round of jobs, so links that one task can contract take a single stored table."""
+    from marquee.llm import common
+
+    tables = []
+    monkeypatch.setattr(common, "stored", lambda df, write=common.stored: tables.append(write(df)) or tables[-1])
+    chain = spark.createDataFrame([(i + 1, i) for i in range(300)] + [(1000, 1001), (7, 7), (None, 3)], "a long, b long")
+    got = {r.node: r.component for r in common.components(chain).collect()}
+    assert got == {i: 0 for i in range(301)} | {1000: 1000, 1001: 1000}
+    assert len(tables) == 1
+
+
+def test_components_over_many_partitions(spark):
+    from marquee.llm import common
+
+    rng = np.random.default_rng(4)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 400, (330, 2))] + [(1000 + i, 1001 + i) for i in range(60)]
+    df = spark.createDataFrame(links, "a long, b long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = common.contracted(df.filter("a <> b").selectExpr("a as u", "b as v").repartition(4), most=20)
+        assert not common.are_stars(parts)
+        got = {r.node: r.component for r in common.components(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    nodes = sorted({x for link in links if link[0] != link[1] for x in link})
+    at = np.searchsorted(nodes, [link for link in links if link[0] != link[1]])
+    top = common.forest(len(nodes), at[:, 0], at[:, 1])
+    assert got == {n: nodes[t] for n, t in zip(nodes, top)}
