@@ -461,13 +461,20 @@ def prefix_links(heads: DataFrame, similarity: float, sets_of: Callable[[DataFra
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) for every row: documents link when their sets of ``words``-word shingles have this Jaccard similarity or more.
+    See ``similar_classes``."""
+    return similar_classes(docs, words, similarity, id_col, text_col).select("doc_id", "component_id")
+
+
+def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, mark, component, component_id) for every row. mark: hash of its text, which tells rows that share an id apart; component names
+    its class, also where several classes have the same least id, component_id.
 
     Equal sets become one code first. Wide SimHash fingerprints propose links by trie self-joins; each code's nearest ones are compared
     by their sets. Pairs that no trie brings together or that were not compared are found by the rare shingles that similar sets share:
     such pairs of different classes are compared until their classes are one, so every link counts and nothing else links. Texts without words are one class. Rows
     without an id or with a repeated one count by their texts; an empty table gives no rows.
     """
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
     one_in = max(1, min(ONE_IN, given.count() // TEXTS))
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(given.filter(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0).select("text"), words))
 
@@ -480,18 +487,18 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
                     node = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
                     lists = lambda arrays: pa.array([x.view(np.int64) for x in arrays], pa.list_(pa.int64()))
                     more = {"set": lists(sets)} if with_set else {"n": pa.array([len(x) for x in sets], pa.int64()), "code": pa.array([wide_simhash(x).tobytes() for x in sets], pa.binary()), "parity": pa.array([parity(x) for x in sets], pa.binary()), "prefix": lists(prefix(x, frequent.value, similarity) for x in sets)}
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node), *more.values()], names=["doc_id", "node", *more])
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(node), *more.values()], names=["doc_id", "mark", "node", *more])
 
         return f
 
-    prints = stored(given.mapInArrow(work(False), "doc_id long, node long, n long, code binary, parity binary, prefix array<long>"))
+    prints = stored(given.mapInArrow(work(False), "doc_id long, mark long, node long, n long, code binary, parity binary, prefix array<long>"))
     codes = stored(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.min("code").alias("code")))
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         """(node, set) of distinct nodes, stored."""
         asked = nodes.join(codes.select("node", "least"), "node")
         texts = given.join(asked.select("least").distinct().hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
-        return stored(texts.mapInArrow(work(True), "doc_id long, node long, set array<long>").join(asked.select("node"), "node", "left_semi").groupBy("node").agg(F.first("set").alias("set")))
+        return stored(texts.mapInArrow(work(True), "doc_id long, mark long, node long, set array<long>").join(asked.select("node"), "node", "left_semi").groupBy("node").agg(F.first("set").alias("set")))
 
     def similar(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) whose sets reach the similarity."""
@@ -511,7 +518,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     classes = components(near.unionByName(far))
     named = codes.select("node", "least").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     top = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    out = stored(prints.select("doc_id", "node").join(named.join(top, "component").select("node", "component_id"), "node").select("doc_id", "component_id"))
+    out = stored(prints.select("doc_id", "mark", "node").join(named.join(top, "component").select("node", "component", "component_id"), "node").drop("node"))
     discard(prints, codes, found, near, groups, far)
     return out
 
@@ -519,17 +526,18 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near duplicates (``similar_documents``): of every class the row with the least id stays, all columns as they were.
 
-    A row without an id takes one from its text's hash, above all real ids; of rows that share an id and stay, one is kept. An empty
-    table stays empty.
+    A row without an id takes one from its text's hash, above all real ids. Rows that share an id are judged by their own texts: each class
+    keeps one of its rows with the least id, also where another class has the same least id. An empty table stays empty.
     """
     own = F.coalesce(F.col(id_col).cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64(text_col), F.lit(1 << 61)))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), own.alias("own"))
-    found = similar_documents(rows.select("own", F.col("d").getField(text_col).alias("text")), words, similarity, "own", "text")
-    kept = stored(found.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("own")).agg(F.count("*").alias("n")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), own.alias("own"), F.xxhash64(text_col).alias("mark"))
+    found = similar_classes(rows.select("own", F.col("d").getField(text_col).alias("text")), words, similarity, "own", "text")
+    least = found.filter(F.col("doc_id") == F.col("component_id")).groupBy("component", "doc_id", "mark").agg(F.count("*").alias("n"))
+    kept = stored(least.groupBy("component").agg(F.min(F.struct("mark", "doc_id", "n")).alias("m")).select(F.col("m.doc_id").alias("own"), "m.mark", "m.n"))
     # The few numbers are hashed, the texts are not sorted: they are moved once at any size and never spilled.
-    out = rows.join(kept.select("own").hint("shuffle_hash"), "own")
+    out = rows.join(kept.select("own", "mark").hint("shuffle_hash"), ["own", "mark"])
     if not kept.filter("n > 1").isEmpty():
-        out = out.dropDuplicates(["own"])
+        out = out.dropDuplicates(["own", "mark"])
     return out.select("d.*")
 
 

@@ -221,6 +221,15 @@ def test_similar_empty(spark):
     assert S.similar_documents(df).count() == 0 and S.keep_one(df).count() == 0
 
 
+def test_keep_one_judges_rows_that_share_an_id_by_their_texts(spark):
+    """Each class keeps one row, whatever other texts its id has in other classes."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(3, a), (5, a), (5, b), (6, b + " end"), (6, c), (8, c), (10, a), (10, b), (5, d), (11, d), (12, "x y"), (12, "X y"), (12, "x y"), (13, None), (13, "z")]
+    df = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(rows)], "row long, doc_id long, text string")
+    got = sorted((r.doc_id, (r.text or "").lower()) for r in S.keep_one(df).collect())
+    assert got == [(3, a), (5, b), (5, d), (6, c), (12, "x y"), (13, ""), (13, "z")]
+
+
 def test_links_in_one_partition_need_no_rounds(spark, monkeypatch):
     """A driver plans and follows each round of jobs, so links that one task can contract take a single stored table."""
     from marquee.llm import common
